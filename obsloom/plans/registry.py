@@ -7,11 +7,11 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def _shape(df: DataFrame, dbl, big, d) -> DataFrame:
+def _shape(df: DataFrame, dbl, big) -> DataFrame:
     cols = []
     for c in df.columns:
         if c in dbl:
-            cols.append((F.round(F.col(c).cast("double"), d) + F.lit(0.0)).alias(c))
+            cols.append((F.round(F.col(c).cast("double"), dbl[c]) + F.lit(0.0)).alias(c))
         elif c in big:
             cols.append(F.col(c).cast("long").alias(c))
         else:
@@ -20,14 +20,17 @@ def _shape(df: DataFrame, dbl, big, d) -> DataFrame:
 
 
 def query(name: str, sql: str | None = None, dbl: str = "", big: str = "", d: int = 6):
-    """Registers a query. Columns in ``dbl`` are rounded, those in ``big`` cast, on both engines alike."""
-    dbl, big = dbl.split(), big.split()
+    """Registers a query. Columns in ``dbl`` are rounded, those in ``big`` cast, on both engines alike.
+
+    ``name:3`` in ``dbl`` sets the digits of one column."""
+    dbl = {c.split(":")[0]: int((c.split(":") + [d])[1]) for c in dbl.split()}
+    big = big.split()
 
     def wrap(fn):
         assert name not in QUERIES, name
-        QUERIES[name] = lambda spark, sf_dir: _shape(fn(spark, sf_dir), dbl, big, d)
+        QUERIES[name] = lambda spark, sf_dir: _shape(fn(spark, sf_dir), dbl, big)
         if sql:
-            edits = [f"round(CAST({c} AS DOUBLE), {d}) + 0.0 AS {c}" for c in dbl]
+            edits = [f"round(CAST({c} AS DOUBLE), {k}) + 0.0 AS {c}" for c, k in dbl.items()]
             edits += [f"CAST({c} AS BIGINT) AS {c}" for c in big]
             head = f"SELECT * REPLACE ({', '.join(edits)})" if edits else "SELECT *"
             ORACLES[name] = f"{head} FROM (\n{sql.strip()}\n) AS result_rows"

@@ -61,7 +61,7 @@ def _(spark, sf):
 
 @query("threshold_qc", f"""WITH {SQL_OBS_MISSING} SELECT obs_id, avg_price, avg_discount, max_ship_gap FROM obs_m
  WHERE coalesce(avg_price > 20000 AND avg_price <= 80000 AND avg_discount >= 0.03 AND avg_discount < 0.09
-   AND max_ship_gap >= 30, false)""", dbl="avg_price avg_discount max_ship_gap", d=4)
+   AND max_ship_gap >= 30, false)""", dbl="avg_price avg_discount max_ship_gap")
 def _(spark, sf):
     ok = X.all_of([X.within("avg_price", 20000, 80000, lo_open=True),
                    X.within("avg_discount", 0.03, 0.09, hi_open=True), X.within("max_ship_gap", 30)])
