@@ -11,12 +11,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.scalar import nan_to_null
 from . import order
 
 PAIRS_PER_AGG = 300
 
 
+def corr_or_null(a, b):
+    """Pearson over rows where both are present; NULL when either has no spread."""
+    return F.try_divide(F.regr_sxy(a, b), F.sqrt(F.regr_sxx(a, b) * F.regr_syy(a, b)))
+
+
 def pair_moments(df: DataFrame, features, keys=()) -> DataFrame:
     """(a, b, n, r, cov) for each unordered pair over rows where both are present."""
     pairs = list(combinations(features, 2))
@@ -24,7 +28,7 @@ def pair_moments(df: DataFrame, features, keys=()) -> DataFrame:
     for s in range(0, len(pairs), PAIRS_PER_AGG):
         st = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
                        F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("n"),
-                       nan_to_null(F.corr(a, b)).alias("r"), F.covar_samp(a, b).alias("cov")) for a, b in pairs[s:s + PAIRS_PER_AGG]]
+                       corr_or_null(a, b).alias("r"), F.covar_samp(a, b).alias("cov")) for a, b in pairs[s:s + PAIRS_PER_AGG]]
         g = df.groupBy(*keys).agg(F.array(*st).alias("s")) if keys else df.agg(F.array(*st).alias("s"))
         parts.append(g.select(*keys, F.explode("s").alias("s")).select(*keys, "s.*"))
     out = parts[0]
