@@ -164,6 +164,7 @@ def robust_distance(df: DataFrame, vec: str, alpha: float = 0.75, steps: int = 4
     covariance, all as Spark aggregates. Approximate quantiles only choose the cut point;
     every row is scored in every step. Returns (frame with ``rd2`` and ``outlier``, limit).
     """
+    source, df = df, df.select(vec).persist()
     p = len(df.select(vec).first()[0])
     q = [F.percentile_approx(F.col(vec)[j], 0.5, 10000).alias(f"m{j}") for j in range(p)]
     med = np.array(list(df.agg(*q).first()))
@@ -179,7 +180,8 @@ def robust_distance(df: DataFrame, vec: str, alpha: float = 0.75, steps: int = 4
     half = d.agg(F.percentile_approx("rd2", 0.5, 10000)).first()[0]
     factor = chi2_quantile(0.5, p) / half if half else 1.0  # consistency at the normal model
     limit = chi2_quantile(quantile if quantile else 1 - 0.025 / max(n, 1), p)
-    d = d.withColumn("rd2", F.col("rd2") * float(factor))
+    df.unpersist()
+    d = quadratic_form(source, vec, center, inv, "rd2").withColumn("rd2", F.col("rd2") * float(factor))
     return d.withColumn("outlier", F.col("rd2") > float(limit)), limit
 
 
