@@ -46,7 +46,9 @@ def radius_stats(points: DataFrame, seg: DataFrame, key: str) -> DataFrame:
     q = order.quantiles(pos, [key], "r", {"q25": .25, "median": .5, "q75": .75})
     d = pos.select(key, F.round("r", 6).alias("rr")).distinct().groupBy(key).agg(F.count("*").alias("n_distinct"))
     m = pos.groupBy(key).agg(F.count("*").alias("n"), F.min("r").alias("min"), F.max("r").alias("max"))
-    w = seg.groupBy(key).agg(F.try_divide(F.sum(F.col("length") * (F.col("r") + F.col("prev_r")) / 2), F.sum("length")).alias("weighted_mean"))
+    mid = (F.col("r") + F.col("prev_r")) / 2
+    ok = (F.col("length") > 0) & (mid > 0)
+    w = seg.groupBy(key).agg(F.try_divide(F.sum(F.when(ok, F.col("length") * mid)), F.sum(F.when(ok, F.col("length")))).alias("weighted_mean"))
     return m.join(q, key).join(d, key).join(w, key, "left")
 
 
@@ -90,25 +92,31 @@ def branch_order(nodes: DataFrame, node: str, parent: str, rounds: int = 40) ->
 def branch_counts(nodes: DataFrame, node: str, parent: str, group: str) -> DataFrame:
     kids = nodes.where(F.col(parent).isNotNull()).groupBy(F.col(parent).alias(node)).agg(F.count("*").alias("kids"))
     j = nodes.join(kids, node, "left")
-    return j.groupBy(group).agg(F.count("*").alias("n_sections"), F.count_if(F.col("kids") >= 2).alias("n_bifurcations"),
+    return j.groupBy(group).agg(F.count("*").alias("n_sections"), F.count_if(F.col("kids") > 0).alias("n_bifurcations"),
                                 F.count_if(F.col("kids").isNull()).alias("n_terminals"))
 
 
-def trace_flags(points: DataFrame, seg: DataFrame, key: str, roots: DataFrame, floor=30.0, factor=10.0) -> DataFrame:
-    """Counts of zero-length and non-finite segments, bad radii, jumps, and the root gap."""
-    med = order.quantiles(seg, [key], "length", {"median": .5})
-    s = seg.join(med, key).groupBy(key).agg(
-        F.count_if(F.col("length") == 0).alias("n_zero_length"),
-        F.count_if(F.col("length") > F.greatest(F.lit(floor), factor * F.col("median"))).alias("n_jumps"))
-    p = points.groupBy(key).agg(F.count_if(~(is_finite("x") & is_finite("y") & is_finite("z"))).alias("n_non_finite"),
-                                F.count_if(F.col("r") <= 0).alias("n_bad_radius"))
+def trace_flags(points: DataFrame, seg: DataFrame, key: str, roots: DataFrame, floor=30.0, factor=10.0, zero=1e-9) -> DataFrame:
+    """Counts of zero-length segments, jumps beyond max(floor, factor x median positive length),
+    non-finite values and non-positive radii; ``roots`` brings the root gap."""
+    med = order.quantiles(seg.where(F.col("length") > zero), [key], "length", {"median": .5})
+    limit = F.coalesce(F.greatest(F.lit(floor), factor * F.col("median")), F.lit(floor))
+    s = seg.join(med, key, "left").groupBy(key).agg(F.count_if(F.col("length") <= zero).alias("n_zero_length"),
+                                                    F.count_if(F.col("length") > limit).alias("n_jumps"))
+    bad = sum(((~is_finite(c)).cast("long") for c in ("x", "y", "z")), F.lit(0).cast("long"))
+    p = points.groupBy(key).agg(F.sum(bad).alias("n_non_finite"), F.count_if(F.col("r") <= 0).alias("n_bad_radius"))
     return p.join(s, key, "left").join(roots, key, "left").na.fill(0, ["n_zero_length", "n_jumps"])
 
 
-def trace_status(flags: DataFrame, gap_limit: float) -> DataFrame:
-    hard = [("non_finite", F.col("n_non_finite") > 0), ("bad_radius", F.col("n_bad_radius") > 0)]
-    soft = [("jump", F.col("n_jumps") > 0), ("zero_length", F.col("n_zero_length") > 0), ("root_gap", F.col("root_gap") > gap_limit)]
-    names = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in hard + soft]), lambda x: x.isNotNull())
-    any_of = lambda rules: F.exists(F.array(*[F.coalesce(c, F.lit(False)) for _, c in rules]), lambda x: x)
-    return flags.withColumn("flags", F.array_join(names, ";")).withColumn(
-        "status", cascade([(any_of(hard), "hard"), (any_of(soft), "review")], "pass"))
+# Flag names and status names of the trace review.
+HARD_FLAGS = {"nonfinite_coordinates": "n_non_finite > 0"}
+REVIEW_FLAGS = {"nonpositive_point_radius": "n_bad_radius > 0", "zero_length_segment": "n_zero_length > 0",
+                "long_coordinate_jump": "n_jumps > 0", "neurite_root_far_from_soma": "root_gap > greatest(10.0D, 2 * soma_radius)"}
+STATUS_NAMES = ("Unavailable_or_hard_fail", "Review", "Pass")
+
+
+def trace_status(flags: DataFrame) -> DataFrame:
+    named = lambda rules: F.filter(F.array(*[F.when(F.expr(c), F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull())
+    hard, soft = named(HARD_FLAGS), named(REVIEW_FLAGS)
+    return flags.withColumn("flags", F.array_join(F.concat(hard, soft), ";")).withColumn(
+        "status", cascade([(F.size(hard) > 0, STATUS_NAMES[0]), (F.size(soft) > 0, STATUS_NAMES[1])], STATUS_NAMES[2]))

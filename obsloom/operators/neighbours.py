@@ -45,8 +45,10 @@ def _matrix(col: pd.Series) -> np.ndarray:
     return np.stack(col.to_numpy()) if len(col) else np.zeros((0, 0))
 
 
-def _nearest(q, qid, x, xid, k, bound=None, chunk=512):
-    """Rows (query id, neighbour id, distance): the k smallest by (distance, id), self left out."""
+def _nearest(q, qid, x, xid, k, bound=None, chunk=512, qs=None, xs=None):
+    """Rows (query id, neighbour id, distance): the k smallest by (distance, id), self left out.
+
+    With sides given, only points of the other side count."""
     out = []
     for s in range(0, len(q), chunk):
         qq, ids = q[s:s + chunk], qid[s:s + chunk]
@@ -55,6 +57,8 @@ def _nearest(q, qid, x, xid, k, bound=None, chunk=512):
             diff = qq[:, j, None] - x[None, :, j]
             d += diff * diff
         d[ids[:, None] == xid[None, :]] = np.inf
+        if qs is not None:
+            d[qs[s:s + chunk, None] == xs[None, :]] = np.inf
         if bound is not None:
             d[d > (bound[s:s + chunk] ** 2 * (1 + 1e-9))[:, None]] = np.inf
         kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
@@ -69,13 +73,17 @@ def _nearest(q, qid, x, xid, k, bound=None, chunk=512):
 
 
 def knn(df: DataFrame, id_col: str, vec: str, k: int, leaf_rows: int = 2048,
-        queries_per_task: int = QUERIES_PER_TASK) -> DataFrame:
-    """(id, nbr, dist, rn) for the k nearest others, Euclidean, ties by id. Ids are BIGINT."""
-    spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))
-    first = Window.partitionBy("v").orderBy("id")
+        queries_per_task: int = QUERIES_PER_TASK, side: str | None = None) -> DataFrame:
+    """(id, nbr, dist, rn) for the k nearest others, Euclidean, ties by id. Ids are BIGINT.
+
+    ``side`` (boolean column): neighbours are looked for on the other side only.
+    """
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"),
+                     (F.col(side) if side else F.lit(False)).alias("sd"))
+    cross = side is not None
+    first = Window.partitionBy("v", "sd").orderBy("id")
     heads = rows.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k + 1)
-    points = heads.groupBy("v").agg(F.min("id").alias("pid"), F.sort_array(F.collect_list("id")).alias("ids"))
+    points = heads.groupBy("v", "sd").agg(F.min("id").alias("pid"), F.sort_array(F.collect_list("id")).alias("ids"))
     n = points.count()
     levels, dims, cuts = _plan_tree(points, n, leaf_rows)
 
@@ -86,13 +94,14 @@ def knn(df: DataFrame, id_col: str, vec: str, k: int, leaf_rows: int = 2048,
             node = 2 * node + (m[np.arange(len(m)), dims[node]] > cuts[node])
         return pd.Series(node.astype("int32"))
 
-    placed = points.select("pid", "v", leaf_of("v").alias("leaf"))
+    placed = points.select("pid", "v", "sd", leaf_of("v").alias("leaf"))
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         x, ids = _matrix(pdf["v"]), pdf["pid"].to_numpy()
         if len(x) == 1:
             return pd.DataFrame({"pid": ids, "nid": [None], "dist": [float("inf")]})
-        return _nearest(x, ids, x, ids, k)
+        sd = pdf["sd"].to_numpy() if cross else None
+        return _nearest(x, ids, x, ids, k, qs=sd, xs=sd)
 
     own = placed.groupBy("leaf").applyInPandas(inside, "pid long, nid long, dist double")
     found = own.where(F.col("nid").isNotNull())
@@ -117,10 +126,10 @@ def knn(df: DataFrame, id_col: str, vec: str, k: int, leaf_rows: int = 2048,
         radius = found.groupBy("pid").agg(F.count("*").alias("m"), F.max("dist").alias("d"))
         radius = radius.select("pid", F.when(F.col("m") >= k, F.col("d")).otherwise(F.lit(float("inf"))).alias("r"))
         asks = (placed.join(radius, "pid", "left").withColumn("r", F.coalesce("r", F.lit(float("inf"))))
-                .select("pid", "v", "r", F.explode(reach("v", "r", "leaf")).alias("leaf")))
+                .select("pid", "v", "sd", "r", F.explode(reach("v", "r", "leaf")).alias("leaf")))
         load = asks.groupBy("leaf").agg(F.ceil(F.count("*") / queries_per_task).cast("int").alias("parts"))
         asks = asks.join(load, "leaf").withColumn("salt", F.pmod(F.hash("pid"), F.col("parts")))
-        copies = placed.join(load, "leaf").select("pid", "v", "leaf",
+        copies = placed.join(load, "leaf").select("pid", "v", "sd", "leaf",
                                                   F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
 
         def across(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
@@ -128,7 +137,7 @@ def knn(df: DataFrame, id_col: str, vec: str, k: int, leaf_rows: int = 2048,
                 return pd.DataFrame({"pid": [], "nid": [], "dist": []}).astype(
                     {"pid": "int64", "nid": "int64", "dist": "float64"})
             return _nearest(_matrix(q["v"]), q["pid"].to_numpy(), _matrix(x["v"]), x["pid"].to_numpy(), k,
-                            q["r"].to_numpy())
+                            q["r"].to_numpy(), qs=q["sd"].to_numpy() if cross else None, xs=x["sd"].to_numpy() if cross else None)
 
         more = asks.groupBy("leaf", "salt").cogroup(copies.groupBy("leaf", "salt")).applyInPandas(
             across, "pid long, nid long, dist double")
@@ -140,9 +149,9 @@ def knn(df: DataFrame, id_col: str, vec: str, k: int, leaf_rows: int = 2048,
         F.col("dist").alias("dist"), i.alias("nbr"))).alias("c"))
     selfs = points.select("pid", F.transform("ids", lambda i: F.struct(F.lit(0.0).alias("dist"), i.alias("nbr"))).alias("c"))
     # at most (k + 1) squared candidates per distinct vector
-    cand = others.unionByName(selfs).groupBy("pid").agg(
+    cand = (others if cross else others.unionByName(selfs)).groupBy("pid").agg(
         F.slice(F.sort_array(F.flatten(F.collect_list("c"))), 1, k + 1).alias("c"))
-    members = rows.join(points.select("v", "pid"), "v").select("id", "pid")
+    members = rows.join(points.select("v", "sd", "pid"), ["v", "sd"]).select("id", "pid")
     near = members.join(cand, "pid").select(
         "id", F.posexplode(F.slice(F.filter("c", lambda s: s["nbr"] != F.col("id")), 1, k)).alias("p", "s"))
     return near.select(F.col("id").alias(id_col), F.col("s.nbr").alias("nbr"), F.col("s.dist").alias("dist"),

@@ -30,8 +30,8 @@ def query(name: str, sql: str | None = None, dbl: str = "", big: str = "", d: in
         assert name not in QUERIES, name
         QUERIES[name] = lambda spark, sf_dir: _shape(fn(spark, sf_dir), dbl, big)
         if sql:
-            edits = [f"round(CAST({c} AS DOUBLE), {k}) + 0.0 AS {c}" for c, k in dbl.items()]
-            edits += [f"CAST({c} AS BIGINT) AS {c}" for c in big]
+            edits = [f'round(CAST("{c}" AS DOUBLE), {k}) + 0.0 AS "{c}"' for c, k in dbl.items()]
+            edits += [f'CAST("{c}" AS BIGINT) AS "{c}"' for c in big]
             head = f"SELECT * REPLACE ({', '.join(edits)})" if edits else "SELECT *"
             ORACLES[name] = f"{head} FROM (\n{sql.strip()}\n) AS result_rows"
         return fn
