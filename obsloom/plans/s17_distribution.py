@@ -100,13 +100,15 @@ def _(spark, sf):
     return U.frozen_counts(table(spark, sf, "orders"), "o_orderstatus", e)
 
 
-_SQLPAT = {n: p.replace("'", "''") for n, p in U.TEXT_PATTERNS.items()}
+# the fixed patterns plus two of the caller's own
+SCAN = U.TEXT_PATTERNS | {"assigned_token": r"token\s*=\s*.[0-9a-f]{20,}", "mail_address": r"[A-Za-z0-9._]+@[A-Za-z0-9.]+\.com"}
+_SQLPAT = {n: p.replace("'", "''") for n, p in SCAN.items()}
 
 
 @query("text_pattern_scan", "WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\r\\n|\\r|\\n')) AS t, generate_subscripts(regexp_split_to_array(text, '\\r\\n|\\r|\\n'), 1) AS line FROM documents) "
        + " UNION ALL ".join(f"SELECT doc_id, line, '{n}' AS pattern FROM l WHERE regexp_matches(t, '{p}')" for n, p in _SQLPAT.items()), big="line")
 def _(spark, sf):
-    return U.text_scan(table(spark, sf, "documents"), "doc_id", "text")
+    return U.text_scan(table(spark, sf, "documents"), "doc_id", "text", SCAN)
 
 
 @query("manifest_verify")
