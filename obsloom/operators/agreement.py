@@ -14,24 +14,31 @@ def contingency(df: DataFrame, a: str, b: str, keys=()) -> DataFrame:
 
 
 def agreement(cells: DataFrame, keys=()) -> DataFrame:
-    """n, ARI, NMI (geometric and arithmetic), purity both ways."""
-    keys = list(keys) or ["_k"]
-    c = cells if keys != ["_k"] else cells.withColumn("_k", F.lit(1))
+    """n, ARI, NMI (geometric and arithmetic), purity both ways.
+
+    Margins are windows over the contingency table; the first cell of each margin carries its
+    term, so one aggregate per key yields every sum. H = ln n - sum(m ln m) / n.
+    """
+    keys = list(keys)
+    k = keys or ["_k"]
+    c = cells if keys else cells.withColumn("_k", F.lit(1))
     pairs = lambda x: x * (x - 1) / 2
-    n = c.groupBy(*keys).agg(F.sum("n_ab").alias("n"), F.sum(pairs(F.col("n_ab"))).alias("s_ab"))
-    side = {}
-    for s in ("a", "b"):
-        m = c.groupBy(*keys, s).agg(F.sum("n_ab").alias("m"), F.max("n_ab").alias("top")).join(n, keys)
-        p = F.col("m") / F.col("n")
-        side[s] = m.groupBy(*keys).agg(F.sum(pairs(F.col("m"))).alias("s_" + s), (-F.sum(p * F.log(p))).alias("h_" + s),
-                                       (F.sum("top") / F.max("n")).alias("purity_" + s))
-    q = c.join(n.select(*keys, "n"), keys)
-    joint = q.groupBy(*keys).agg((-F.sum(F.col("n_ab") / F.col("n") * F.log(F.col("n_ab") / F.col("n")))).alias("h_ab"))
-    out = n.join(side["a"], keys).join(side["b"], keys).join(joint, keys)
-    expected = F.try_divide(F.col("s_a") * F.col("s_b"), pairs(F.col("n")))
+    sums = [F.sum("n_ab").alias("n"), F.sum(pairs(F.col("n_ab"))).alias("s_ab"), F.sum(F.col("n_ab") * F.log("n_ab")).alias("l_ab")]
+    for s, o in (("a", "b"), ("b", "a")):
+        w = Window.partitionBy(*k, s)
+        c = (c.withColumn("m_" + s, F.sum("n_ab").over(w)).withColumn("t_" + s, F.max("n_ab").over(w))
+             .withColumn("f_" + s, F.row_number().over(w.orderBy(o)) == 1))
+        m, first = F.col("m_" + s), F.col("f_" + s)
+        sums += [F.sum(F.when(first, pairs(m))).alias("s_" + s), F.sum(F.when(first, m * F.log(m))).alias("l_" + s),
+                 F.sum(F.when(first, F.col("t_" + s))).alias("top_" + s)]
+    out = c.groupBy(*k).agg(*sums)
+    n = F.col("n")
+    h = {s: F.log(n) - F.col("l_" + s) / n for s in ("a", "b", "ab")}
+    out = out.select(*k, n, "s_ab", "s_a", "s_b", *[h[s].alias("h_" + s) for s in h], (F.col("top_a") / n).alias("purity_a"), (F.col("top_b") / n).alias("purity_b"))
+    expected = F.try_divide(F.col("s_a") * F.col("s_b"), pairs(n))
     ari = F.try_divide(F.col("s_ab") - expected, (F.col("s_a") + F.col("s_b")) / 2 - expected)
     mi = F.greatest(F.col("h_a") + F.col("h_b") - F.col("h_ab"), F.lit(0.0))
-    return out.select(*[k for k in keys if k != "_k"], F.col("n").cast("long").alias("n"), F.coalesce(ari, F.lit(1.0)).alias("ari"),
+    return out.select(*keys, n.cast("long").alias("n"), F.coalesce(ari, F.lit(1.0)).alias("ari"),
                       F.coalesce(F.try_divide(mi, F.sqrt(F.col("h_a") * F.col("h_b"))), F.lit(1.0)).alias("nmi_sqrt"),
                       F.coalesce(F.try_divide(2 * mi, F.col("h_a") + F.col("h_b")), F.lit(1.0)).alias("nmi_mean"), "purity_a", "purity_b")
 

@@ -5,9 +5,10 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalar import draw
+from ..runtime import stage
 from . import order
 
 
@@ -18,19 +19,19 @@ def cell_counts(df: DataFrame, a: str, b: str, keys=()) -> DataFrame:
 def chi_square(cells: DataFrame, keys=()) -> DataFrame:
     """Chi-square without continuity correction, V, bias-corrected V, expected counts below 5.
 
-    Absent cells add their expected count, which equals n minus what present cells expect.
+    Sum over present cells of o^2 / e, minus n, covers absent cells as well; margins are windows
+    over the cell table, so the rows behind it are read once.
     """
     keys = list(keys)
-    c = cells if keys else cells.withColumn("_k", F.lit(1))
     k = keys or ["_k"]
-    ra = c.groupBy(*k, "a").agg(F.sum("n_ab").alias("n_a"))
-    cb = c.groupBy(*k, "b").agg(F.sum("n_ab").alias("n_b"))
-    dims = ra.groupBy(*k).agg(F.sum("n_a").alias("n"), F.count("*").alias("r")).join(cb.groupBy(*k).agg(F.count("*").alias("c")), k)
-    full = ra.join(cb, k).join(dims, k).join(c, [*k, "a", "b"], "left")
-    e = F.col("n_a") * F.col("n_b") / F.col("n")
-    o = F.coalesce("n_ab", F.lit(0))
-    s = full.groupBy(*k).agg(F.max("n").alias("n"), F.max("r").alias("r"), F.max("c").alias("c"), F.sum((o - e) * (o - e) / e).alias("chi2"),
-                             F.count_if(e < 5).alias("n_low_expected"))
+    c = cells if keys else cells.withColumn("_k", F.lit(1))
+    c = c.withColumn("n_a", F.sum("n_ab").over(Window.partitionBy(*k, "a"))).withColumn("n_b", F.sum("n_ab").over(Window.partitionBy(*k, "b")))
+    s = c.groupBy(*k).agg(F.sum("n_ab").alias("n"), F.sum(F.col("n_ab").cast("double") * F.col("n_ab") / (F.col("n_a").cast("double") * F.col("n_b"))).alias("_s"),
+                          F.collect_set(F.struct("a", "n_a")).alias("_a"), F.collect_set(F.struct("b", "n_b")).alias("_b"))
+    low = F.aggregate("_a", F.lit(0).cast("long"), lambda t, x: t + F.size(F.filter(
+        "_b", lambda y: x["n_a"].cast("double") * y["n_b"] / F.col("n") < 5)))
+    s = s.select(*k, "n", F.size("_a").cast("long").alias("r"), F.size("_b").cast("long").alias("c"),
+                 F.greatest(F.col("n") * F.col("_s") - F.col("n"), F.lit(0.0)).alias("chi2"), low.alias("n_low_expected"))
     n, r, q = F.col("n").cast("double"), F.col("r"), F.col("c")
     phi = F.greatest(F.lit(0.0), F.col("chi2") / n - (q - 1) * (r - 1) / (n - 1))
     rc, qc = r - (r - 1) * (r - 1) / (n - 1), q - (q - 1) * (q - 1) / (n - 1)
@@ -54,7 +55,7 @@ def permuted_labels(df: DataFrame, id_col: str, label: str, stratum: str, reps,
 
 def summarise_null(null: DataFrame, observed: DataFrame, stat: str = "v") -> DataFrame:
     """Empirical p with the +1 rule, and quantiles of the null (one row per repeat)."""
-    one = null.select(F.lit(1).alias("_g"), stat)
+    one = stage(null.select(F.lit(1).alias("_g"), stat))
     q = order.quantiles(one, ["_g"], stat, {"null_median": .5, "null_q025": .025, "null_q975": .975})
     obs = observed.select(F.lit(1).alias("_g"), F.col(stat).alias("observed"))
     p = one.join(obs, "_g").groupBy("_g", "observed").agg(

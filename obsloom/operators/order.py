@@ -32,24 +32,29 @@ def _bucketed(df: DataFrame, value: str, rows_per_bucket: int) -> DataFrame:
         df.withColumn("_bv", F.col(value).cast("double") + F.lit(0.0))).drop("_bv")
 
 
-def _running(df: DataFrame, keys, order, weight: str, bucket_of, small: bool) -> DataFrame:
-    """Adds ``cum`` (running weight in order) and ``n`` (total weight) per key."""
+def _running(df: DataFrame, keys, order, weights, bucket_of, small: bool, peers: bool = False) -> DataFrame:
+    """Adds ``cum`` (running weight in order) and ``n`` (total weight) per key; further weights
+    get ``cum_<w>`` and ``n_<w>``. With ``peers`` rows that tie in the order share the running weight."""
+    weights = [weights] if isinstance(weights, str) else list(weights)
+    names = {w: ("cum", "n") if i == 0 else (f"cum_{w}", f"n_{w}") for i, w in enumerate(weights)}
+    run = (Window.unboundedPreceding, 0)
+    upto = lambda w: w.rangeBetween(Window.unboundedPreceding, Window.currentRow) if peers else w.rowsBetween(*run)
     if small:
         part = Window.partitionBy(*keys)
-        return (df.withColumn("cum", F.sum(weight).over(part.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-                .withColumn("n", F.sum(weight).over(part)))
+        return (df.withColumns({names[w][0]: F.sum(w).over(upto(part.orderBy(*order))) for w in weights})
+                .withColumns({names[w][1]: F.sum(w).over(part) for w in weights}))
     df = bucket_of(df)
     by_key = Window.partitionBy(*keys)
-    offsets = (df.groupBy(*keys, "_bucket").agg(F.sum(weight).alias("_w"))
-               .withColumn("_before", F.sum("_w").over(
-                   by_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_w"))
-               .withColumn("n", F.sum("_w").over(by_key)).drop("_w"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (df.withColumn("cum", F.sum(weight).over(inside)).join(offsets, [*keys, "_bucket"])
-            .withColumn("cum", F.col("cum") + F.col("_before")).drop("_bucket", "_before"))
+    offsets = df.groupBy(*keys, "_bucket").agg(*[F.sum(w).alias("_w_" + w) for w in weights])
+    offsets = offsets.withColumns({"_b_" + w: F.sum("_w_" + w).over(by_key.orderBy("_bucket").rowsBetween(*run)) - F.col("_w_" + w) for w in weights})
+    offsets = offsets.withColumns({names[w][1]: F.sum("_w_" + w).over(by_key) for w in weights}).drop(*["_w_" + w for w in weights])
+    inside = upto(Window.partitionBy(*keys, "_bucket").orderBy(*order))
+    out = df.withColumns({names[w][0]: F.sum(w).over(inside) for w in weights}).join(offsets, [*keys, "_bucket"])
+    return (out.withColumns({names[w][0]: F.col(names[w][0]) + F.col("_b_" + w) for w in weights})
+            .drop("_bucket", *["_b_" + w for w in weights]))
 
 
-def cumulative_counts(counts: DataFrame, keys, value: str, weight: str = "c", small: bool | None = None,
+def cumulative_counts(counts: DataFrame, keys, value: str, weight="c", small: bool | None = None,
                       rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """``counts`` holds one row per (key, value); value ascending."""
     small = is_small(counts) if small is None else small
@@ -66,13 +71,16 @@ def avg_ranks(df: DataFrame, keys, value: str, **kw) -> DataFrame:
             .withColumn("rank", F.col("cum") - (F.col("c") - 1) / 2))
 
 
-def rank_cells(df: DataFrame, keys, value: str, by, **kw) -> DataFrame:
+def rank_cells(df: DataFrame, keys, value: str, by, small: bool | None = None,
+               rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Per (key, value, by): ``c_by``, with the tie-averaged rank of the value inside the key."""
     by = [by] if isinstance(by, str) else list(by)
-    cells = (df.where(F.col(value).isNotNull()).groupBy(*keys, value, *by).agg(F.count("*").alias("c_by")))
-    totals = cells.groupBy(*keys, value).agg(F.sum("c_by").alias("c"))
-    ranks = cumulative_counts(totals, keys, value, **kw).withColumn("rank", F.col("cum") - (F.col("c") - 1) / 2)
-    return cells.join(ranks, [*keys, value])
+    cells = df.where(F.col(value).isNotNull()).groupBy(*keys, value, *by).agg(F.count("*").alias("c_by"))
+    small = is_small(cells) if small is None else small
+    # tied cells share the running count, so no separate count per value has to be joined back
+    ranked = _running(cells, list(keys), [value], "c_by", lambda d: _bucketed(d, value, rows_per_bucket), small, peers=True)
+    return (ranked.withColumn("c", F.sum("c_by").over(Window.partitionBy(*keys, value)))
+            .withColumn("rank", F.col("cum") - (F.col("c") - 1) / 2))
 
 
 def rank_rows(df: DataFrame, keys, value: str, out: str = "rank", **kw) -> DataFrame:

@@ -1,10 +1,11 @@
 """Rank tests and variance tests from per-value counts; rows are never ranked one by one."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import special
 from ..functions.scalar import chi2_sf_even
+from ..runtime import cut
 from . import multiplicity, order
 
 
@@ -12,11 +13,11 @@ def rank_sums(long: DataFrame, keys=("feature",), group="class") -> DataFrame:
     """Per key and group: n_g, rank sum; with the key's N and tie sum on each row."""
     keys = list(keys)
     cells = order.rank_cells(long, keys, "value", group)
-    g = cells.groupBy(*keys, group).agg(F.sum("c_by").alias("n_g"), F.sum(F.col("c_by") * F.col("rank")).alias("rank_sum"))
-    # ties once per distinct value: weight each cell by its share of the value's rows
-    t = cells.groupBy(*keys).agg(F.max("n").alias("n"), F.sum(
-        F.col("c_by").cast("double") * (F.col("c").cast("double") * F.col("c") - 1)).alias("tie_sum"))
-    return g.join(t, keys)
+    # each cell carries its share of the tie term of its value; the window runs on one row per group
+    tie = F.col("c_by").cast("double") * (F.col("c").cast("double") * F.col("c") - 1)
+    g = cells.groupBy(*keys, group).agg(F.sum("c_by").alias("n_g"), F.sum(F.col("c_by") * F.col("rank")).alias("rank_sum"),
+                                        F.max("n").alias("n"), F.sum(tie).alias("_t"))
+    return g.withColumn("tie_sum", F.sum("_t").over(Window.partitionBy(*keys))).drop("_t")
 
 
 def kruskal_wallis(sums: DataFrame, keys=("feature",), even_df: int | None = None) -> DataFrame:
@@ -41,6 +42,7 @@ def dunn(sums: DataFrame, keys=("feature",), group="class", p_value=True) -> Dat
     The self-join runs on the rank-sum table, one row per group, not on observations.
     """
     keys = list(keys)
+    sums = cut(sums)
     a = sums.select(*keys, F.col(group).alias("g1"), F.col("n_g").alias("n1"), (F.col("rank_sum") / F.col("n_g")).alias("m1"),
                     "n", "tie_sum")
     b = sums.select(*keys, F.col(group).alias("g2"), F.col("n_g").alias("n2"), (F.col("rank_sum") / F.col("n_g")).alias("m2"))
@@ -79,6 +81,7 @@ def brown_forsythe(long: DataFrame, keys=("feature",), group="class", p_value=Tr
     med = order.quantiles(long, [*keys, group], "value", {"med": .5})
     dev = long.where(F.col("value").isNotNull()).join(med, [*keys, group]).withColumn("d", F.abs(F.col("value") - F.col("med")))
     g = dev.groupBy(*keys, group).agg(F.count("*").alias("n_g"), F.avg("d").alias("m"), F.var_pop("d").alias("v"), F.var_samp("value").alias("var"))
+    g = cut(g)
     tot = g.groupBy(*keys).agg(F.sum("n_g").alias("n"), F.count("*").alias("k"), (F.sum(F.col("n_g") * F.col("m")) / F.sum("n_g")).alias("gm"),
                                F.sum(F.col("n_g") * F.col("v")).alias("ssw"), (F.max("var") / F.min("var")).alias("variance_ratio"))
     ssb = g.join(tot.select(*keys, "gm"), keys).groupBy(*keys).agg(F.sum(F.col("n_g") * F.pow(F.col("m") - F.col("gm"), F.lit(2.0))).alias("ssb"))

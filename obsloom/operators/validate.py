@@ -69,27 +69,30 @@ def confusion(oof: DataFrame, keys=(), levels=None) -> DataFrame:
 
 
 def class_metrics(conf: DataFrame, keys=(), weight: str = "n") -> DataFrame:
-    """Per class precision, recall, specificity, F1 with the overall figures on each row."""
-    keys = list(keys) or ["_k"]
-    c = conf if keys != ["_k"] else conf.withColumn("_k", F.lit(1))
-    w = F.col(weight).cast("double")
-    t = c.groupBy(*keys, F.col("truth").alias("cls")).agg(F.sum(w).alias("actual"), F.sum(F.when(F.col("truth") == F.col("pred"), w).otherwise(0.0)).alias("tp"))
-    p = c.groupBy(*keys, F.col("pred").alias("cls")).agg(F.sum(w).alias("predicted"))
-    m = t.join(p, [*keys, "cls"], "full_outer").na.fill(0.0, ["actual", "tp", "predicted"])
-    tot = m.groupBy(*keys).agg(F.sum("actual").alias("n"), F.sum("tp").alias("hit"), F.sum(F.col("actual") * F.col("predicted")).alias("ap"),
-                               F.sum(F.col("actual") * F.col("actual")).alias("aa"), F.sum(F.col("predicted") * F.col("predicted")).alias("pp"))
-    m = m.join(tot, keys)
-    zero = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    tp, act, pre, n = (F.col(x) for x in ("tp", "actual", "predicted", "n"))
-    m = (m.withColumn("precision", zero(tp, pre)).withColumn("recall", zero(tp, act)).withColumn("f1", zero(2 * tp, act + pre))
-         .withColumn("specificity", zero(n - act - pre + tp, n - act)))
-    agg = m.groupBy(*keys).agg((F.max("hit") / F.max("n")).alias("accuracy"), F.avg(F.when(act > 0, F.col("recall"))).alias("balanced_accuracy"), F.avg("f1").alias("macro_f1"))
-    hit, ap = F.col("hit"), F.col("ap")
-    mcc = F.coalesce(F.try_divide(hit * n - ap, F.sqrt(n * n - F.col("pp")) * F.sqrt(n * n - F.col("aa"))), F.lit(0.0))
-    kappa = F.coalesce(F.try_divide(hit * n - ap, n * n - ap), F.lit(0.0))
-    out = m.withColumn("mcc", mcc).withColumn("kappa", kappa).join(agg, keys)
-    return out.select(*[k for k in keys if k != "_k"], "cls", act.cast("long").alias("support"), "precision", "recall", "specificity", "f1",
-                      "accuracy", "balanced_accuracy", "macro_f1", "mcc", "kappa")
+    """Per class precision, recall, specificity, F1 with the overall figures on each row.
+
+    Every cell gives its count to its truth and to its prediction; the rest are windows over one
+    row per class.
+    """
+    keys = list(keys)
+    k = keys or ["_k"]
+    c = conf if keys else conf.withColumn("_k", F.lit(1))
+    w, hit, zero = F.col(weight).cast("double"), F.col("truth") == F.col("pred"), F.lit(0.0)
+    two = F.array(F.struct(F.col("truth").alias("cls"), w.alias("actual"), zero.alias("predicted"), F.when(hit, w).otherwise(zero).alias("tp")),
+                  F.struct(F.col("pred").alias("cls"), zero.alias("actual"), w.alias("predicted"), zero.alias("tp")))
+    m = c.select(*k, F.explode(two).alias("s")).groupBy(*k, "s.cls").agg(*[F.sum(f"s.{x}").alias(x) for x in ("actual", "predicted", "tp")])
+    key = Window.partitionBy(*k)
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), zero)
+    tp, act, pre, n = (F.col(x) for x in ("tp", "actual", "predicted", "_n"))
+    m = m.withColumns({"_n": F.sum("actual").over(key), "_hit": F.sum("tp").over(key), "_ap": F.sum(act * pre).over(key),
+                       "_aa": F.sum(act * act).over(key), "_pp": F.sum(pre * pre).over(key)})
+    m = (m.withColumn("precision", ratio(tp, pre)).withColumn("recall", ratio(tp, act)).withColumn("f1", ratio(2 * tp, act + pre))
+         .withColumn("specificity", ratio(n - act - pre + tp, n - act)))
+    h, ap = F.col("_hit"), F.col("_ap")
+    m = m.withColumns({"accuracy": ratio(h, n), "balanced_accuracy": F.avg(F.when(act > 0, F.col("recall"))).over(key), "macro_f1": F.avg("f1").over(key),
+                       "mcc": ratio(h * n - ap, F.sqrt(n * n - F.col("_pp")) * F.sqrt(n * n - F.col("_aa"))), "kappa": ratio(h * n - ap, n * n - ap)})
+    return m.select(*keys, "cls", act.cast("long").alias("support"), "precision", "recall", "specificity", "f1",
+                    "accuracy", "balanced_accuracy", "macro_f1", "mcc", "kappa")
 
 
 def overall(conf: DataFrame, keys=(), weight="n") -> DataFrame:
@@ -110,10 +113,11 @@ def calibration(oof: DataFrame, probs: dict, bins: int = 10) -> DataFrame:
                    (-F.log(F.greatest(p_true, F.lit(1e-15)))).alias("ll"), brier.alias("br"))
     b = x.withColumn("bin", F.least(F.floor(F.col("conf") * bins), F.lit(bins - 1))).groupBy("bin").agg(
         F.count("*").alias("n"), F.avg("conf").alias("mean_conf"), F.avg("hit").alias("accuracy"), F.sum("ll").alias("ll"), F.sum("br").alias("br"))
-    tot = b.agg(F.sum("n").alias("_n"), (F.sum("ll") / F.sum("n")).alias("log_loss"), (F.sum("br") / F.sum("n")).alias("brier"),
-                (F.sum(F.col("n") * F.abs(F.col("accuracy") - F.col("mean_conf"))) / F.sum("n")).alias("ece"))
-    one = F.lit(1)
-    return b.drop("ll", "br").withColumn("_k", one).join(tot.withColumn("_k", one), "_k").drop("_k", "_n")
+    allb = Window.partitionBy(F.lit(1))  # at most ``bins`` rows
+    n = F.sum("n").over(allb)
+    gap = F.col("n") * F.abs(F.col("accuracy") - F.col("mean_conf"))
+    return b.select("bin", "n", "mean_conf", "accuracy", (F.sum("ll").over(allb) / n).alias("log_loss"), (F.sum("br").over(allb) / n).alias("brier"),
+                    (F.sum(gap).over(allb) / n).alias("ece"))
 
 
 def one_vs_rest(oof: DataFrame, probs: dict) -> DataFrame:
@@ -125,25 +129,23 @@ def one_vs_rest(oof: DataFrame, probs: dict) -> DataFrame:
 
 def roc_pr(scores: DataFrame) -> DataFrame:
     """One row per distinct threshold and class: cumulative counts, rates, precision."""
-    v = scores.select("cls", (-F.col("score")).alias("neg"), "y").groupBy("cls", "neg").agg(F.count("*").alias("c"), F.sum("y").alias("c_pos"))
-    allc = order.cumulative_counts(v.select("cls", "neg", "c"), ["cls"], "neg").select("cls", "neg", F.col("cum").alias("n_at"), F.col("n").alias("n"))
-    pos = order.cumulative_counts(v.select("cls", "neg", F.col("c_pos").alias("c")), ["cls"], "neg").select("cls", "neg", F.col("c").alias("d_tp"), F.col("cum").alias("tp"), F.col("n").alias("n_pos"))
-    c = allc.join(pos, ["cls", "neg"])
-    fp, n_neg = F.col("n_at") - F.col("tp"), F.col("n") - F.col("n_pos")
-    return c.select("cls", (-F.col("neg")).alias("threshold"), "tp", fp.alias("fp"), F.try_divide(F.col("tp"), F.col("n_pos")).alias("tpr"),
-                    F.try_divide(fp, n_neg).alias("fpr"), (F.col("tp") / F.col("n_at")).alias("precision"), "d_tp", "n_pos", n_neg.alias("n_neg"), "n_at")
-
-
-def auc_ap(curve: DataFrame, scores: DataFrame) -> DataFrame:
-    """AUC from rank sums, average precision from the curve; macro row is the class mean."""
-    cells = order.rank_cells(scores.withColumnRenamed("score", "value"), ["cls"], "value", "y")
-    r = cells.groupBy("cls").agg(F.sum(F.when(F.col("y") == 1, F.col("c_by") * F.col("rank"))).alias("rs"), F.sum(F.when(F.col("y") == 1, F.col("c_by"))).cast("double").alias("p"),
-                                 F.sum(F.when(F.col("y") == 0, F.col("c_by"))).cast("double").alias("q"))
-    auc = r.select("cls", F.try_divide(F.col("rs") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")).alias("auc"))
-    ap = curve.groupBy("cls").agg((F.sum(F.col("d_tp") * F.col("precision")) / F.max("n_pos")).alias("ap"))
-    per = auc.join(ap, "cls")
-    macro = per.where("cls <> 'micro'").agg(F.avg("auc").alias("auc"), F.avg("ap").alias("ap")).select(F.lit("macro").alias("cls"), "auc", "ap")
-    return per.unionByName(macro)
+    v = scores.select("cls", (-F.col("score")).alias("neg"), "y").groupBy("cls", "neg").agg(F.count("*").alias("c"), F.sum("y").alias("y"))
+    c = order.cumulative_counts(v, ["cls"], "neg", weight=["c", "y"])
+    tp, n_at, n_pos = F.col("cum_y"), F.col("cum"), F.col("n_y")
+    n_neg = F.col("n") - n_pos
+    return c.select("cls", (-F.col("neg")).alias("threshold"), tp.alias("tp"), (n_at - tp).alias("fp"), F.try_divide(tp, n_pos).alias("tpr"),
+                    F.try_divide(n_at - tp, n_neg).alias("fpr"), (tp / n_at).alias("precision"), F.col("y").alias("d_tp"),
+                    (F.col("c") - F.col("y")).alias("d_fp"), n_pos.alias("n_pos"), n_neg.alias("n_neg"))
+
+
+def auc_ap(curve: DataFrame) -> DataFrame:
+    """AUC (ties count half) and average precision from the curve; macro row is the class mean."""
+    won = F.col("d_fp").cast("double") * (F.col("tp") - F.col("d_tp") / 2)
+    per = curve.groupBy("cls").agg(F.try_divide(F.sum(won), F.max("n_pos").cast("double") * F.max("n_neg")).alias("auc"),
+                                   (F.sum(F.col("d_tp") * F.col("precision")) / F.max("n_pos")).alias("ap"))
+    own = F.when(F.col("cls") != "micro", F.lit("macro"))
+    both = per.withColumn("out", F.explode(F.array_compact(F.array(F.col("cls"), own))))
+    return both.groupBy(F.col("out").alias("cls")).agg(F.avg("auc").alias("auc"), F.avg("ap").alias("ap"))
 
 
 # ---- discriminant models from moments -----------------------------------------------------------

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..runtime import stage
+
 FEATURES = ["n_lines", "sum_qty", "avg_price", "avg_discount", "avg_tax", "max_ship_gap", "o_totalprice"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 STATUSES = ["F", "O", "P"]
@@ -14,8 +16,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def obs(spark: SparkSession, sf: str, stratum: bool = False) -> DataFrame:
-    """One row per order with its line features; ``stratum`` adds the customer's nation."""
+def obs(spark: SparkSession, sf: str, stratum: bool = False, staged: bool = False) -> DataFrame:
+    """One row per order with its line features; ``stratum`` adds the customer's nation.
+
+    ``staged``: written once to the shared folder, for queries that pass over it several times."""
     lines = (table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
         F.count("*").cast("double").alias("n_lines"),
         F.sum("l_quantity").alias("sum_qty"),
@@ -30,11 +34,12 @@ def obs(spark: SparkSession, sf: str, stratum: bool = False) -> DataFrame:
         cust = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("stratum"))
         out = out.join(cust, out.o_custkey == cust.c_custkey, "left")
         extra = ["stratum"]
-    return out.select(
+    out = out.select(
         F.col("o_orderkey").alias("obs_id"), F.col("o_orderpriority").alias("class"),
         F.col("o_orderstatus").alias("batch"), *extra,
         "n_lines", "sum_qty", "avg_price", "avg_discount", "avg_tax",
         F.datediff("last_ship", "o_orderdate").cast("double").alias("max_ship_gap"), "o_totalprice")
+    return stage(out) if staged else out
 
 
 def obs_missing(spark: SparkSession, sf: str, **kw) -> DataFrame:

@@ -244,7 +244,7 @@ def quantile_scale(long_df, lo=0.025, hi=0.975):
 SELECT obs_id, feature, CASE WHEN b > a THEN least(greatest((value - a) / (b - a), 0), 1) ELSE 0.5 END AS scaled
 FROM long JOIN q USING (feature)""", dbl="scaled")
 def _(spark, sf):
-    return quantile_scale(long(spark, sf)).select("obs_id", "feature", "scaled")
+    return quantile_scale(long(spark, sf, staged=True)).select("obs_id", "feature", "scaled")
 
 
 # Gene name shapes that carry no biology (mitochondrial, ribosomal, predicted, spike-in).

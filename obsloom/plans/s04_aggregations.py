@@ -35,7 +35,7 @@ def _(spark, sf):
 SELECT *, sd / sqrt(n) AS sem, mean - 1.96 * (sd / sqrt(n)) AS ci_low, mean + 1.96 * (sd / sqrt(n)) AS ci_high, q3 - q1 AS iqr FROM s""",
        dbl='mean sd variance:1 min max q1 median q3 sem ci_low ci_high iqr', d=4)
 def _(spark, sf):
-    return A.descriptive(long_of(obs_missing(spark, sf), ["obs_id", "class"], FEATURES))
+    return A.descriptive(long_of(obs_missing(spark, sf, staged=True), ["obs_id", "class"], FEATURES))
 
 
 @query("descriptive_shape", f"""WITH {SQL_LONG_MISSING}, s AS (SELECT feature, class, count(value) AS n, count(*) - count(value) AS n_missing,
@@ -113,7 +113,7 @@ SELECT *, CASE WHEN n_unique <= 1 THEN 'drop' WHEN missing_rate > 0.2 THEN 'sens
  CASE WHEN abs_skew > 1 THEN 'strong' WHEN abs_skew >= 0.5 THEN 'moderate' ELSE 'symmetric' END AS skew_status,
  CASE WHEN abs_skew > 1 THEN 'log1p' WHEN abs_skew >= 0.5 THEN 'inspect' ELSE 'none' END AS transform FROM s""", dbl="missing_rate abs_skew")
 def _(spark, sf):
-    df = long_of(obs_missing(spark, sf), ["obs_id", "batch"], FEATURES)
+    df = long_of(obs_missing(spark, sf, staged=True), ["obs_id", "batch"], FEATURES)
     vc = order.value_counts(df, ["feature"], "value").groupBy("feature").agg(F.count("*").alias("n_unique"))
     s = df.groupBy("feature").agg(F.count("value").alias("n_all"), F.count(F.when(F.col("batch") != "P", F.col("value"))).alias("n_eligible"),
                                   (1 - F.count("value") / F.count("*")).alias("missing_rate"), A.g1().alias("g"))
@@ -131,7 +131,7 @@ VC_SQL = """vc AS (SELECT feature, value, count(*) AS c FROM long WHERE value IS
 @query("top_value_fraction", f"""WITH {SQL_LONG_MISSING}, {VC_SQL} SELECT feature, sum(c) AS n, count(*) AS n_unique,
  max(value) FILTER (rn = 1) AS top_value, max(c) / sum(c) AS top_fraction FROM tc GROUP BY 1""", dbl="top_value top_fraction", big="n")
 def _(spark, sf):
-    df = long_of(obs_missing(spark, sf), ["obs_id"], FEATURES)
+    df = long_of(obs_missing(spark, sf, staged=True), ["obs_id"], FEATURES)
     return A.near_zero_variance(df).select("feature", "n", "n_unique", "top_value", "top_fraction")
 
 
@@ -149,7 +149,7 @@ SELECT feature, max(c) FILTER (rn = 1) / max(c) FILTER (rn = 2) AS freq_ratio, 1
  coalesce(max(c) FILTER (rn = 1) / max(c) FILTER (rn = 2) >= 19 AND 100.0 * count(*) / sum(c) <= 10, count(*) <= 1) AS near_zero FROM tc GROUP BY 1""",
        dbl="freq_ratio unique_percent")
 def _(spark, sf):
-    df = obs(spark, sf).withColumn("is_large", (F.col("o_totalprice") > 480000).cast("double"))
+    df = obs(spark, sf, staged=True).withColumn("is_large", (F.col("o_totalprice") > 480000).cast("double"))
     return A.near_zero_variance(long_of(df, ["obs_id"], ["n_lines", "sum_qty", "is_large", "o_totalprice"])).select(
         "feature", "freq_ratio", "unique_percent", "near_zero")
 
@@ -205,7 +205,7 @@ SELECT obs_id, count(*) FILTER (a >= 1.5) AS n_flags, max(a) AS max_abs_z, coale
  CASE WHEN count(*) FILTER (a >= 1.5) >= 2 OR max(a) > 3 THEN 'high' WHEN count(*) FILTER (a >= 1.5) = 1 THEN 'medium' ELSE 'none' END AS priority
 FROM h GROUP BY 1""", dbl="max_abs_z")
 def _(spark, sf):
-    df = obs(spark, sf)
+    df = obs(spark, sf, staged=True)
     return A.flag_rollup(df, standardised(df, ZF), 1.5).select("obs_id", "n_flags", "max_abs_z", "flagged", "priority")
 
 
@@ -213,7 +213,7 @@ def _(spark, sf):
 SELECT class, metric, count(*) AS n_rep, quantile_cont(value, .5) AS median, quantile_cont(value, .025) AS q025, quantile_cont(value, .975) AS q975
 FROM m UNPIVOT (value FOR metric IN (q, p)) GROUP BY 1, 2""", dbl="median q025 q975", d=4)
 def _(spark, sf):
-    m = obs(spark, sf, stratum=True).groupBy("stratum", "class").agg(F.avg("sum_qty").alias("q"), F.avg("o_totalprice").alias("p"))
+    m = obs(spark, sf, stratum=True, staged=True).groupBy("stratum", "class").agg(F.avg("sum_qty").alias("q"), F.avg("o_totalprice").alias("p"))
     return resample_summary(m.unpivot(["stratum", "class"], ["q", "p"], "metric", "value"), ["class", "metric"])
 
 
@@ -241,7 +241,7 @@ _ZALL = ", ".join(f"({f} - avg({f}) OVER ()) / stddev_samp({f}) OVER () AS {f}"
 @query("class_centroid", f"""WITH {SQL_OBS}, z AS (SELECT class, {_ZALL} FROM obs)
 SELECT class, count(*) AS n, {', '.join(f'avg({f}) AS {f}' for f in FEATURES)} FROM z GROUP BY 1""", dbl=" ".join(FEATURES))
 def _(spark, sf):
-    df = obs(spark, sf)
+    df = obs(spark, sf, staged=True)
     z = standardised(df, FEATURES)
     return df.select("class", *[c.alias(f) for f, c in z.items()]).groupBy("class").agg(
         F.count("*").alias("n"), *[F.avg(f).alias(f) for f in FEATURES])
@@ -259,7 +259,7 @@ def _(spark, sf):
  p AS (SELECT feature, max(class) FILTER (rn = 1) AS peak_class, max(z) FILTER (rn = 1) AS peak, max(z) FILTER (rn = 1) - max(z) FILTER (rn = 2) AS margin FROM z GROUP BY 1)
 SELECT *, row_number() OVER (ORDER BY margin DESC, feature) AS position FROM p""", dbl="peak margin", big="position")
 def _(spark, sf):
-    df = long(spark, sf)
+    df = long(spark, sf, staged=True)
     m = df.groupBy("feature", "class").agg(F.avg("value").alias("mu"))
     s = df.groupBy("feature").agg(F.avg("value").alias("m0"), F.stddev_samp("value").alias("s0"))
     z = m.join(s, "feature").withColumn("z", (F.col("mu") - F.col("m0")) / F.col("s0"))

@@ -112,14 +112,14 @@ def group_center(df, group, columns, pull=None):
  avg_tax - avg(avg_tax) OVER (PARTITION BY class) AS avg_tax, avg(max_ship_gap) OVER (PARTITION BY class) + 0.85 * (max_ship_gap - avg(max_ship_gap) OVER (PARTITION BY class)) AS max_ship_gap FROM obs""",
        dbl="sum_qty avg_tax max_ship_gap")
 def _(spark, sf):
-    df = obs(spark, sf).select("obs_id", "class", "sum_qty", "avg_tax", "max_ship_gap")
+    df = obs(spark, sf, staged=True).select("obs_id", "class", "sum_qty", "avg_tax", "max_ship_gap")
     return group_center(group_center(df, "class", ["sum_qty", "avg_tax"]), "class", ["max_ship_gap"], pull=0.85)
 
 
 @query("topk_per_group", f"""WITH {SQL_OBS}, d AS (SELECT obs_id, class, abs(o_totalprice - avg(o_totalprice) OVER (PARTITION BY class)) AS dist FROM obs),
  r AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY dist, obs_id) AS rn FROM d) SELECT * FROM r WHERE rn <= 6""", dbl="dist", big="rn")
 def _(spark, sf):
-    df = group_center(obs(spark, sf).select("obs_id", "class", "o_totalprice"), "class", ["o_totalprice"])
+    df = group_center(obs(spark, sf, staged=True).select("obs_id", "class", "o_totalprice"), "class", ["o_totalprice"])
     return J.topk(df.select("obs_id", "class", F.abs("o_totalprice").alias("dist")), ["class"], ["dist", "obs_id"], 6)
 
 

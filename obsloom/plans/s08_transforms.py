@@ -2,7 +2,8 @@
 from pyspark.sql import functions as F
 
 from ..functions.scalar import draw, yeo_johnson
-from ..operators import order, transforms as T
+from ..operators import transforms as T
+from ..runtime import stage
 from .bindings import (FEATURES, SQL_COUNTS, SQL_LONG, SQL_LONG_MISSING, SQL_OBS, counts, long, long_of, obs, obs_missing, table)
 from .registry import query
 
@@ -18,7 +19,7 @@ SELECT obs_id, feature, CASE WHEN value IS NULL THEN NULL WHEN stddev_samp(value
  CASE WHEN value IS NULL THEN NULL WHEN stddev_pop(value) OVER w > 0 THEN (value - avg(value) OVER w) / stddev_pop(value) OVER w ELSE 0 END AS z0
 FROM l WINDOW w AS (PARTITION BY feature)""", dbl="z1 z0")
 def _(spark, sf):
-    df = long_of(obs_missing(spark, sf).withColumn("constant", F.lit(3.0)), ["obs_id"], FEATURES + ["constant"])
+    df = long_of(obs_missing(spark, sf, staged=True).withColumn("constant", F.lit(3.0)), ["obs_id"], FEATURES + ["constant"])
     return T.zscore(T.zscore(df, 1, out="z1"), 0, out="z0").select("obs_id", "feature", "z1", "z0")
 
 
@@ -28,7 +29,7 @@ SHIFT = """sh AS (SELECT *, ln(1 + (value - min(value) OVER w) / (sum(value) OVE
 
 @query("shift_sum_log1p_z", f"""WITH {SQL_LONG}, {SHIFT} SELECT obs_id, feature, (t - avg(t) OVER w) / stddev_samp(t) OVER w AS z FROM sh WINDOW w AS (PARTITION BY feature)""", dbl="z", d=5)
 def _(spark, sf):
-    return T.shift_sum_log1p_z(long(spark, sf), 1).select("obs_id", "feature", "z")
+    return T.shift_sum_log1p_z(long(spark, sf, staged=True), 1).select("obs_id", "feature", "z")
 
 
 def fold_of(df, k, seed=11):
@@ -45,7 +46,7 @@ SPLIT_SQL = f"""{SQL_LONG}, fl AS (SELECT *, {FOLD_SQL} AS fold FROM long),
 
 
 def folded_long(spark, sf):
-    return fold_of(long(spark, sf, stratum=True), 4)
+    return fold_of(long(spark, sf, stratum=True, staged=True), 4)
 
 
 @query("shift_sum_fit_apply", f"""WITH {SPLIT_SQL} SELECT obs_id, fl.feature, fold, (ln(1 + greatest(value - lo, 0) / total * 10000) - mean) / sd AS z
@@ -60,7 +61,7 @@ def _(spark, sf):
  t2 AS (SELECT obs_id, feature, CASE WHEN contains(feature, 'ratio') THEN log2(value) ELSE t END AS t FROM sh)
 SELECT obs_id, feature, (t - avg(t) OVER w) / stddev_pop(t) OVER w AS z FROM t2 WINDOW w AS (PARTITION BY feature)""", dbl="z", d=5)
 def _(spark, sf):
-    df = obs(spark, sf).withColumn("price_ratio", F.col("o_totalprice") / F.col("avg_price"))
+    df = obs(spark, sf, staged=True).withColumn("price_ratio", F.col("o_totalprice") / F.col("avg_price"))
     return T.ratio_branch(long_of(df, ["obs_id"], ["price_ratio", "sum_qty", "max_ship_gap"])).select("obs_id", "feature", "z")
 
 
@@ -78,12 +79,12 @@ def _(spark, sf):
 
 @query("yeo_johnson_fit", dbl="lam:3 log_lik:2")
 def _(spark, sf):
-    return T.fit_yeo_johnson(long(spark, sf))
+    return T.fit_yeo_johnson(long(spark, sf, staged=True))
 
 
 @query("adaptive_transform", dbl="t z")
 def _(spark, sf):
-    return T.adaptive_transform(long(spark, sf)).select("obs_id", "feature", "rule", "t", "z")
+    return T.adaptive_transform(long(spark, sf, staged=True)).select("obs_id", "feature", "rule", "t", "z")
 
 
 @query("log1p_if_skewed", f"""WITH {SQL_OBS}, long AS (SELECT obs_id, feature, value FROM (SELECT obs_id, o_totalprice * avg_discount * avg_discount AS rebate, sum_qty, max_ship_gap FROM obs)
@@ -92,7 +93,7 @@ def _(spark, sf):
  t AS (SELECT obs_id, feature, rule, CASE WHEN rule = 'log1p' THEN ln(1 + value) ELSE value END AS t FROM long JOIN r USING (feature))
 SELECT obs_id, feature, rule, (t - avg(t) OVER w) / stddev_samp(t) OVER w AS z FROM t WINDOW w AS (PARTITION BY feature)""", dbl="z")
 def _(spark, sf):
-    df = obs(spark, sf).withColumn("rebate", F.col("o_totalprice") * F.col("avg_discount") * F.col("avg_discount"))
+    df = obs(spark, sf, staged=True).withColumn("rebate", F.col("o_totalprice") * F.col("avg_discount") * F.col("avg_discount"))
     return T.log1p_if_skewed(long_of(df, ["obs_id"], ["rebate", "sum_qty", "max_ship_gap"])).select("obs_id", "feature", "rule", "z")
 
 
@@ -100,7 +101,7 @@ def _(spark, sf):
  z AS (SELECT obs_id, feature, CASE WHEN mad > 0 THEN 0.67448975 * (value - med) / mad END AS rz FROM long JOIN m USING (feature))
 SELECT *, coalesce(abs(rz) >= 3.5, false) AS flag35, coalesce(abs(rz) > 5, false) AS flag5 FROM z""", dbl="rz", d=5)
 def _(spark, sf):
-    z = T.robust_z(long_of(obs_missing(spark, sf), ["obs_id"], FEATURES)).select("obs_id", "feature", "rz")
+    z = T.robust_z(long_of(obs_missing(spark, sf, staged=True), ["obs_id"], FEATURES)).select("obs_id", "feature", "rz")
     return z.withColumn("flag35", F.coalesce(F.abs("rz") >= 3.5, F.lit(False))).withColumn("flag5", F.coalesce(F.abs("rz") > 5, F.lit(False)))
 
 
@@ -109,13 +110,13 @@ SELECT feature, q1, q3, count(*) FILTER (value < q1 - 1.5 * (q3 - q1) OR value >
  count(*) FILTER (value < q1 - 3 * (q3 - q1) OR value > q3 + 3 * (q3 - q1)) AS n_extreme,
  count(*) FILTER (abs(0.67448975 * (value - med) / nullif(mad, 0)) > 3.5) AS n_modified_z FROM long JOIN m USING (feature) GROUP BY 1, 2, 3""", dbl="q1 q3", d=5)
 def _(spark, sf):
-    return T.tukey_fences(long(spark, sf))
+    return T.tukey_fences(long(spark, sf, staged=True))
 
 
 @query("median_impute", f"""WITH {SQL_LONG_MISSING}, m AS (SELECT class, feature, median(value) AS med FROM long GROUP BY 1, 2)
 SELECT obs_id, class, feature, coalesce(value, med) AS value, value IS NULL AS imputed, med FROM long JOIN m USING (class, feature)""", dbl="value med", d=5)
 def _(spark, sf):
-    df = long_of(obs_missing(spark, sf), ["obs_id", "class"], FEATURES)
+    df = long_of(obs_missing(spark, sf, staged=True), ["obs_id", "class"], FEATURES)
     return T.median_impute(df).select("obs_id", "class", "feature", "value", "imputed", "med")
 
 
@@ -123,7 +124,7 @@ LOGN_SQL = f"""{SQL_COUNTS}, logn AS (SELECT obs_id, gene, value, ln(1 + value /
 
 
 def logn(spark, sf):
-    return T.lognorm_counts(counts(spark, sf))
+    return T.lognorm_counts(stage(counts(spark, sf)))
 
 
 @query("lognorm_counts", f"WITH {LOGN_SQL} SELECT obs_id, gene, logn FROM logn", dbl="logn")
@@ -165,5 +166,5 @@ def _(spark, sf):
 SELECT feature, stage, min(v) AS "min", sum(v) AS total, avg(v) AS mean, stddev_samp(v) AS sd, skewness(v) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1)) AS skew FROM a GROUP BY 1, 2""",
        dbl="min:5 total:1 mean:5 sd:5 skew:5")
 def _(spark, sf):
-    z = T.shift_sum_log1p_z(long(spark, sf), 1)
+    z = T.shift_sum_log1p_z(long(spark, sf, staged=True), 1)
     return T.transform_audit({"raw": (z, "value"), "log": (z, "t"), "z": (z, "z")})

@@ -30,7 +30,7 @@ def _(spark, sf):
 
 @query("spearman_matrix", f"""WITH {RANK_WIDE}, {pairs_sql('rw')} SELECT a, b, n, r FROM pairs""", dbl="r")
 def _(spark, sf):
-    return A.spearman_pairs(obs(spark, sf), "obs_id", FEATURES).select("a", "b", "n", "r")
+    return A.spearman_pairs(obs(spark, sf, staged=True), "obs_id", FEATURES).select("a", "b", "n", "r")
 
 
 PW = ["avg_price", "avg_discount", "avg_tax", "max_ship_gap"]
@@ -41,7 +41,7 @@ _pw = " UNION ALL ".join(f"""SELECT '{a}' AS a, '{b}' AS b, obs_id, {a} AS x, {b
   rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2.0::DOUBLE AS ry FROM xy)
 SELECT a, b, count(*) AS n, corr(rx, ry) AS r FROM r GROUP BY 1, 2""", dbl="r")
 def _(spark, sf):
-    return A.spearman_pairwise(obs_missing(spark, sf), PW)
+    return A.spearman_pairwise(obs_missing(spark, sf, staged=True), PW)
 
 
 @query("redundant_pairs", f"""WITH {SQL_OBS}, {pairs_sql('obs')} SELECT a, b, n, r FROM pairs WHERE abs(r) >= 0.3""", dbl="r")
@@ -53,7 +53,7 @@ def _(spark, sf):
  c(feature, reach) AS (SELECT f, f FROM (SELECT unnest([{', '.join(f"'{f}'" for f in FEATURES)}]) AS f) UNION SELECT c.feature, e.b FROM c JOIN e ON e.a = c.reach)
 SELECT feature, min(reach) AS component FROM c GROUP BY 1""")
 def _(spark, sf):
-    p = A.spearman_pairs(obs(spark, sf), "obs_id", FEATURES).where(F.abs("r") >= 0.3)
+    p = A.spearman_pairs(obs(spark, sf, staged=True), "obs_id", FEATURES).where(F.abs("r") >= 0.3)
     nodes = spark.createDataFrame([(f,) for f in FEATURES], "feature string")
     return graph.components(nodes, p.select(F.col("a").alias("src"), F.col("b").alias("dst")), "feature")
 
@@ -70,7 +70,7 @@ SELECT p.feature, k.feature IS NOT NULL AS kept, coalesce(k.feature, (SELECT arg
   WHERE e.a = p.feature AND q.i < p.i)) AS representative FROM prio p LEFT JOIN k ON k.feature = p.feature""")
 def _(spark, sf):
     from ..operators.aggs import wide_missingness
-    df = obs_missing(spark, sf)
+    df = obs_missing(spark, sf, staged=True)
     prio = wide_missingness(df, FEATURES).select("feature", F.col("n_missing").cast("double").alias("priority"))
     return A.greedy_nonredundant(A.pair_moments(df, FEATURES).select("a", "b", "r"), prio, 0.05)
 
@@ -80,7 +80,7 @@ SELECT a, b, sp.r AS spearman, pe.r AS pearson, abs(sp.r) >= 0.3 AND abs(pe.r) >
 def _(spark, sf):
     from ..operators.transforms import shift_sum
     from .bindings import long_of
-    df = obs(spark, sf)
+    df = obs(spark, sf, staged=True)
     sp = A.spearman_pairs(df, "obs_id", FEATURES).select("a", "b", F.col("r").alias("spearman"))
     t = shift_sum(long_of(df, ["obs_id"], FEATURES)).groupBy("obs_id").pivot("feature", FEATURES).agg(F.first("t"))
     pe = A.pair_moments(t, FEATURES).select("a", "b", F.col("r").alias("pearson"))
@@ -99,7 +99,7 @@ def _(spark, sf):
  o AS (SELECT *, row_number() OVER (ORDER BY p, feature) AS i, count(*) OVER () AS m FROM p)
 SELECT feature, n, r, t, p, min(least(1, p * m / i)) OVER (ORDER BY i DESC) AS q FROM o""", dbl="r t p q", d=5)
 def _(spark, sf):
-    c = A.spearman_pairs(obs(spark, sf), "obs_id", FEATURES).where("a = 'o_totalprice' OR b = 'o_totalprice'")
+    c = A.spearman_pairs(obs(spark, sf, staged=True), "obs_id", FEATURES).where("a = 'o_totalprice' OR b = 'o_totalprice'")
     c = c.select(F.when(F.col("a") == "o_totalprice", F.col("b")).otherwise(F.col("a")).alias("feature"), "n", "r")
     c = c.withColumn("t", F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))
     c = c.withColumn("p", special.t_two_sided_col(F.col("t"), (F.col("n") - 2).cast("double")))

@@ -17,7 +17,7 @@ SUMS = f"""{SQL_RANKED}, g AS (SELECT feature, class, count(*) AS n_g, sum(rk) A
 
 def qc_long(spark, sf):
     ok = X.all_of([X.within("n_lines", 2), X.within("max_ship_gap", 0), X.within("o_totalprice", hi=480000)])
-    return long_of(obs(spark, sf).where(ok), ["obs_id", "class", "batch"], FEATURES)
+    return long_of(obs(spark, sf, staged=True).where(ok), ["obs_id", "class", "batch"], FEATURES)
 
 
 @query("kruskal_wallis", f"""WITH {QC_SQL}, {SUMS},
@@ -67,7 +67,7 @@ def _(spark, sf):
 SELECT h.feature, g1, g2, a.mean - b.mean AS mean_diff, a.median - b.median AS median_diff, z, CASE WHEN z > 0 THEN 'first higher' WHEN z < 0 THEN 'second higher' ELSE 'equal' END AS direction,
  p_holm < 0.05 AS reject FROM h JOIN s a ON a.feature = h.feature AND a.class = g1 JOIN s b ON b.feature = h.feature AND b.class = g2""", dbl="mean_diff median_diff z", d=5)
 def _(spark, sf):
-    df = long(spark, sf)
+    df = long(spark, sf, staged=True)
     d = R.dunn(R.rank_sums(df)).select("feature", "g1", "g2", "z", "p_holm")
     s = A.descriptive(df).select("feature", "class", "mean", "median")
     side = lambda g, t: s.select("feature", F.col("class").alias(g), F.col("mean").alias("mean" + t), F.col("median").alias("median" + t))
@@ -85,7 +85,7 @@ def _(spark, sf):
  p AS (SELECT *, {f_sf('f', 'df1', 'df2')} AS p FROM f), o AS (SELECT *, row_number() OVER (ORDER BY p, feature) AS i, count(*) OVER () AS mm FROM p)
 SELECT feature, n, df1, df2, f, variance_ratio, p, min(least(1, p * mm / i)) OVER (ORDER BY i DESC) AS p_bh FROM o""", dbl="f variance_ratio p p_bh", d=5)
 def _(spark, sf):
-    return R.brown_forsythe(long(spark, sf))
+    return R.brown_forsythe(long(spark, sf, staged=True))
 
 
 MW = f"""l2 AS (SELECT * FROM long WHERE batch IN ('F', 'O')), rk AS (SELECT *, rank() OVER (PARTITION BY {{keys}} ORDER BY value) + (count(*) OVER (PARTITION BY {{keys}}, value) - 1) / 2.0::DOUBLE AS r,
@@ -99,7 +99,7 @@ MW = f"""l2 AS (SELECT * FROM long WHERE batch IN ('F', 'O')), rk AS (SELECT *,
  p AS (SELECT *, {norm_two_sided('z')} AS p FROM z), o AS (SELECT *, row_number() OVER (ORDER BY p, feature) AS i, count(*) OVER () AS m FROM p)
 SELECT feature, n1, n2, u, z, z_corrected, p, min(least(1, p * m / i)) OVER (ORDER BY i DESC) AS p_bh FROM o""", dbl="u z z_corrected p p_bh", d=5)
 def _(spark, sf):
-    s = R.rank_sums(long(spark, sf).where("batch IN ('F', 'O')"), ["feature"], "batch")
+    s = R.rank_sums(long(spark, sf, staged=True).where("batch IN ('F', 'O')"), ["feature"], "batch")
     a = R.mann_whitney(s, ["feature"], "batch", "F", "O", continuity=False).drop("delta")
     b = R.mann_whitney(s, ["feature"], "batch", "F", "O", continuity=True).select("feature", F.col("z").alias("z_corrected"))
     return M.bh(a.join(b, "feature").withColumn("p", special.norm_two_sided_col(F.col("z"))), "p", ["feature"])

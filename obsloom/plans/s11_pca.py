@@ -12,7 +12,7 @@ COV = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FR
 
 
 def obs_vec(spark, sf):
-    return obs(spark, sf).select("obs_id", "class", "batch", F.array(*FEATURES).alias("v"))
+    return obs(spark, sf, staged=True).select("obs_id", "class", "batch", F.array(*FEATURES).alias("v"))
 
 
 @query("pca", f"""WITH {SQL_OBS}, c AS ({COV}), c2 AS (SELECT x.a, y.b, sum(x.r * y.r) AS r FROM c x JOIN c y ON x.b = y.a GROUP BY 1, 2)
@@ -148,7 +148,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Ellipse of the rows that survive the robust distance, per class (level list is fixed)."""
     from .bindings import PRIORITIES
-    df = obs(spark, sf).select("class", "sum_qty", "max_ship_gap", F.array("sum_qty", "max_ship_gap").alias("v")).persist()
+    df = obs(spark, sf, staged=True).select("class", "sum_qty", "max_ship_gap", F.array("sum_qty", "max_ship_gap").alias("v"))
     out = None
     for c in PRIORITIES:
         d, _ = L.robust_distance(df.where(F.col("class") == c), "v", quantile=0.975)

@@ -311,7 +311,7 @@ def _(spark, sf):
 SELECT * FROM r WHERE rn <= 6""", dbl="dist", big="rn")
 def _(spark, sf):
     from .bindings import long
-    lg = long(spark, sf, features=["sum_qty", "avg_price", "o_totalprice"])
+    lg = long(spark, sf, features=["sum_qty", "avg_price", "o_totalprice"], staged=True)
     j = lg.join(T.median_mad(lg, ["class", "feature"]), ["class", "feature"])
     z = (F.col("value") - F.col("med")) / (1.4826 * F.col("mad"))
     d = j.groupBy("obs_id", "class", "batch").agg(F.sqrt(F.sum(z * z)).alias("dist"))

@@ -136,8 +136,7 @@ def _(spark, sf):
  ap AS (SELECT cls, sum(c_pos * (tp / n_at)) / max(n_pos) AS ap FROM cu GROUP BY 1), per AS (SELECT cls, auc, ap FROM au JOIN ap USING (cls))
 SELECT * FROM per UNION ALL SELECT 'macro', avg(auc), avg(ap) FROM per WHERE cls <> 'micro'""", dbl="auc ap")
 def _(spark, sf):
-    s = V.one_vs_rest(oof(spark, sf), PROBS)
-    return V.auc_ap(V.roc_pr(s), s)
+    return V.auc_ap(V.roc_pr(V.one_vs_rest(oof(spark, sf), PROBS)))
 
 
 HELD = "(stratum + rep) % 3 = 0"

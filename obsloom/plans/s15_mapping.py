@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins as J, linalg as L, mapping as P, neighbours as N, order
 from ..operators.aggs import shares
+from ..runtime import stage
 from .bindings import PRIORITIES, table, vectors
 from .registry import query
 from .s08_transforms import LOGN_SQL, logn
@@ -22,12 +23,12 @@ REF_SQL = f"""{LOGN_SQL}, cls AS (SELECT o_orderkey AS obs_id, o_orderpriority A
 
 
 def split_sets(spark, sf):
-    ln = logn(spark, sf)
+    ln = stage(logn(spark, sf))
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("obs_id"), F.col("o_orderpriority").alias("class"), F.col("o_orderstatus").alias("st"))
     o = o.join(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("obs_id")), "obs_id", "left_semi")
     ref = o.where("st <> 'P'").select("obs_id", "class")
     queries = o.where("st = 'P'").select("obs_id", "class")
-    return P.centroids(ln, ref), ln.join(queries.select("obs_id"), "obs_id", "left_semi"), queries
+    return stage(P.centroids(ln, ref)), ln.join(queries.select("obs_id"), "obs_id", "left_semi"), queries
 
 
 def mapped(spark, sf):

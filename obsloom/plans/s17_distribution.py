@@ -13,14 +13,14 @@ ZL = "zl AS (SELECT obs_id, class, feature, (value - avg(value) OVER w) / stddev
 @query("pooled_quantiles", f"""WITH {SQL_LONG}, {ZL} SELECT {', '.join(f'quantile_cont(z, {p}) AS {n}' for n, p in PROBS.items())}, count(z) AS n, count(*) FILTER (abs(z) > 2) AS beyond_2,
  count(*) FILTER (abs(z) > 2.5) AS beyond_2_5, count(*) FILTER (abs(z) > 3) AS beyond_3 FROM zl""", dbl=" ".join(PROBS))
 def _(spark, sf):
-    return D.pooled_quantiles(T.zscore(long(spark, sf), 1, out="z").select(F.col("z").alias("value")), PROBS)
+    return D.pooled_quantiles(T.zscore(long(spark, sf, staged=True), 1, out="z").select(F.col("z").alias("value")), PROBS)
 
 
 @query("trimmed_core", f"""WITH {SQL_OBS}, m AS (SELECT class, median(sum_qty) AS m1, mad(sum_qty) AS d1, median(o_totalprice) AS m2, mad(o_totalprice) AS d2 FROM obs GROUP BY 1),
  d AS (SELECT obs_id, class, sqrt(pow((sum_qty - m1) / d1, 2) + pow((o_totalprice - m2) / d2, 2)) AS distance FROM obs JOIN m USING (class)), c AS (SELECT class, quantile_cont(distance, .95) AS cut FROM d GROUP BY 1)
 SELECT obs_id, class, distance FROM d JOIN c USING (class) WHERE round(distance, 9) <= round(cut, 9)""", dbl="distance")
 def _(spark, sf):
-    return D.trimmed_core(obs(spark, sf).select("obs_id", "class", "sum_qty", "o_totalprice"), "sum_qty", "o_totalprice", "class").select("obs_id", "class", "distance")
+    return D.trimmed_core(obs(spark, sf, staged=True).select("obs_id", "class", "sum_qty", "o_totalprice"), "sum_qty", "o_totalprice", "class").select("obs_id", "class", "distance")
 
 
 @query("fd_histogram", f"""WITH {SQL_LONG}, m AS (SELECT feature, count(value) AS n, min(value) AS lo, max(value) AS hi, 2 * (quantile_cont(value, .75) - quantile_cont(value, .25)) / cbrt(count(value)) AS w FROM long GROUP BY 1),
@@ -28,7 +28,7 @@ def _(spark, sf):
 SELECT feature, least(floor((value - lo) * n_bins / (hi - lo)), n_bins - 1) AS bin, n_bins, lo + least(floor((value - lo) * n_bins / (hi - lo)), n_bins - 1) * ((hi - lo) / n_bins) AS "left", count(*) AS n
 FROM long JOIN b USING (feature) GROUP BY ALL""", dbl="left:5", big="bin n_bins")
 def _(spark, sf):
-    return D.fd_histogram(long(spark, sf))
+    return D.fd_histogram(long(spark, sf, staged=True))
 
 
 @query("integer_histogram", f"""WITH {SQL_OBS} SELECT 'n_lines' AS feature, floor(n_lines + 0.5) AS bin, count(*) AS n FROM obs GROUP BY 2""", big="bin")
@@ -41,14 +41,14 @@ def _(spark, sf):
  d AS (SELECT feature, class, i, lo + (hi - lo) * i / 49 AS x, sum(c * exp(-pow((lo + (hi - lo) * i / 49 - (lo + (cell + 0.5) * ((hi - lo) / 400))) / bw, 2) / 2)) / max(n * bw) AS density FROM b, (SELECT unnest(range(0, 50)) AS i) GROUP BY ALL)
 SELECT feature, class, i, x, density / max(density) OVER (PARTITION BY feature, class) AS scaled FROM d""", dbl="x scaled", big="i", d=5)
 def _(spark, sf):
-    return D.kde_grid(long(spark, sf), ["feature", "class"])
+    return D.kde_grid(long(spark, sf, staged=True), ["feature", "class"])
 
 
 @query("heatmap_matrix", f"""WITH {SQL_LONG}, {ZL}, ps AS (SELECT obs_id, row_number() OVER (PARTITION BY class ORDER BY md5(concat_ws('|', 9, obs_id)), obs_id) AS pos FROM obs)
 SELECT obs_id, class, feature, pos, least(greatest(z, -2), 2) AS shown FROM zl JOIN ps USING (obs_id)""", dbl="shown")
 def _(spark, sf):
-    pos = order.shuffled_position(obs(spark, sf).select("obs_id", "class"), ["class"], "obs_id", 9).select("obs_id", "pos")
-    return D.heatmap(T.zscore(long(spark, sf), 1, out="z"), pos).select("obs_id", "class", "feature", "pos", "shown")
+    pos = order.shuffled_position(obs(spark, sf, staged=True).select("obs_id", "class"), ["class"], "obs_id", 9).select("obs_id", "pos")
+    return D.heatmap(T.zscore(long(spark, sf, staged=True), 1, out="z"), pos).select("obs_id", "class", "feature", "pos", "shown")
 
 
 # ---- audits -----------------------------------------------------------------------------------------
