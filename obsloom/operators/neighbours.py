@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalar import draw, draw_unit
+from ..runtime import stage
 
 MAX_LEAVES = 16384
 PLAN_POINTS_PER_LEAF = 24
@@ -84,6 +85,7 @@ def knn(df: DataFrame, id_col: str, vec: str, k: int, leaf_rows: int = 2048,
     first = Window.partitionBy("v", "sd").orderBy("id")
     heads = rows.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k + 1)
     points = heads.groupBy("v", "sd").agg(F.min("id").alias("pid"), F.sort_array(F.collect_list("id")).alias("ids"))
+    points = stage(points)
     n = points.count()
     levels, dims, cuts = _plan_tree(points, n, leaf_rows)
 
@@ -103,7 +105,9 @@ def knn(df: DataFrame, id_col: str, vec: str, k: int, leaf_rows: int = 2048,
         sd = pdf["sd"].to_numpy() if cross else None
         return _nearest(x, ids, x, ids, k, qs=sd, xs=sd)
 
+    placed = stage(placed) if levels else placed
     own = placed.groupBy("leaf").applyInPandas(inside, "pid long, nid long, dist double")
+    own = stage(own) if levels else own
     found = own.where(F.col("nid").isNotNull())
     if levels:
         dim = len(points.select("v").first()["v"])
@@ -129,17 +133,19 @@ def knn(df: DataFrame, id_col: str, vec: str, k: int, leaf_rows: int = 2048,
                 .select("pid", "v", "sd", "r", F.explode(reach("v", "r", "leaf")).alias("leaf")))
         load = asks.groupBy("leaf").agg(F.ceil(F.count("*") / queries_per_task).cast("int").alias("parts"))
         asks = asks.join(load, "leaf").withColumn("salt", F.pmod(F.hash("pid"), F.col("parts")))
-        copies = placed.join(load, "leaf").select("pid", "v", "sd", "leaf",
-                                                  F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+        # fresh names keep the two sides of the co-grouping apart
+        copies = placed.join(load, "leaf").select(
+            F.col("pid").alias("xpid"), F.col("v").alias("xv"), F.col("sd").alias("xsd"), F.col("leaf").alias("xleaf"),
+            F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("xsalt"))
 
         def across(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
             if not len(q) or not len(x):
                 return pd.DataFrame({"pid": [], "nid": [], "dist": []}).astype(
                     {"pid": "int64", "nid": "int64", "dist": "float64"})
-            return _nearest(_matrix(q["v"]), q["pid"].to_numpy(), _matrix(x["v"]), x["pid"].to_numpy(), k,
-                            q["r"].to_numpy(), qs=q["sd"].to_numpy() if cross else None, xs=x["sd"].to_numpy() if cross else None)
+            return _nearest(_matrix(q["v"]), q["pid"].to_numpy(), _matrix(x["xv"]), x["xpid"].to_numpy(), k,
+                            q["r"].to_numpy(), qs=q["sd"].to_numpy() if cross else None, xs=x["xsd"].to_numpy() if cross else None)
 
-        more = asks.groupBy("leaf", "salt").cogroup(copies.groupBy("leaf", "salt")).applyInPandas(
+        more = asks.groupBy("leaf", "salt").cogroup(copies.groupBy("xleaf", "xsalt")).applyInPandas(
             across, "pid long, nid long, dist double")
         found = found.unionByName(more)
     best = (found.withColumn("rn", F.row_number().over(Window.partitionBy("pid").orderBy("dist", "nid")))
