@@ -4,15 +4,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def _unique(df: DataFrame, key: str) -> DataFrame:
+    """Rows as they are; a repeated key raises. The count shares the shuffle and sort of the join that follows."""
+    n = F.count("*").over(Window.partitionBy(key))
+    dup = F.raise_error(F.concat(F.lit("join key is not unique: "), F.col(key).cast("string"))).cast("boolean")
+    return df.withColumn("_n", n).where(F.when(F.col("_n") > 1, dup).otherwise(F.lit(True))).drop("_n")
+
+
 def join_validated(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """One-to-one join. The key counts that guard it share the shuffle of the join itself."""
-    dup = lambda d, side: d.groupBy(key).agg(F.count("*").alias(f"_n_{side}"))
-    l, r = dup(left, "l"), dup(right, "r")
-    guard = F.when((F.col("_n_l") > 1) | (F.col("_n_r") > 1),
-                   F.raise_error(F.concat(F.lit("join key is not unique: "), F.col(key).cast("string"))).cast("boolean")
-                   ).otherwise(F.lit(True))
-    keys = l.join(r, key, "full_outer").where(guard).select(key)
-    return keys.join(left, key, "left" if how != "inner" else "inner").join(right, key, "left" if how != "inner" else "inner")
+    """One-to-one equi-join; a key that repeats on either side is an error."""
+    return _unique(left, key).join(_unique(right, key), key, how)
 
 
 def left_annotate(left: DataFrame, right: DataFrame, key: str, defaults: dict) -> DataFrame:
@@ -36,16 +37,18 @@ def outer_indicator(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def table_crosscheck(a: DataFrame, b: DataFrame, key: str, features, rtol=1e-12, atol=1e-12) -> DataFrame:
-    """Per feature: joint rows, differing NULL patterns, numeric mismatches, largest difference."""
-    la = a.unpivot([key], features, "feature", "va")
-    lb = b.unpivot([key], features, "feature", "vb")
-    j = la.join(lb, [key, "feature"])
-    diff = F.abs(F.col("va") - F.col("vb"))
-    return j.groupBy("feature").agg(
-        F.count("*").alias("n_rows"),
-        F.count_if(F.col("va").isNull() != F.col("vb").isNull()).alias("n_null_mismatch"),
-        F.count_if(diff > atol + rtol * F.abs("vb")).alias("n_value_mismatch"),
-        F.max(diff).alias("max_abs_diff"))
+    """Per feature: joint rows, differing NULL patterns, numeric mismatches, largest difference.
+
+    Rows meet once by key; features are compared inside the joined row.
+    """
+    j = a.select(key, *[F.col(f).alias("a_" + f) for f in features]).join(b.select(key, *[F.col(f).alias("b_" + f) for f in features]), key)
+    stats = []
+    for f in features:
+        va, vb = F.col("a_" + f), F.col("b_" + f)
+        diff = F.abs(va - vb)
+        stats.append(F.struct(F.lit(f).alias("feature"), F.count("*").alias("n_rows"), F.count_if(va.isNull() != vb.isNull()).alias("n_null_mismatch"),
+                              F.count_if(diff > atol + rtol * F.abs(vb)).alias("n_value_mismatch"), F.max(diff).alias("max_abs_diff")))
+    return j.agg(F.array(*stats).alias("s")).select(F.explode("s").alias("s")).select("s.*")
 
 
 def set_relation(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -144,45 +144,53 @@ def mahalanobis(scores: DataFrame, model: PCA, ks, probs=(0.99, 0.999), pc: str
     return scores
 
 
-def quadratic_form(df: DataFrame, vec: str, center: np.ndarray, inverse: np.ndarray, out: str) -> DataFrame:
-    c, inv = np.asarray(center), np.asarray(inverse)
-
+def quadratic_form(df: DataFrame, vec: str, centers: dict, inverses: dict, out: str, key: str) -> DataFrame:
+    """(x - c)' inv (x - c) with the centre and inverse of the row's key; a handful of keys."""
     @F.pandas_udf("double")
-    def apply(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=float)
-        x = np.stack(v.to_numpy()) - c
-        return pd.Series(((x @ inv) * x).sum(1))
+    def apply(v: pd.Series, k: pd.Series) -> pd.Series:
+        res = np.full(len(v), np.nan)
+        for name in k.unique():
+            if name in centers:
+                at = (k == name).to_numpy()
+                x = np.stack(v[at].to_numpy()) - centers[name]
+                res[at] = ((x @ inverses[name]) * x).sum(1)
+        return pd.Series(res)
 
-    return df.withColumn(out, apply(F.col(vec)))
+    return df.withColumn(out, apply(F.col(vec), F.col(key)))
 
 
-def robust_distance(df: DataFrame, vec: str, alpha: float = 0.75, steps: int = 4, quantile: float | None = None):
-    """Concentration steps towards the minimum covariance determinant.
+def robust_distance(df: DataFrame, vec: str, alpha: float = 0.75, steps: int = 4, quantile: float | None = None, key: str | None = None):
+    """Concentration steps towards the minimum covariance determinant, for all keys together.
 
     Start from medians and MADs, then repeat: distance, keep the nearest share, new mean and
-    covariance, all as Spark aggregates. Approximate quantiles only choose the cut point;
-    every row is scored in every step. Returns (frame with ``rd2`` and ``outlier``, limit).
+    covariance, all as grouped Spark aggregates. Approximate quantiles only choose the cut point;
+    every row is scored in every step. Returns (frame with ``rd2`` and ``outlier``, limit per key).
     """
-    source, df = df, df.select(vec).persist()
+    source = df.withColumn("_k", F.col(key).cast("string") if key else F.lit(""))
+    df = source.select("_k", vec).persist()
     p = len(df.select(vec).first()[0])
-    q = [F.percentile_approx(F.col(vec)[j], 0.5, 10000).alias(f"m{j}") for j in range(p)]
-    med = np.array(list(df.agg(*q).first()))
-    mad = np.array(list(df.agg(*[F.percentile_approx(F.abs(F.col(vec)[j] - float(med[j])), 0.5, 10000) for j in range(p)]).first()))
-    center, inv = med, np.diag(1 / np.maximum(1.4826 * mad, 1e-9) ** 2)
+    med = {r[0]: np.array(r[1:]) for r in df.groupBy("_k").agg(*[F.percentile_approx(F.col(vec)[j], 0.5, 10000) for j in range(p)]).collect()}
+    at = F.create_map(*[x for k, m in med.items() for x in (F.lit(k), F.array(*[F.lit(float(t)) for t in m]))])
+    dev = [F.percentile_approx(F.abs(F.col(vec)[j] - at[F.col("_k")][j]), 0.5, 10000) for j in range(p)]
+    mad = {r[0]: np.array(r[1:]) for r in df.groupBy("_k").agg(*dev).collect()}
+    centers, inv, n = med, {k: np.diag(1 / np.maximum(1.4826 * m, 1e-9) ** 2) for k, m in mad.items()}, {}
     for _ in range(steps):
-        d = quadratic_form(df, vec, center, inv, "rd2")
-        cut_at = d.agg(F.percentile_approx("rd2", alpha, 10000)).first()[0]
-        n, center, m2 = moments_one(d.where(F.col("rd2") <= cut_at), vec)
-        cov = m2 / (n - 1)
-        inv = np.linalg.pinv(cov)
-    d = quadratic_form(df, vec, center, inv, "rd2")
-    half = d.agg(F.percentile_approx("rd2", 0.5, 10000)).first()[0]
-    factor = chi2_quantile(0.5, p) / half if half else 1.0  # consistency at the normal model
-    limit = chi2_quantile(quantile if quantile else 1 - 0.025 / max(n, 1), p)
+        d = quadratic_form(df, vec, centers, inv, "rd2", "_k")
+        cuts = {r[0]: r[1] for r in d.groupBy("_k").agg(F.percentile_approx("rd2", alpha, 10000)).collect()}
+        near = d.where(F.col("rd2") <= F.create_map(*[x for k, c in cuts.items() for x in (F.lit(k), F.lit(float(c)))])[F.col("_k")])
+        fits = {r["k"]: r for r in moments(near, vec, "_k").collect()}
+        centers = {k: np.array(r["mean"]) for k, r in fits.items()}
+        n = {k: r["n"] for k, r in fits.items()}
+        inv = {k: np.linalg.pinv(np.array(r["m2"]).reshape(p, p) / max(r["n"] - 1, 1)) for k, r in fits.items()}
+    d = quadratic_form(df, vec, centers, inv, "rd2", "_k")
+    half = {r[0]: r[1] for r in d.groupBy("_k").agg(F.percentile_approx("rd2", 0.5, 10000)).collect()}
     df.unpersist()
-    d = quadratic_form(source, vec, center, inv, "rd2").withColumn("rd2", F.col("rd2") * float(factor))
-    return d.withColumn("outlier", F.col("rd2") > float(limit)), limit
+    # consistency at the normal model folds into the inverse; one limit per key
+    inv = {k: m * (chi2_quantile(0.5, p) / half[k] if half[k] else 1.0) for k, m in inv.items()}
+    limits = {k: chi2_quantile(quantile if quantile else 1 - 0.025 / max(n[k], 1), p) for k in inv}
+    lim = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(float(v)))])
+    out = quadratic_form(source, vec, centers, inv, "rd2", "_k")
+    return out.withColumn("outlier", F.col("rd2") > lim[F.col("_k")]).drop("_k"), limits
 
 
 def procrustes(df: DataFrame, a: str, b: str):

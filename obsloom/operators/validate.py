@@ -50,9 +50,14 @@ def stratified_group_kfold(df: DataFrame, stratum: str, label: str, k: int) -> D
 
 
 def held_out_pairs(strata: DataFrame, col: str) -> DataFrame:
-    """All unordered pairs of batches to hold out together (a table of batches, not of rows)."""
-    a, b = strata.select(F.col(col).alias("a")).distinct(), strata.select(F.col(col).alias("b")).distinct()
-    return a.join(b, F.col("a") < F.col("b"))
+    """All unordered pairs of batches to hold out together (a table of batches, not of rows).
+
+    Each batch lists the later positions and meets them by an equi-join on the position.
+    """
+    s = strata.select(col).distinct().withColumn("c", F.lit(1).cast("long"))
+    at = order.cumulative_counts(s, [], col).select(col, F.col("cum").alias("i"), "n")
+    a = at.where("i < n").select(F.col(col).alias("a"), F.explode(F.sequence(F.col("i") + 1, F.col("n"))).alias("i"))
+    return a.join(at.select(F.col(col).alias("b"), "i"), "i").select("a", "b")
 
 
 # ---- metrics from a confusion table -------------------------------------------------------------

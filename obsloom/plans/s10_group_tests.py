@@ -228,7 +228,13 @@ def _(spark, sf):
     return batch_scale_audit(obs(spark, sf), "batch", "avg_price", ["F", "O", "P"])
 
 
-@query("mean_t_ci", dbl="mean se ci_low ci_high", d=5)
+# t quantile as the large-sample expansion around the normal quantile (degrees of freedom are in the thousands)
+_Z = 1.959963984540054
+_T = (f"({_Z} + {(_Z**3 + _Z) / 4!r} / df + {(5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96!r} / (df * df) + {(3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384!r} / (df * df * df))")
+
+
+@query("mean_t_ci", f"""WITH {SQL_LONG}, s AS (SELECT feature, class, count(value) AS n, avg(value) AS mean, stddev_samp(value) / sqrt(count(value)) AS se, CAST(count(value) - 1 AS DOUBLE) AS df FROM long GROUP BY 1, 2)
+SELECT feature, class, n, mean, se, mean - {_T} * se AS ci_low, mean + {_T} * se AS ci_high FROM s""", dbl="mean se ci_low:4 ci_high:4", d=5)
 def _(spark, sf):
     g = long(spark, sf).groupBy("feature", "class").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), (F.stddev_samp("value") / F.sqrt(F.count("value"))).alias("se"))
     g = g.withColumn("t", special.t_quantile_col(F.lit(0.975), (F.col("n") - 1).cast("double")))

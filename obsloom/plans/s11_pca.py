@@ -146,14 +146,10 @@ def _(spark, sf):
 
 @query("mcd_ellipse", dbl="mx my major minor angle", d=3)
 def _(spark, sf):
-    """Ellipse of the rows that survive the robust distance, per class (level list is fixed)."""
-    from .bindings import PRIORITIES
+    """Ellipse of the rows that survive the robust distance of their class."""
     df = obs(spark, sf, staged=True).select("class", "sum_qty", "max_ship_gap", F.array("sum_qty", "max_ship_gap").alias("v"))
-    out = None
-    for c in PRIORITIES:
-        d, _ = L.robust_distance(df.where(F.col("class") == c), "v", quantile=0.975)
-        out = d.where("NOT outlier") if out is None else out.unionByName(d.where("NOT outlier"))
-    return cov_ellipse(out, "sum_qty", "max_ship_gap", "class").select("class", "n", "mx", "my", "major", "minor", "angle")
+    kept = L.robust_distance(df, "v", quantile=0.975, key="class")[0].where("NOT outlier")
+    return cov_ellipse(kept, "sum_qty", "max_ship_gap", "class").select("class", "n", "mx", "my", "major", "minor", "angle")
 
 
 def radial_scale(df, x, y, prob, keys=()):

@@ -9,14 +9,13 @@ from .bindings import PRIORITIES, table, vectors
 from .registry import query
 from .s08_transforms import LOGN_SQL, logn
 
-N_GENES = 150
 REF_SQL = f"""{LOGN_SQL}, cls AS (SELECT o_orderkey AS obs_id, o_orderpriority AS class, o_orderstatus AS st FROM orders SEMI JOIN lineitem ON l_orderkey = o_orderkey),
- genes AS (SELECT gene, row_number() OVER (ORDER BY gene) - 1 AS pos FROM (SELECT DISTINCT gene FROM counts)),
  cen AS (SELECT class, gene, sum(logn) / (SELECT count(*) FROM cls c2 WHERE c2.class = c.class AND st <> 'P') AS mean FROM logn JOIN cls c USING (obs_id) WHERE st <> 'P' GROUP BY 1, 2),
+ genes AS (SELECT gene, row_number() OVER (ORDER BY gene) - 1 AS pos, count(*) OVER () AS g FROM (SELECT DISTINCT gene FROM cen)), ng AS (SELECT count(*) AS g FROM genes),
  q AS (SELECT obs_id, gene, logn FROM logn JOIN cls USING (obs_id) WHERE st = 'P'),
  qs AS (SELECT obs_id, sum(logn) AS sx, sum(logn * logn) AS sxx FROM q GROUP BY 1), cs AS (SELECT class, sum(mean) AS sy, sum(mean * mean) AS syy FROM cen GROUP BY 1),
  xy AS (SELECT obs_id, class, sum(logn * mean) AS sxy FROM q JOIN cen USING (gene) GROUP BY 1, 2),
- cr AS (SELECT obs_id, class, ({N_GENES} * sxy - sx * sy) / sqrt(({N_GENES} * sxx - sx * sx) * ({N_GENES} * syy - sy * sy)) AS r FROM xy JOIN qs USING (obs_id) JOIN cs USING (class)),
+ cr AS (SELECT obs_id, class, (g * sxy - sx * sy) / sqrt((g * sxx - sx * sx) * (g * syy - sy * sy)) AS r FROM xy JOIN qs USING (obs_id) JOIN cs USING (class), ng),
  rkd AS (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY round(r, 9) DESC, class) AS rn FROM cr),
  bt AS (SELECT obs_id, max(class) FILTER (rn = 1) AS best, max(r) FILTER (rn = 1) AS r_best, max(class) FILTER (rn = 2) AS second, max(r) FILTER (rn = 2) AS r_second FROM rkd GROUP BY 1),
  cc AS (SELECT *, CASE WHEN round(r_best, 9) >= 0.5 THEN 'good' WHEN round(r_best, 9) > 0.4 THEN 'low_risk' ELSE 'high_risk' END AS quality FROM bt)"""
@@ -33,7 +32,7 @@ def split_sets(spark, sf):
 
 def mapped(spark, sf):
     cen, q, _ = split_sets(spark, sf)
-    return P.best_two(P.centroid_correlation(q, cen, N_GENES))
+    return P.best_two(P.centroid_correlation(q, cen, cen.select("gene").distinct().count()))
 
 
 @query("centroid_correlation", f"WITH {REF_SQL} SELECT * FROM cc", dbl="r_best r_second", d=7)
@@ -55,14 +54,14 @@ def _(spark, sf):
 
 
 B = 20
-VOTES_SQL = f"""{REF_SQL}, w AS (SELECT rep, gene, count(*) AS w FROM (SELECT rep, CAST('0x' || substr(md5(concat_ws('|', 61, rep, i)), 1, 8) AS BIGINT) % {N_GENES} AS pos
-   FROM (SELECT unnest(range(0, {B})) AS rep), (SELECT unnest(range(1, {N_GENES + 1})) AS i)) JOIN genes USING (pos) GROUP BY 1, 2),
+VOTES_SQL = f"""{REF_SQL}, w AS (SELECT rep, gene, count(*) AS w FROM (SELECT rep, CAST('0x' || substr(md5(concat_ws('|', 61, rep, i)), 1, 8) AS BIGINT) % g AS pos
+   FROM (SELECT unnest(range(0, {B})) AS rep), (SELECT pos + 1 AS i, g FROM genes)) JOIN genes USING (pos) GROUP BY 1, 2),
  wy AS (SELECT rep, class, sum(w * mean) AS sy, sum(w * mean * mean) AS syy FROM w JOIN cen USING (gene) GROUP BY 1, 2),
  wx AS (SELECT rep, obs_id, sum(w * logn) AS sx, sum(w * logn * logn) AS sxx FROM w JOIN q USING (gene) GROUP BY 1, 2),
  wxy AS (SELECT rep, obs_id, class, sum(w * logn * mean) AS sxy FROM w JOIN q USING (gene) JOIN cen USING (gene) GROUP BY 1, 2, 3),
  allq AS (SELECT rep, obs_id, class FROM (SELECT DISTINCT obs_id FROM q), (SELECT unnest(range(0, {B})) AS rep), (SELECT DISTINCT class FROM cen)),
- wr AS (SELECT rep, obs_id, class, CASE WHEN greatest({N_GENES} * sxx - sx * sx, 0) * greatest({N_GENES} * syy - sy * sy, 0) > 1e-24 THEN ({N_GENES} * coalesce(sxy, 0) - sx * sy) / sqrt(greatest({N_GENES} * sxx - sx * sx, 0) * ({N_GENES} * syy - sy * sy)) ELSE 0 END AS r
-   FROM allq LEFT JOIN wx USING (rep, obs_id) LEFT JOIN wy USING (rep, class) LEFT JOIN wxy USING (rep, obs_id, class)),
+ wr AS (SELECT rep, obs_id, class, CASE WHEN greatest(g * sxx - sx * sx, 0) * greatest(g * syy - sy * sy, 0) > 1e-24 THEN (g * coalesce(sxy, 0) - sx * sy) / sqrt(greatest(g * sxx - sx * sx, 0) * (g * syy - sy * sy)) ELSE 0 END AS r
+   FROM ng, allq LEFT JOIN wx USING (rep, obs_id) LEFT JOIN wy USING (rep, class) LEFT JOIN wxy USING (rep, obs_id, class)),
  win AS (SELECT rep, obs_id, class, row_number() OVER (PARTITION BY rep, obs_id ORDER BY round(coalesce(r, 0), 9) DESC, class) AS rn FROM wr),
  sh AS (SELECT obs_id, class, count(*) FILTER (rn = 1) / {B}.0 AS share FROM win GROUP BY 1, 2),
  so AS (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY share DESC, class) AS rn FROM sh),

@@ -1,4 +1,6 @@
-"""Runs registered queries against their SQL: python tests/oracle_check.py [sf] [name-prefix ...]"""
+"""Runs registered queries against their SQL: python tests/oracle_check.py [sf] [name or prefix* ...]
+
+``--big`` forces the plans meant for large inputs (value buckets, day spans)."""
 import math
 import os
 import sys
@@ -70,6 +72,12 @@ def connect(sf):
 
 if __name__ == "__main__":
     import __spark_entry__ as entry
+    if "--big" in sys.argv:
+        sys.argv.remove("--big")
+        from obsloom import runtime
+        from obsloom.operators import order
+        runtime.SMALL_INPUT_BYTES, plain = -1, order._bucketed
+        order._bucketed = lambda df, value, rows: plain(df, value, 300)
     sf = f"/root/testdata/sf{sys.argv[1] if len(sys.argv) > 1 else '0.01'}"
     want = sys.argv[2:]
     spark, con, queries, oracles = session(), connect(sf), entry.queries(), entry.oracle_sql()

@@ -66,3 +66,10 @@ def test_single_value_and_single_row(spark):
     df = spark.createDataFrame([("a", 5.0), ("a", 5.0), ("b", 1.0)], "feature string, value double")
     q = {r["feature"]: (r["lo"], r["m"]) for r in order.quantiles(df, ["feature"], "value", {"lo": .1, "m": .5}).collect()}
     assert q == {"a": (5.0, 5.0), "b": (1.0, 1.0)}
+
+
+def test_text_order_in_buckets(spark):
+    words = sorted({f"{a}{b}" for a in ("", "a", "é", "zz", "Stratum ") for b in range(40)}, key=lambda w: w.encode())
+    df = spark.createDataFrame([("k", w, 1) for w in reversed(words)], "k string, w string, c long")
+    got = order.cumulative_counts(df, ["k"], "w", small=False, rows_per_bucket=10).collect()
+    assert {r["w"]: r["cum"] for r in got} == {w: i + 1 for i, w in enumerate(words)}
