@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalar import clip
+from ..runtime import stage
 from . import order
 
 
@@ -22,10 +23,10 @@ def trimmed_core(df: DataFrame, x: str, y: str, key: str, prob: float = 0.95) ->
     m = median_mad(long, [key, "feature"])
     w = m.groupBy(key).agg(*[F.max(F.when(F.col("feature") == c, F.col(s))).alias(f"_{s}_{i}") for i, c in enumerate((x, y)) for s in ("med", "mad")])
     part = lambda c, i: F.pow((F.col(c) - F.col(f"_med_{i}")) / F.greatest(F.col(f"_mad_{i}"), F.lit(1e-12)), F.lit(2.0))
-    d = df.join(w, key).withColumn("distance", F.sqrt(part(x, 0) + part(y, 1)))
+    d = df.join(stage(w), key).withColumn("distance", F.sqrt(part(x, 0) + part(y, 1)))
     d = d.drop(*[f"_{s}_{i}" for i in (0, 1) for s in ("med", "mad")])
     cut_at = order.quantiles(d, [key], "distance", {"_cut": prob})
-    return d.join(cut_at, key).where(F.round("distance", 9) <= F.round("_cut", 9)).drop("_cut")
+    return d.join(stage(cut_at), key).where(F.round("distance", 9) <= F.round("_cut", 9)).drop("_cut")
 
 
 def fd_histogram(long: DataFrame, keys=("feature",), lo: int = 8, hi: int = 28, fallback: int = 12) -> DataFrame:
@@ -35,7 +36,7 @@ def fd_histogram(long: DataFrame, keys=("feature",), lo: int = 8, hi: int = 28,
     m = long.groupBy(*keys).agg(F.count("value").alias("n_all"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     width = 2 * (F.col("q3") - F.col("q1")) / F.cbrt("n_all")
     bins = F.when(width > 0, F.least(F.greatest(F.ceil(F.try_divide(F.col("hi") - F.col("lo"), width)), F.lit(lo)), F.lit(hi))).otherwise(F.lit(fallback))
-    p = m.join(q, keys).withColumn("n_bins", bins.cast("long"))
+    p = stage(m.join(q, keys).withColumn("n_bins", bins.cast("long")))
     pos = F.floor(F.try_divide((F.col("value") - F.col("lo")) * F.col("n_bins"), F.col("hi") - F.col("lo")))
     j = long.where(F.col("value").isNotNull()).join(p, keys).withColumn("bin", F.least(F.coalesce(pos, F.lit(0).cast("long")), F.col("n_bins") - 1))
     out = j.groupBy(*keys, "bin", "n_bins", "lo", "hi").agg(F.count("*").alias("n"))
@@ -57,6 +58,7 @@ def kde_grid(long: DataFrame, keys=("feature",), cells: int = 400, points: int =
     m = long.groupBy(*keys).agg(F.count("value").alias("n"), F.stddev_samp("value").alias("sd"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     bw = 1.06 * F.col("sd") * F.pow("n", F.lit(-0.2))
     m = m.withColumn("bw", F.when(bw > 1e-12, bw).otherwise(F.greatest((F.col("hi") - F.col("lo")) * 0.08, F.lit(1e-3))))
+    m = stage(m)
     step = (F.col("hi") - F.col("lo")) / cells
     b = long.where(F.col("value").isNotNull()).join(m, keys)
     cell = F.least(F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("lo"), step)), F.lit(0).cast("long")), F.lit(cells - 1))

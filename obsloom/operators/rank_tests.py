@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import special
 from ..functions.scalar import chi2_sf_even
-from ..runtime import cut
+from ..runtime import stage
 from . import multiplicity, order
 
 
@@ -42,7 +42,7 @@ def dunn(sums: DataFrame, keys=("feature",), group="class", p_value=True) -> Dat
     The self-join runs on the rank-sum table, one row per group, not on observations.
     """
     keys = list(keys)
-    sums = cut(sums)
+    sums = stage(sums)
     a = sums.select(*keys, F.col(group).alias("g1"), F.col("n_g").alias("n1"), (F.col("rank_sum") / F.col("n_g")).alias("m1"),
                     "n", "tie_sum")
     b = sums.select(*keys, F.col(group).alias("g2"), F.col("n_g").alias("n2"), (F.col("rank_sum") / F.col("n_g")).alias("m2"))
@@ -78,10 +78,10 @@ def mann_whitney(sums: DataFrame, keys, group: str, first: str, second: str, con
 def brown_forsythe(long: DataFrame, keys=("feature",), group="class", p_value=True) -> DataFrame:
     """F test on absolute deviations from the group median, with the largest / smallest variance ratio."""
     keys = list(keys)
-    med = order.quantiles(long, [*keys, group], "value", {"med": .5})
+    med = stage(order.quantiles(long, [*keys, group], "value", {"med": .5}))
     dev = long.where(F.col("value").isNotNull()).join(med, [*keys, group]).withColumn("d", F.abs(F.col("value") - F.col("med")))
     g = dev.groupBy(*keys, group).agg(F.count("*").alias("n_g"), F.avg("d").alias("m"), F.var_pop("d").alias("v"), F.var_samp("value").alias("var"))
-    g = cut(g)
+    g = stage(g)
     tot = g.groupBy(*keys).agg(F.sum("n_g").alias("n"), F.count("*").alias("k"), (F.sum(F.col("n_g") * F.col("m")) / F.sum("n_g")).alias("gm"),
                                F.sum(F.col("n_g") * F.col("v")).alias("ssw"), (F.max("var") / F.min("var")).alias("variance_ratio"))
     ssb = g.join(tot.select(*keys, "gm"), keys).groupBy(*keys).agg(F.sum(F.col("n_g") * F.pow(F.col("m") - F.col("gm"), F.lit(2.0))).alias("ssb"))

@@ -1,12 +1,15 @@
 """Feature transforms as fit (aggregate to a parameter table) and apply (join and expression).
 
-Parameter tables hold one row per feature, or per (split, feature), and join back by key.
+Parameter tables hold one row per feature, or per (split, feature), and join back by key. They are
+staged first: the planner then knows their true size and broadcasts them only when they are small,
+instead of shuffling the rows on a handful of feature names.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalar import MAD_Z, yeo_johnson
+from ..runtime import stage
 from . import order
 from .aggs import skew_adjusted
 
@@ -23,7 +26,7 @@ def zscore(long: DataFrame, ddof: int, keys="feature", value="value", out="z") -
     sd = F.stddev_samp if ddof else F.stddev_pop
     fit = long.groupBy(*keys).agg(F.avg(value).alias("_m"), sd(value).alias("_s"))
     z = F.when(F.col("_s") > 0, (F.col(value) - F.col("_m")) / F.col("_s")).when(F.col(value).isNotNull(), F.lit(0.0))
-    return long.join(fit, keys).withColumn(out, z).drop("_m", "_s")
+    return long.join(stage(fit), keys).withColumn(out, z).drop("_m", "_s")
 
 
 def shift_sum(long: DataFrame, keys="feature") -> DataFrame:
@@ -31,7 +34,7 @@ def shift_sum(long: DataFrame, keys="feature") -> DataFrame:
     keys = _keys(keys)
     fit = long.groupBy(*keys).agg(F.min("value").alias("_lo"), (F.sum("value") - F.count("value") * F.min("value")).alias("_sum"))
     bad = F.when(F.col("_sum") <= 0, F.raise_error(F.lit("shifted column sum is not positive")).cast("double")).otherwise(F.col("_sum"))
-    return long.join(fit, keys).withColumn("t", F.log1p((F.col("value") - F.col("_lo")) / bad * TARGET_SUM)).drop("_lo", "_sum")
+    return long.join(stage(fit), keys).withColumn("t", F.log1p((F.col("value") - F.col("_lo")) / bad * TARGET_SUM)).drop("_lo", "_sum")
 
 
 def shift_sum_log1p_z(long: DataFrame, ddof: int = 1, keys="feature") -> DataFrame:
@@ -45,10 +48,12 @@ def shift_sum_split_params(folded: DataFrame, fold="fold", ddof: int = 1) -> Dat
     the rows again, once per split.
     """
     per = folded.groupBy("feature", fold).agg(F.min("value").alias("lo"), F.sum("value").alias("s"), F.count("value").alias("n"))
+    per = stage(per)
     splits = per.select("feature", F.col(fold).alias("split")).distinct()
     train = per.join(splits, "feature").where(F.col(fold) != F.col("split"))
     p = train.groupBy("split", "feature").agg(F.min("lo").alias("lo"), (F.sum("s") - F.sum("n") * F.min("lo")).alias("total"))
     p = p.withColumn("total", F.when(F.col("total") > 0, F.col("total")).otherwise(F.lit(1.0)))
+    p = stage(p)
     t = folded.join(p, "feature").where(F.col(fold) != F.col("split")).withColumn("t", scaled(F.col("value"), F.col("lo"), F.col("total")))
     sd = F.stddev_samp if ddof else F.stddev_pop
     return p.join(t.groupBy("split", "feature").agg(F.avg("t").alias("mean"), sd("t").alias("sd")), ["split", "feature"])
@@ -60,6 +65,7 @@ def scaled(x, lo, total):
 
 
 def apply_split_params(folded: DataFrame, params: DataFrame, fold="fold") -> DataFrame:
+    params = stage(params)
     j = folded.join(params, (folded["feature"] == params["feature"]) & (folded[fold] == params["split"])).drop(params["feature"])
     z = (scaled(F.col("value"), F.col("lo"), F.col("total")) - F.col("mean")) / F.col("sd")
     return j.withColumn("z", F.when(F.col("sd") > 0, z).otherwise(F.lit(0.0))).drop("lo", "total", "mean", "sd", "split")
@@ -111,7 +117,7 @@ def adaptive_plan(long: DataFrame, limit: float = 0.5) -> DataFrame:
 
 
 def adaptive_transform(long: DataFrame, limit: float = 0.5, plan: DataFrame | None = None) -> DataFrame:
-    plan = adaptive_plan(long, limit) if plan is None else plan
+    plan = stage(adaptive_plan(long, limit) if plan is None else plan)
     t = long.join(plan, "feature").withColumn("t", F.when(F.col("rule") == "yeo_johnson", yeo_johnson(F.col("value"), F.col("lam")))
                                               .otherwise(F.col("value")))
     return zscore(t, 1, "feature", "t", "z")
@@ -120,16 +126,16 @@ def adaptive_transform(long: DataFrame, limit: float = 0.5, plan: DataFrame | No
 def log1p_if_skewed(long: DataFrame, limit: float = 1.0) -> DataFrame:
     s = long.groupBy("feature").agg(F.count("value").alias("n"), F.skewness("value").alias("g"), F.min("value").alias("_lo"))
     rule = F.when((F.col("_lo") >= 0) & (skew_adjusted(F.col("g"), F.col("n").cast("double")) > limit), "log1p").otherwise("none")
-    t = long.join(s.select("feature", rule.alias("rule")), "feature")
+    t = long.join(stage(s.select("feature", rule.alias("rule"))), "feature")
     t = t.withColumn("t", F.when(F.col("rule") == "log1p", F.log1p("value")).otherwise(F.col("value")))
     return zscore(t, 1, "feature", "t", "z")
 
 
 def median_mad(long: DataFrame, keys="feature") -> DataFrame:
     keys = _keys(keys)
-    med = order.quantiles(long, keys, "value", {"med": .5})
+    med = stage(order.quantiles(long, keys, "value", {"med": .5}))
     dev = long.join(med, keys).withColumn("_d", F.abs(F.col("value") - F.col("med")))
-    return med.join(order.quantiles(dev, keys, "_d", {"mad": .5}), keys)
+    return stage(med.join(order.quantiles(dev, keys, "_d", {"mad": .5}), keys))
 
 
 def robust_z(long: DataFrame, keys="feature", fallback_sd: bool = False) -> DataFrame:
@@ -138,7 +144,7 @@ def robust_z(long: DataFrame, keys="feature", fallback_sd: bool = False) -> Data
     j = long.join(median_mad(long, keys), keys)
     z = F.when(F.col("mad") > 0, MAD_Z * (F.col("value") - F.col("med")) / F.col("mad"))
     if fallback_sd:
-        sd = long.groupBy(*keys).agg(F.stddev_samp("value").alias("_sd"))
+        sd = stage(long.groupBy(*keys).agg(F.stddev_samp("value").alias("_sd")))
         j = j.join(sd, keys)
         z = F.coalesce(z, F.when(F.col("_sd") > 0, (F.col("value") - F.col("med")) / F.col("_sd")))
     return j.withColumn("rz", z).drop("_sd")
@@ -147,7 +153,7 @@ def robust_z(long: DataFrame, keys="feature", fallback_sd: bool = False) -> Data
 def tukey_fences(long: DataFrame, keys="feature") -> DataFrame:
     """Rows outside the 1.5 and 3 IQR fences and beyond a modified z of 3.5."""
     keys = _keys(keys)
-    q = order.quantiles(long, keys, "value", {"q1": .25, "q3": .75})
+    q = stage(order.quantiles(long, keys, "value", {"q1": .25, "q3": .75}))
     j = robust_z(long, keys).join(q, keys)
     iqr, v = F.col("q3") - F.col("q1"), F.col("value")
     out = lambda k: F.count_if((v < F.col("q1") - k * iqr) | (v > F.col("q3") + k * iqr))
@@ -158,7 +164,7 @@ def tukey_fences(long: DataFrame, keys="feature") -> DataFrame:
 def median_impute(long: DataFrame, keys=("class", "feature")) -> DataFrame:
     """Cohort median in place of NULL, with a flag per filled field."""
     keys = _keys(keys)
-    med = order.quantiles(long, keys, "value", {"med": .5})
+    med = stage(order.quantiles(long, keys, "value", {"med": .5}))
     return (long.join(med, keys, "left").withColumn("imputed", F.col("value").isNull())
             .withColumn("value", F.coalesce("value", "med")))
 
@@ -170,7 +176,7 @@ def lognorm_counts(counts: DataFrame, target: float = TARGET_SUM) -> DataFrame:
 
 
 def max_normalize(df: DataFrame, key: str, value: str) -> DataFrame:
-    top = df.groupBy(key).agg(F.max(value).alias("_top"))
+    top = stage(df.groupBy(key).agg(F.max(value).alias("_top")))
     return df.join(top, key).withColumn("scaled", F.col(value) / F.when(F.col("_top") > 0, F.col("_top")).otherwise(F.lit(1.0))).drop("_top")
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as X
 from ..operators import order, qc
+from ..runtime import stage
 from .bindings import (FEATURES, SQL_COUNTS, SQL_LONG, SQL_LONG_MISSING, SQL_OBS, SQL_OBS_MISSING, counts, long, long_of,
                        obs, obs_missing, table)
 from .registry import query
@@ -233,7 +234,7 @@ def _(spark, sf):
 
 def quantile_scale(long_df, lo=0.025, hi=0.975):
     """Per feature (x - q_lo) / (q_hi - q_lo) clipped to the unit interval; no spread gives 0.5."""
-    q = order.quantiles(long_df, ["feature"], "value", {"q_lo": lo, "q_hi": hi})
+    q = stage(order.quantiles(long_df, ["feature"], "value", {"q_lo": lo, "q_hi": hi}))
     x = (F.col("value") - F.col("q_lo")) / (F.col("q_hi") - F.col("q_lo"))
     return long_df.join(q, "feature").withColumn(
         "scaled", F.when(F.col("q_hi") > F.col("q_lo"), X.clip(x, 0.0, 1.0)).otherwise(F.lit(0.5)))

@@ -3,6 +3,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions.scalar import draw
 from ..operators import aggs as A, joins as J, multiplicity as M, order, rank_tests as R
+from ..runtime import stage
 from .bindings import SQL_COUNTS, SQL_LONG, SQL_OBS, SQL_POINTS, SQL_RANKED, counts, long, obs, points, table
 from .registry import query
 
@@ -43,7 +44,7 @@ def ordered_positions(df, tier, value, key):
  l_extendedprice / sum(l_extendedprice) OVER (PARTITION BY l_returnflag) AS share FROM lineitem""", dbl="l_extendedprice group_total:2 share:12")
 def _(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_returnflag")
-    tot = li.groupBy("l_returnflag").agg(F.sum("l_extendedprice").alias("group_total"))
+    tot = stage(li.groupBy("l_returnflag").agg(F.sum("l_extendedprice").alias("group_total")))
     return li.join(tot, "l_returnflag").withColumn("share", F.col("l_extendedprice") / F.col("group_total")).drop("l_returnflag")
 
 
@@ -100,7 +101,7 @@ def _(spark, sf):
 
 def group_center(df, group, columns, pull=None):
     """Subtract the group mean; with ``pull`` move every coordinate that share of the way to its mean."""
-    means = df.groupBy(group).agg(*[F.avg(c).alias("_m_" + c) for c in columns])
+    means = stage(df.groupBy(group).agg(*[F.avg(c).alias("_m_" + c) for c in columns]))
     j = df.join(means, group)
     for c in columns:
         m = F.col("_m_" + c)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import chi2_quantile
 from ..operators import linalg as L, neighbours as N, order
+from ..runtime import stage
 from .bindings import FEATURES, SQL_OBS, SQL_VECTORS, obs, table, vectors
 from .registry import query
 from .s03_joins import KNN_SQL
@@ -155,7 +156,7 @@ def _(spark, sf):
 def radial_scale(df, x, y, prob, keys=()):
     """Divide coordinates by a high percentile of the radius."""
     r = df.withColumn("feature", F.lit("r")).withColumn("radius", F.sqrt(F.col(x) * F.col(x) + F.col(y) * F.col(y)))
-    q = order.quantiles(r, ["feature", *keys], "radius", {"_q": prob})
+    q = stage(order.quantiles(r, ["feature", *keys], "radius", {"_q": prob}))
     j = r.join(q, ["feature", *keys])
     return j.withColumn(x, F.try_divide(F.col(x), F.col("_q"))).withColumn(y, F.try_divide(F.col(y), F.col("_q"))).drop("_q", "feature", "radius")
 
