@@ -9,32 +9,76 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import order
 
-PAIRS_PER_AGG = 300
+_MATS = "k int, bucket int, n array<double>, mean array<double>, cross array<double>, sq array<double>"
 
 
-def corr_or_null(a, b):
-    """Pearson over rows where both are present; NULL when either has no spread."""
-    return F.try_divide(F.regr_sxy(a, b), F.sqrt(F.regr_sxx(a, b) * F.regr_syy(a, b)))
+def _join_parts(a, b):
+    """Merge two sets of pairwise-complete moments; entry (i, j) covers rows where both are present."""
+    n1, m1, c1, v1 = a
+    n2, m2, c2, v2 = b
+    n, d = n1 + n2, m2 - m1
+    safe = np.maximum(n, 1)
+    w = n1 * n2 / safe
+    return n, m1 + d * n2 / safe, c1 + c2 + d * d.T * w, v1 + v2 + d * d * w
 
 
-def pair_moments(df: DataFrame, features, keys=()) -> DataFrame:
-    """(a, b, n, r, cov) for each unordered pair over rows where both are present."""
-    pairs = list(combinations(features, 2))
-    parts = []
-    for s in range(0, len(pairs), PAIRS_PER_AGG):
-        st = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                       F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("n"),
-                       corr_or_null(a, b).alias("r"), F.covar_samp(a, b).alias("cov")) for a, b in pairs[s:s + PAIRS_PER_AGG]]
-        g = df.groupBy(*keys).agg(F.array(*st).alias("s")) if keys else df.agg(F.array(*st).alias("s"))
-        parts.append(g.select(*keys, F.explode("s").alias("s")).select(*keys, "s.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _batch_moments(x: np.ndarray):
+    """Moments of one batch, shifted by its first values so that a constant column has no spread at all."""
+    m = ~np.isnan(x)
+    base = np.array([x[m[:, j], j][0] if m[:, j].any() else 0.0 for j in range(x.shape[1])])
+    z, f = np.where(m, x - base, 0.0), m.astype(float)
+    n, s = f.T @ f, z.T @ f
+    safe = np.maximum(n, 1)
+    return n, base[:, None] + s / safe, z.T @ z - s * s.T / safe, (z * z).T @ f - s * s / safe
+
+
+def pair_moments(df: DataFrame, features) -> DataFrame:
+    """(a, b, n, r, cov) for each unordered pair over rows where both are present; r is NULL without spread.
+
+    One pass: matrix products per Arrow batch, p x p partial results merged in two grouped steps.
+    """
+    names = list(features)
+    p = len(names)
+
+    def row(bucket, t):
+        return pd.DataFrame([(0, bucket, *[x.ravel().tolist() for x in t])], columns=["k", "bucket", "n", "mean", "cross", "sq"])
+
+    def partial(batches):
+        acc = None
+        for b in batches:
+            if len(b):
+                t = _batch_moments(b.to_numpy(dtype=float, na_value=np.nan))
+                acc = t if acc is None else _join_parts(acc, t)
+        if acc is not None:
+            yield row(TaskContext.get().partitionId() % 64, acc)
+
+    def gather(pdf):
+        acc = None
+        for r in pdf.itertuples():
+            t = tuple(np.asarray(x, float).reshape(p, p) for x in (r.n, r.mean, r.cross, r.sq))
+            acc = t if acc is None else _join_parts(acc, t)
+        return acc
+
+    def merge(pdf):
+        return row(0, gather(pdf))
+
+    def finish(pdf):
+        n, _, c, v = gather(pdf)
+        out = []
+        for i, j in combinations(range(p), 2):
+            spread = max(v[i, j], 0.0) * max(v[j, i], 0.0)
+            out.append((names[i], names[j], int(n[i, j]), c[i, j] / np.sqrt(spread) if spread > 0 else None,
+                        c[i, j] / (n[i, j] - 1) if n[i, j] > 1 else None))
+        return pd.DataFrame(out, columns=["a", "b", "n", "r", "cov"])
+
+    parts = df.select(*[F.col(f).cast("double").alias(f) for f in names]).mapInPandas(partial, _MATS)
+    return (parts.groupBy("k", "bucket").applyInPandas(merge, _MATS)
+            .groupBy("k").applyInPandas(finish, "a string, b string, n long, r double, cov double"))
 
 
 def full_matrix(pairs: DataFrame, features, r="r") -> DataFrame:
