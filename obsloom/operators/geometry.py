@@ -8,18 +8,22 @@ from ..runtime import cut, is_small
 from . import order
 
 
-def previous(points: DataFrame, keys, order_by, columns, span: str | None = None, small: bool | None = None) -> DataFrame:
+def previous(points: DataFrame, keys, order_by, columns, span: str | None = None, small: bool | None = None,
+             rows_per_piece: int = order.ROWS_PER_BUCKET) -> DataFrame:
     """Adds prev_<column> of the preceding point of the sequence.
 
-    A long sequence is cut by day of its time column before sorting; the last point of a day
-    (or of the latest earlier day that has points) is handed to the first point of the next.
+    Large inputs are cut along the order before sorting, by day of a time column (or ``span``) or
+    into value buckets otherwise; the last point of a piece is handed to the first of the next.
     """
     small = is_small(points) if small is None else small
     keys, order_by = list(keys), list(order_by)
-    if small or span is None and not str(dict(points.dtypes)[order_by[0]]).startswith("timestamp"):
+    if small:
         w = Window.partitionBy(*keys).orderBy(*order_by)
         return points.withColumns({f"prev_{c}": F.lag(c).over(w) for c in columns})
-    p = points.withColumn("_span", F.expr(span) if span else F.to_date(order_by[0]))
+    if span or dict(points.dtypes)[order_by[0]].startswith("timestamp"):
+        p = points.withColumn("_span", F.expr(span) if span else F.to_date(order_by[0]))
+    else:
+        p = order._bucketed(points, order_by[0], rows_per_piece).withColumnRenamed("_bucket", "_span")
     last = p.groupBy(*keys, "_span").agg(F.max_by(F.struct(*columns), F.struct(*order_by)).alias("_last"))
     carry = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_span"))).drop("_last")
     w = Window.partitionBy(*keys, "_span").orderBy(*order_by)

@@ -123,3 +123,11 @@ def test_near_zero_variance(spark):
     got = {r["feature"]: r["near_zero"] for r in aggs.near_zero_variance(df).collect()}
     assert got == {"f": True, "g": False, "h": True}
     assert np.isclose({r["feature"]: r["unique_percent"] for r in aggs.near_zero_variance(df).collect()}["f"], 2.0)
+
+
+def test_previous_point_in_pieces(spark):
+    rows = [("hot" if i % 3 else "cold", i // 2, i, float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, seq int, tie int, x double")
+    plain = geometry.previous(df, ["k"], ["seq", "tie"], ["x"], small=True).collect()
+    cut = geometry.previous(df, ["k"], ["seq", "tie"], ["x"], small=False, rows_per_piece=20).collect()
+    assert {r["tie"]: r["prev_x"] for r in plain} == {r["tie"]: r["prev_x"] for r in cut}
