@@ -1,6 +1,7 @@
 """Session facts shared by the operators: input size, shared folder, lineage cuts."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,16 +23,21 @@ def is_small(df: DataFrame) -> bool:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach; a local one only when the session names none."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or the folder set on the context.
+
+    On a local master a fresh temporary folder stands in, as driver and executors are one process there.
+    Any other master without a configured folder is an error: a machine-local path would lose data."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        path = tempfile.mkdtemp(prefix="obsloom-")
-        spark.sparkContext.setCheckpointDir(path)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return path
+    if path:
+        return path
+    context = spark.sparkContext
+    current = context._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    if not re.match(r"local(\[|$)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="obsloom-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def fresh_path(spark: SparkSession, stem: str) -> str:
@@ -47,6 +53,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a staged folder once nothing reads it any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
