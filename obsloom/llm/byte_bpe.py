@@ -74,7 +74,7 @@ class Codec:
         self.four = [struct.pack("<I", i) for i in range(len(tokens))]
         self.unsafe = [c + " " for c in SPACES]
         self.unsafe_ascii = [c for c in self.unsafe if c.isascii()]
-        self.first, self.later = Pieces(self._words, 50_000), Pieces(lambda words: self._words(words, " "))
+        self.first, self.later = Pieces(self._words, 50_000), Pieces(lambda words: self._words(words, " "), 400_000)
 
     def _words(self, words: list[str], before: str = "") -> dict[str, bytes]:
         found = [self.find(before + w) for w in words]

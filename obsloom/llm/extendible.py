@@ -11,7 +11,7 @@ BITS = 62  # of the hash that the directory may use
 STEP = 4  # bits by which one round of counting can deepen a bucket
 
 
-def local_copies(docs: DataFrame, hold_bytes: int = 48 << 20) -> tuple[DataFrame, DataFrame]:
+def local_copies(docs: DataFrame, hold_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
     """Folds equal texts of an input partition before anything is shuffled.
 
     Returns staged (representatives, members): a representative is one text of a partition with its largest doc_id and row count, a
@@ -29,7 +29,7 @@ def local_copies(docs: DataFrame, hold_bytes: int = 48 << 20) -> tuple[DataFrame
             for k in range(0, len(rows), 256):
                 yield pa.RecordBatch.from_pylist(rows[k:k + 256], schema)
 
-        for batch in batches:
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, len(b), 1000)):
             members = []
             for row in batch.to_pylist():
                 key = NO_KEY if row["doc_id"] is None else row["doc_id"]
@@ -99,7 +99,7 @@ def build_index(reps: DataFrame, bucket_bytes: int) -> DataFrame:
 
     def work(batches):
         last, chain = None, []
-        for batch in batches:
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, len(b), 1000)):
             out = []
             for row in batch.to_pylist():
                 if row["h"] != last:

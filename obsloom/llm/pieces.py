@@ -7,19 +7,23 @@ LONG = 128
 
 
 class Pieces:
-    """``encode`` maps a list of words to a dict of their id bytes; words over LONG characters are not kept."""
+    """``encode`` maps a list of words to a dict of their id bytes. At ``limit`` words the older half goes; a word that was looked up
+    since is in the younger half. Words over LONG characters are not kept."""
 
-    def __init__(self, encode: Callable[[list[str]], dict], limit: int = 500_000):
-        self.encode, self.limit, self.table = encode, limit, {}
+    def __init__(self, encode: Callable[[list[str]], dict], limit: int = 400_000):
+        self.encode, self.limit, self.table, self.old = encode, limit, {}, {}
 
     def join(self, texts: list[list[str]]) -> list[bytes]:
         """Id bytes of each list of words."""
-        table = self.table
         words = set().union(*texts)
+        if len(self.table) > self.limit // 2:
+            self.old, self.table = self.table, {}
+        table, old = self.table, self.old
         new = words.difference(table)
-        if len(table) + len(new) > self.limit:
-            table.clear()
-            new = words
+        if old:
+            known = new.intersection(old)
+            table.update(zip(known, map(old.__getitem__, known)))
+            new -= known
         if new:
             table.update(self.encode(list(new)))
         out = [b"".join(map(table.__getitem__, t)) for t in texts]
