@@ -9,8 +9,8 @@ BINS = 64  # signatures of a fingerprint
 BLANK = " \t\n\r\x0b\x0c"
 
 
-def fingerprints(rows: DataFrame, by: list[str], spread: list[str], text: str = "text", k: int = 3) -> DataFrame:
-    """(*by, sketch): Order MinHash of ``text`` for each row, named by ``by``; ``rows`` is partitioned by ``spread``, a part of ``by``, and stays so.
+def fingerprints(rows: DataFrame, by: list[str], text: str = "text", k: int = 3) -> DataFrame:
+    """(*by, sketch): Order MinHash of ``text`` for each row, named by ``by``. Rows that are partitioned by a part of ``by`` stay where they are.
 
     Items are k-mers of words with their occurrence number (the text's end gives shorter ones, so any word makes an item). An item's hash
     picks one of BINS signatures and one of two halves; the minimal item of each half is selected, and a signature hashes its items in
@@ -58,8 +58,9 @@ def edited_fingerprints(docs: DataFrame, k: int = 3, range_bytes: int = 2 << 20)
     cuts = bounds(plain.select("_key"), "_key", max(1, -(-total // range_bytes)))
     n = max(1, len(cuts))
     here = range_of("_key", cuts or [0])
-    own = F.struct(here.alias("_range"), F.lit(False).alias("_guest"))
-    guest = F.struct(F.pmod(here - 1, F.lit(n)).cast("int").alias("_range"), F.lit(True).alias("_guest"))
+    # a range that cannot be null keeps the join below from adding a filter to one of the two uses
+    own = F.struct(F.coalesce(here, F.lit(0)).alias("_range"), F.lit(False).alias("_guest"))
+    guest = F.struct(F.coalesce(F.pmod(here - 1, F.lit(n)).cast("int"), F.lit(0)).alias("_range"), F.lit(True).alias("_guest"))
     rows = plain.select("doc_id", "_key", "text", F.explode(F.when(F.col("_key").isin(cuts or [0]), F.array(own, guest)).otherwise(F.array(own))).alias("_at"))
     rows = rows.select("doc_id", "_key", "text", "_at.*").repartition(n, "_range")
     order = Window.partitionBy("_range").orderBy("_guest", "_key", F.xxhash64("text"), "text")
@@ -70,7 +71,8 @@ def edited_fingerprints(docs: DataFrame, k: int = 3, range_bytes: int = 2 << 20)
         F.concat(F.substring(F.col("text"), F.lit(1), chars - half), F.substring(F.coalesce("_next", F.lit("")), F.lit(1), half)).alias("edited"))
     both = pairs.select("doc_id", "_range", "_row", F.explode(F.when(F.col("_guest"), F.array(F.struct(F.lit(0).alias("_edit"), F.col("text")))).otherwise(
         F.array(F.struct(F.lit(0).alias("_edit"), F.col("text")), F.struct(F.lit(1).alias("_edit"), F.col("edited").alias("text"))))).alias("_v"))
-    sketches = fingerprints(both.select("_range", "_row", "_v.*"), ["_range", "_row", "_edit"], ["_range"], k=k)
+    # doc_id goes along so that both uses of ``rows`` read the same columns and share one shuffle of the texts
+    sketches = fingerprints(both.select("_range", "_row", "doc_id", "_v.*"), ["_range", "_row", "doc_id", "_edit"], k=k)
     wide = sketches.groupBy("_range", "_row").agg(F.max(F.when(F.col("_edit") == 0, F.col("sketch"))).alias("own"), F.max(F.when(F.col("_edit") == 1, F.col("sketch"))).alias("edit"))
     empty = F.array().cast("array<bigint>")
     facts = pairs.select("doc_id", "_range", "_guest", "_row", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
