@@ -173,15 +173,25 @@ def _keep(df: DataFrame, stem: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def _squeeze(raw: bytes) -> bytes:
+    return pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _blob(row: dict) -> bytes:
+    """Bytes of all texts of a block row."""
+    size = int(_array(row["lengths"], np.int64).sum())
+    return pa.decompress(row["blob"], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
 def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """(block, blob, doc_ids, nulls, lengths): whole texts of a partition joined to blocks of about ``block_bytes``."""
+    """(block, blob, doc_ids, lengths): whole texts of a partition joined to blocks of about ``block_bytes``, compressed."""
     schema = pa.schema([("block", pa.int64()), ("blob", pa.binary()), ("doc_ids", pa.binary()), ("lengths", pa.binary())])
 
     def work(batches):
         keys, values, size, part, serial = [], [], 0, 0, 0
 
         def close():
-            return pa.RecordBatch.from_pylist([{"block": part << 32 | serial, "blob": b"".join(values), "doc_ids": np.array(keys, np.int64).tobytes(),
+            return pa.RecordBatch.from_pylist([{"block": part << 32 | serial, "blob": _squeeze(b"".join(values)), "doc_ids": np.array(keys, np.int64).tobytes(),
                                                 "lengths": np.array([len(v) for v in values], np.int64).tobytes()}], schema)
 
         for batch, found in slices(batches):
@@ -214,7 +224,7 @@ def anchors(staged: DataFrame, window: int, owners: int) -> DataFrame:
         schema = pa.schema([("owner", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary()), ("many", pa.binary())])
         for batch in batches:
             for row in batch.to_pylist():
-                found, count = np.unique(runs(_array(row["blob"], np.uint8), _array(row["lengths"], np.int64), window)[0], return_counts=True)
+                found, count = np.unique(runs(_array(_blob(row), np.uint8), _array(row["lengths"], np.int64), window)[0], return_counts=True)
                 owner = _owner(found, owners)
                 order = np.argsort(owner, kind="stable")
                 cuts = np.searchsorted(owner[order], np.arange(owners + 1))
@@ -246,7 +256,8 @@ def chunks(staged: DataFrame, repeated: DataFrame, window: int, owners: int) ->
     def work(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                blob, lengths, doc_ids = _array(row["blob"], np.uint8), _array(row["lengths"], np.int64), _array(row["doc_ids"], np.int64)
+                raw, lengths, doc_ids = _blob(row), _array(row["lengths"], np.int64), _array(row["doc_ids"], np.int64)
+                blob = _array(raw, np.uint8)
                 wanted = np.sort(np.concatenate([_array(h, np.uint64) for h in row["found"]]))
                 hashes, first, count = runs(blob, lengths, window)
                 at = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
@@ -258,7 +269,7 @@ def chunks(staged: DataFrame, repeated: DataFrame, window: int, owners: int) ->
                     doc = doc + skip
                 order = np.lexsort((first - starts[doc], doc, doc_ids[doc]))  # by (doc_id, place in the block, offset): first come, first kept
                 serial_of: dict[bytes, int] = {}
-                raw, lead, serial = row["blob"], [], np.empty(len(first), np.int32)
+                lead, serial = [], np.empty(len(first), np.int32)
                 for i, a, size in zip(order.tolist(), first[order].tolist(), (count[order] + window - 1).tolist()):
                     text = raw[a:a + size]
                     s = serial_of.setdefault(text, len(serial_of))
@@ -374,7 +385,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, block_bytes: int = 4 << 2
     def work(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                raw, lengths, keys = row["blob"], _array(row["lengths"], np.int64), _array(row["doc_ids"], np.int64)
+                raw, lengths, keys = _blob(row), _array(row["lengths"], np.int64), _array(row["doc_ids"], np.int64)
                 cover = np.zeros(len(raw) + 1, np.int32)
                 if row["uses"] is not None:
                     uses = np.frombuffer(row["uses"], [("serial", "<i4"), ("lead", "?"), ("first", "<i8"), ("count", "<i4")])
