@@ -74,7 +74,7 @@ class Codec:
         self.four = [struct.pack("<I", i) for i in range(len(tokens))]
         self.unsafe = [c + " " for c in SPACES]
         self.unsafe_ascii = [c for c in self.unsafe if c.isascii()]
-        self.first, self.later = Pieces(self._words, 50_000), Pieces(lambda words: self._words(words, " "), 400_000)
+        self.first, self.later = Pieces(self._words, 50_000), Pieces(lambda words: self._words(words, " "), 300_000)
 
     def _words(self, words: list[str], before: str = "") -> dict[str, bytes]:
         found = [self.find(before + w) for w in words]
@@ -142,7 +142,19 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(work, "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded): ``encode`` and ``decode`` in one pass, so that a task needs one worker with one word table."""
+    def work(batches):
+        own = codec(path, pattern)
+        for batch, values in slices(batches):
+            ids = own.encode(values)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()),
+                                              pa.array([own.decode(x) for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
+
+    return texts(docs).mapInArrow(work, "doc_id long, n_tokens long, ids binary, decoded binary")
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of the round trip."""
-    return decode(encode(docs, path, pattern), path, pattern).select(
+    return round_trip(docs, path, pattern).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

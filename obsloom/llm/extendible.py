@@ -11,7 +11,7 @@ BITS = 62  # of the hash that the directory may use
 STEP = 4  # bits by which one round of counting can deepen a bucket
 
 
-def local_copies(docs: DataFrame, hold_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
+def local_copies(docs: DataFrame, hold_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
     """Folds equal texts of an input partition before anything is shuffled.
 
     Returns staged (representatives, members): a representative is one text of a partition with its largest doc_id and row count, a

@@ -45,6 +45,8 @@ def test_bpe_operator(docs, none, rows):
         want.append((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want, key=str)
     assert byte_bpe.digests(none, RANKS, P.PATTERN).collect() == []
+    two = byte_bpe.decode(byte_bpe.encode(docs, RANKS, P.PATTERN), RANKS, P.PATTERN).collect()
+    assert sorted((bytes(r.decoded) for r in two)) == sorted((t or "").encode() for _, t in rows)
 
 
 def test_word_tables_forget_without_harm():
