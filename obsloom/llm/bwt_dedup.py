@@ -287,7 +287,7 @@ def chunks(staged: DataFrame, repeated: DataFrame, window: int, owners: int) ->
                 for some in np.split(by, cuts):
                     i = lead[some]
                     rows.append({"owner": int(owner[some[0]]), "block": row["block"], "serials": some.astype("<i4").tobytes(), "hashes": hashes[i].tobytes(),
-                                 "sizes": (count[i] + window - 1).astype("<i4").tobytes(), "chunks": b"".join(content[s] for s in some.tolist()),
+                                 "sizes": (count[i] + window - 1).astype("<i4").tobytes(), "chunks": _squeeze(b"".join(content[s] for s in some.tolist())),
                                  "docs": doc_ids[doc[i]].tobytes(), "rows": doc[i].astype("<i4").tobytes(), "places": (first[i] - starts[doc[i]]).tobytes(), "uses": None})
                 for k in range(0, len(rows), 64):
                     yield pa.RecordBatch.from_pylist(rows[k:k + 64], schema)
@@ -307,9 +307,9 @@ def judged(rows: DataFrame, window: int) -> DataFrame:
         blocks_, serials, names, strings, hashes = [], [], [], [], []
         index: dict[bytes, int] = {}
         for r in group.itertuples():
-            at = 0
+            at, text_of = 0, pa.decompress(r.chunks, decompressed_size=int(_array(r.sizes, "<i4").sum()), codec="zstd", asbytes=True)
             for s, h, size in zip(_array(r.serials, "<i4").tolist(), _array(r.hashes, np.uint64).tolist(), _array(r.sizes, "<i4").tolist()):
-                text = r.chunks[at:at + size]
+                text = text_of[at:at + size]
                 at += size
                 k = index.setdefault(text, len(index))
                 if k == len(strings):
