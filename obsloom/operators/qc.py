@@ -62,8 +62,8 @@ def require_empty(df: DataFrame, message: str) -> None:
 
 
 def transition(before: DataFrame, quarantine: DataFrame, key: str) -> DataFrame:
-    """Status before and after a reversible quarantine list."""
-    q = quarantine.select(key, "reason").dropDuplicates([key])
+    """Status before and after a reversible quarantine list; of several reasons for a key the first by name holds."""
+    q = quarantine.groupBy(key).agg(F.min("reason").alias("reason"))
     hit = F.col("reason").isNotNull()
     return (before.select(key, F.col("status").alias("previous_status")).join(q, key, "left")
             .withColumn("quarantined", hit)

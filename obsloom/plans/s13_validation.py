@@ -16,7 +16,7 @@ from .s12_clustering import metrics_sql, pcs
 _S = {"F": "(id * 31 + rep * 17) % 97 / 97", "O": "(id * 7 + rep * 29) % 89 / 89", "P": "(id * 13 + rep * 11) % 83 / 83"}
 OOF_SQL = """b0 AS (SELECT o_orderkey AS id, c_nationkey AS stratum, o_orderstatus AS truth, rep FROM orders JOIN customer ON c_custkey = o_custkey, (SELECT unnest(range(0, {reps})) AS rep)),
  s0 AS (SELECT *, """ + ", ".join(
-    f"1 + {e.replace('/ 9', '/ 9').replace('/ 8', '/ 8')}.0::DOUBLE + CASE WHEN truth = '{c}' THEN 0.6::DOUBLE ELSE 0 END AS s{c}" for c, e in _S.items()) + """ FROM b0),
+    f"1 + {e}.0::DOUBLE + CASE WHEN truth = '{c}' THEN 0.6::DOUBLE ELSE 0 END AS s{c}" for c, e in _S.items()) + """ FROM b0),
  p0 AS (SELECT *, round(sF / (sF + sO + sP), 6) AS pF, round(sO / (sF + sO + sP), 6) AS pO, round(sP / (sF + sO + sP), 6) AS pP FROM s0),
  oof AS (SELECT id, stratum, truth, rep, pF, pO, pP, greatest(pF, pO, pP) AS conf, CASE WHEN pF >= pO AND pF >= pP THEN 'F' WHEN pO >= pP THEN 'O' ELSE 'P' END AS pred FROM p0)"""
 PROBS = {"F": "pF", "O": "pO", "P": "pP"}
