@@ -49,42 +49,54 @@ def overlap_map(cells: DataFrame, keys=()) -> DataFrame:
 
 
 def best_matching(table: np.ndarray) -> list[int]:
-    """Column chosen for each row so that the matched total is largest; rows <= 16 (subset DP)."""
+    """Column chosen for each row so that the matched total is largest.
+
+    Shortest augmenting paths over row and column prices, O(K^3). With fewer columns than rows
+    some rows get a column beyond the table.
+    """
     r, c = table.shape
-    if c < r:
-        table = np.hstack([table, np.zeros((r, r - c))])
-        c = r
-    best = {0: (0.0, [])}
-    for j in range(c):
-        nxt = dict(best)
-        for mask, (score, picks) in best.items():
-            for i in range(r):
-                if not mask >> i & 1:
-                    m, s = mask | 1 << i, score + table[i, j]
-                    if m not in nxt or s > nxt[m][0] + 1e-12:
-                        nxt[m] = (s, picks + [(i, j)])
-        best = nxt
-    full = max((v for k, v in best.items() if k == (1 << r) - 1), key=lambda v: v[0])
-    return [j for _, j in sorted(full[1])]
-
-
-def optimal_matching(cells: DataFrame, keys=()) -> DataFrame:
-    """One-to-one map a -> b per key with the per-pair overlap and Jaccard (K x K table per key)."""
+    cost = np.hstack([-table, np.zeros((r, max(0, r - c)))])
+    width = cost.shape[1]
+    row_price, col_price = np.zeros(r), np.zeros(width)
+    owner = np.full(width, -1)  # row that holds a column
+    for row in range(r):
+        dist, back, done = cost[row] - row_price[row] - col_price, np.full(width, -1), np.zeros(width, bool)
+        while True:
+            j = int(np.where(done, np.inf, dist).argmin())
+            done[j] = True
+            if owner[j] < 0:
+                break
+            through = dist[j] + cost[owner[j]] - row_price[owner[j]] - col_price
+            closer = ~done & (through < dist)
+            dist[closer], back[closer] = through[closer], j
+        end = dist[j]
+        for k in np.flatnonzero(done):
+            if owner[k] >= 0:
+                row_price[owner[k]] += end - dist[k]
+            col_price[k] -= end - dist[k]
+        row_price[row] += end
+        while back[j] >= 0:
+            owner[j] = owner[back[j]]
+            j = back[j]
+        owner[j] = row
+    return [int(np.flatnonzero(owner == i)[0]) for i in range(r)]
+
+
+def optimal_matching(cells: DataFrame, keys=(), by: str = "overlap") -> DataFrame:
+    """One-to-one map a -> b per key with the per-pair overlap and Jaccard (K x K table per key).
+
+    ``by`` names what the map maximises in total: the ``overlap`` or the ``jaccard`` of the pairs.
+    """
     keys = list(keys) or ["_k"]
     c = cells if keys != ["_k"] else cells.withColumn("_k", F.lit(1))
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         t = pdf.pivot_table(index="a", columns="b", values="n_ab", fill_value=0.0, aggfunc="sum")
-        flip = len(t.index) > len(t.columns)
-        m = t.T if flip else t
-        rows = []
-        for i, j in enumerate(best_matching(m.to_numpy(float))):
-            x, y = m.index[i], m.columns[j] if j < len(m.columns) else None
-            if y is None:
-                continue
-            a, b = (y, x) if flip else (x, y)
-            n = float(t.loc[a, b])
-            rows.append([pdf[k].iloc[0] for k in keys] + [a, b, n, n / (t.loc[a].sum() + t[b].sum() - n), n / t.to_numpy().sum()])
+        n = t.to_numpy(float)
+        jac = n / (n.sum(1)[:, None] + n.sum(0)[None, :] - n)
+        score = jac if by == "jaccard" else n
+        pairs = [(i, j) for i, j in enumerate(best_matching(score)) if j < n.shape[1]]
+        rows = [[pdf[k].iloc[0] for k in keys] + [t.index[i], t.columns[j], n[i, j], jac[i, j], n[i, j] / n.sum()] for i, j in pairs]
         return pd.DataFrame(rows, columns=keys + ["a", "b", "n_match", "jaccard", "share"])
 
     types = dict(c.dtypes)

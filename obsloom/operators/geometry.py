@@ -4,22 +4,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalar import cascade, is_finite
-from ..runtime import cut, is_small
+from ..runtime import cut
 from . import order
 
 
-def previous(points: DataFrame, keys, order_by, columns, span: str | None = None, small: bool | None = None,
+def previous(points: DataFrame, keys, order_by, columns, span: str | None = None,
              rows_per_piece: int = order.ROWS_PER_BUCKET) -> DataFrame:
     """Adds prev_<column> of the preceding point of the sequence.
 
-    Large inputs are cut along the order before sorting, by day of a time column (or ``span``) or
+    The input is cut along the order before sorting, by day of a time column (or ``span``) or
     into value buckets otherwise; the last point of a piece is handed to the first of the next.
     """
-    small = is_small(points) if small is None else small
     keys, order_by = list(keys), list(order_by)
-    if small:
-        w = Window.partitionBy(*keys).orderBy(*order_by)
-        return points.withColumns({f"prev_{c}": F.lag(c).over(w) for c in columns})
     if span or dict(points.dtypes)[order_by[0]].startswith("timestamp"):
         p = points.withColumn("_span", F.expr(span) if span else F.to_date(order_by[0]))
     else:
@@ -28,7 +24,7 @@ def previous(points: DataFrame, keys, order_by, columns, span: str | None = None
     carry = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_span"))).drop("_last")
     w = Window.partitionBy(*keys, "_span").orderBy(*order_by)
     p = p.withColumns({f"prev_{c}": F.lag(c).over(w) for c in columns}).withColumn("_first", F.row_number().over(w) == 1)
-    p = p.join(carry, [*keys, "_span"])
+    p = order.same_keys(p, carry, [*keys, "_span"])
     return p.withColumns({f"prev_{c}": F.when(F.col("_first"), F.col("_carry")[c]).otherwise(F.col(f"prev_{c}")) for c in columns}) \
         .drop("_span", "_first", "_carry")
 

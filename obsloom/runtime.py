@@ -1,4 +1,4 @@
-"""Session facts shared by the operators: input size, shared folder, lineage cuts."""
+"""Session facts shared by the operators: shared folder, lineage cuts."""
 from __future__ import annotations
 
 import re
@@ -7,21 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Below this many bytes of source data the one-shuffle plans are used; above it
-# ordered work is split into value buckets so that no key is sorted in one task.
-SMALL_INPUT_BYTES = 256 << 20
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Size of the files below ``df`` as the optimizer knows it; runs no job."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def is_small(df: DataFrame) -> bool:
-    return input_bytes(df) <= SMALL_INPUT_BYTES
-
-
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir``, or the folder set on the context.
 

@@ -1,6 +1,6 @@
 """Runs registered queries against their SQL: python tests/oracle_check.py [sf] [name or prefix* ...]
 
-``--big`` forces the plans meant for large inputs (value buckets, day spans)."""
+``--buckets N`` sets the rows of a value bucket, so that small tables are cut into many."""
 import math
 import os
 import sys
@@ -72,12 +72,12 @@ def connect(sf):
 
 if __name__ == "__main__":
     import __spark_entry__ as entry
-    if "--big" in sys.argv:
-        sys.argv.remove("--big")
-        from obsloom import runtime
+    if "--buckets" in sys.argv:
         from obsloom.operators import order
-        runtime.SMALL_INPUT_BYTES, plain = -1, order._bucketed
-        order._bucketed = lambda df, value, rows: plain(df, value, 300)
+        at = sys.argv.index("--buckets")
+        rows, plain = int(sys.argv[at + 1]), order._bucketed
+        del sys.argv[at:at + 2]
+        order._bucketed = lambda df, value, _: plain(df, value, rows)
     sf = f"/root/testdata/sf{sys.argv[1] if len(sys.argv) > 1 else '0.01'}"
     want = sys.argv[2:]
     spark, con, queries, oracles = session(), connect(sf), entry.queries(), entry.oracle_sql()

@@ -1,4 +1,4 @@
-"""Exact order statistics, in the plain and in the bucketed plan, on ties, NULLs and one hot key."""
+"""Exact order statistics, in one bucket and in many, on ties, NULLs and one hot key."""
 import numpy as np
 import pandas as pd
 import pytest
@@ -24,7 +24,7 @@ def data(spark):
     return pdf, df
 
 
-@pytest.mark.parametrize("kw", [{"small": True}, {"small": False, "rows_per_bucket": 50}, {"small": False, "rows_per_bucket": 10**9}])
+@pytest.mark.parametrize("kw", [{}, {"rows_per_bucket": 50}, {"rows_per_bucket": 1}])
 def test_avg_ranks(data, kw):
     pdf, df = data
     got = order.rank_rows(df, ["feature"], "value", **kw).toPandas().set_index("id")["rank"].sort_index()
@@ -32,7 +32,7 @@ def test_avg_ranks(data, kw):
     assert np.allclose(got.to_numpy(float), want.to_numpy(), equal_nan=True)
 
 
-@pytest.mark.parametrize("kw", [{"small": True}, {"small": False, "rows_per_bucket": 50}])
+@pytest.mark.parametrize("kw", [{}, {"rows_per_bucket": 50}])
 def test_quantiles_match_linear_interpolation(data, kw):
     pdf, df = data
     probs = {"p0": 0.0, "p1": .025, "p2": .5, "p3": .975, "p4": 1.0}
@@ -41,7 +41,7 @@ def test_quantiles_match_linear_interpolation(data, kw):
         assert np.allclose(got.loc[k, list(probs)].to_numpy(float), np.nanquantile(g["value"], list(probs.values())))
 
 
-@pytest.mark.parametrize("kw", [{"small": True}, {"small": False, "rows_per_bucket": 50}])
+@pytest.mark.parametrize("kw", [{}, {"rows_per_bucket": 50}])
 def test_rank_cells_sum_to_rank_sums(data, kw):
     pdf, df = data
     c = order.rank_cells(df, ["feature"], "value", "class", **kw)
@@ -52,13 +52,12 @@ def test_rank_cells_sum_to_rank_sums(data, kw):
     assert np.allclose(got.sort_index(), want.sort_index())
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_hash_rank_is_a_permutation(data, small):
+def test_hash_rank_is_a_permutation(data):
     _, df = data
-    got = order.hash_rank(df, ["feature"], draw(3, F.col("id")), "id", small=small).toPandas()
+    got = order.hash_rank(df, ["feature"], draw(3, F.col("id")), "id", rows_per_bucket=10).toPandas()
     for _, g in got.groupby("feature"):
         assert sorted(g["pos"]) == list(range(1, len(g) + 1))
-    other = order.hash_rank(df, ["feature"], draw(3, F.col("id")), "id", small=not small).toPandas()
+    other = order.hash_rank(df, ["feature"], draw(3, F.col("id")), "id").toPandas()
     assert got.set_index("id")["pos"].sort_index().equals(other.set_index("id")["pos"].sort_index())
 
 
@@ -71,5 +70,22 @@ def test_single_value_and_single_row(spark):
 def test_text_order_in_buckets(spark):
     words = sorted({f"{a}{b}" for a in ("", "a", "é", "zz", "Stratum ") for b in range(40)}, key=lambda w: w.encode())
     df = spark.createDataFrame([("k", w, 1) for w in reversed(words)], "k string, w string, c long")
-    got = order.cumulative_counts(df, ["k"], "w", small=False, rows_per_bucket=10).collect()
+    got = order.cumulative_counts(df, ["k"], "w", rows_per_bucket=10).collect()
     assert {r["w"]: r["cum"] for r in got} == {w: i + 1 for i, w in enumerate(words)}
+
+
+def test_text_with_a_common_prefix_spreads(spark):
+    df = spark.range(3000).select(F.format_string("Customer#%09d", "id").alias("w"))
+    sizes = order._bucketed(df, "w", 100).groupBy("_bucket").agg(F.count("*").alias("n"), F.min("w").alias("lo"), F.max("w").alias("hi")).orderBy("_bucket").collect()
+    assert len(sizes) == 30 and max(r["n"] for r in sizes) < 300
+    assert all(a["hi"] < b["lo"] for a, b in zip(sizes, sizes[1:]))
+
+
+def test_null_keys_nan_and_dates(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(None, 1.0), (None, nan), (None, 2.0), ("a", float("inf")), ("a", -0.0), ("a", nan)], "k string, x double")
+    got = {(r["k"], str(r["x"])): r["rank"] for r in order.avg_ranks(df, ["k"], "x", rows_per_bucket=1).collect()}
+    assert got == {(None, "1.0"): 1, (None, "2.0"): 2, (None, "nan"): 3, ("a", "0.0"): 1, ("a", "inf"): 2, ("a", "nan"): 3}
+    days = spark.sql("SELECT 'k' AS k, date_add(DATE'2024-01-01', CAST(id AS INT)) AS d, 1L AS c FROM range(50)")
+    got = order.cumulative_counts(days, ["k"], "d", rows_per_bucket=5).orderBy("d").collect()
+    assert [r["cum"] for r in got] == list(range(1, 51))

@@ -100,6 +100,19 @@ def test_matching_is_optimal(spark):
         small = t if shape[0] <= shape[1] else t.T
         want = max(sum(small[i, p[i]] for i in range(small.shape[0])) for p in itertools.permutations(range(small.shape[1]), small.shape[0]))
         assert got == want
+    wide = rng.integers(0, 1000, (40, 40)).astype(float)
+    picks = agreement.best_matching(wide)
+    assert sorted(picks) == list(range(40))
+    # no exchange of two or three columns improves it
+    for i, j, k in itertools.permutations(range(40), 3):
+        kept = wide[i, picks[i]] + wide[j, picks[j]] + wide[k, picks[k]]
+        assert kept >= wide[i, picks[j]] + wide[j, picks[k]] + wide[k, picks[i]]
+
+
+def test_matching_by_jaccard(spark):
+    cells = spark.createDataFrame([("p", "x", 100.0), ("p", "y", 60.0), ("q", "x", 30.0)], "a string, b string, n_ab double")
+    got = {(r["a"], r["b"]): round(r["jaccard"], 3) for r in agreement.optimal_matching(cells, by="jaccard").collect()}
+    assert got == {("p", "y"): 0.375, ("q", "x"): 0.231}
 
 
 def test_moments_and_pca(spark):

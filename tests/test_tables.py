@@ -76,11 +76,10 @@ def test_undefined_correlation(spark):
     assert r[("a", "b")] == pytest.approx(1.0) and r[("a", "c")] is None
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_previous_point_across_days(spark, small):
+def test_previous_point_across_days(spark):
     rows = [(1, f"2024-01-0{d} 0{h}:00:00", float(d * 10 + h)) for d in (1, 2, 5) for h in (1, 2)]
     df = spark.createDataFrame(rows, "k int, ts string, x double").withColumn("ts", F.to_timestamp("ts"))
-    got = [r["prev_x"] for r in geometry.previous(df, ["k"], ["ts"], ["x"], small=small).orderBy("ts").collect()]
+    got = [r["prev_x"] for r in geometry.previous(df, ["k"], ["ts"], ["x"]).orderBy("ts").collect()]
     assert got == [None, 11.0, 12.0, 21.0, 22.0, 51.0]
 
 
@@ -128,6 +127,6 @@ def test_near_zero_variance(spark):
 def test_previous_point_in_pieces(spark):
     rows = [("hot" if i % 3 else "cold", i // 2, i, float(i)) for i in range(300)]
     df = spark.createDataFrame(rows, "k string, seq int, tie int, x double")
-    plain = geometry.previous(df, ["k"], ["seq", "tie"], ["x"], small=True).collect()
-    cut = geometry.previous(df, ["k"], ["seq", "tie"], ["x"], small=False, rows_per_piece=20).collect()
+    plain = geometry.previous(df, ["k"], ["seq", "tie"], ["x"]).collect()
+    cut = geometry.previous(df, ["k"], ["seq", "tie"], ["x"], rows_per_piece=20).collect()
     assert {r["tie"]: r["prev_x"] for r in plain} == {r["tie"]: r["prev_x"] for r in cut}
