@@ -1,5 +1,7 @@
 """Clustering and label agreement."""
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalar import sq_dist
 from ..operators import agreement as G, cluster as K, joins as J, linalg as L, neighbours as N, order, resample as R, transforms as T
@@ -235,18 +237,33 @@ def _(spark, sf):
     return resample_summary(out, ["metric"])
 
 
-@query("k_selection", f"""WITH {SIGN_SQL}, {metrics_sql('runs', 'cl', 'class', 'n_dim')}, ja AS (SELECT nab.n_dim, nab.a, max(o / (na.m + nb.m - o)) AS jac, max(na.m) AS sz FROM nab JOIN na ON na.n_dim = nab.n_dim AND na.a = nab.a JOIN nb ON nb.n_dim = nab.n_dim AND nb.b = nab.b GROUP BY 1, 2),
- mj AS (SELECT n_dim, min(jac) AS min_jaccard, min(sz) AS min_size FROM ja GROUP BY 1), q AS (SELECT n_dim AS k, ari, min_jaccard, purity_a AS silhouette, CAST(min_size AS BIGINT) AS min_size,
-  CASE WHEN min_size >= 25 THEN 0.55 * ari + 0.35 * min_jaccard + 0.10 * (purity_a + 1) / 2 END AS score FROM mt JOIN mj USING (n_dim))
+K_SQL = f"""{SIGN_SQL}, {metrics_sql('runs', 'cl', 'class', 'n_dim')},
+ cell AS (SELECT n_dim, dense_rank() OVER (PARTITION BY n_dim ORDER BY nab.a) AS i, dense_rank() OVER (PARTITION BY n_dim ORDER BY nab.b) AS j, o / (na.m + nb.m - o) AS jac
+  FROM nab JOIN na USING (n_dim, a) JOIN nb USING (n_dim, b)),
+ dp AS (SELECT n_dim, 0::BIGINT AS i, 0::BIGINT AS used, 0.0::DOUBLE AS total, 1.0::DOUBLE AS low FROM mt
+  UNION ALL SELECT n_dim, i, used, max(total), arg_max(low, total) FROM (
+   SELECT dp.n_dim, dp.i + 1 AS i, dp.used + (1::BIGINT << cell.j) AS used, total + jac AS total, least(low, jac) AS low FROM dp JOIN cell ON cell.n_dim = dp.n_dim AND cell.i = dp.i + 1 AND (dp.used & (1::BIGINT << cell.j)) = 0
+   UNION ALL SELECT dp.n_dim, dp.i + 1, dp.used, total, low FROM dp WHERE EXISTS (SELECT 1 FROM cell WHERE cell.n_dim = dp.n_dim AND cell.i = dp.i + 1)) GROUP BY 1, 2, 3),
+ mj AS (SELECT n_dim, arg_max(low, total) AS min_jaccard FROM dp GROUP BY 1), sz AS (SELECT n_dim, min(m) AS min_size FROM na GROUP BY 1),
+ far AS (SELECT a.obs_id AS i, b.obs_id AS j, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM vectors a JOIN vectors b ON a.obs_id <> b.obs_id),
+ near AS (SELECT x.n_dim, i, x.cl, y.cl AS other, avg(d) AS d FROM far JOIN runs x ON x.obs_id = i JOIN runs y ON y.obs_id = j AND y.n_dim = x.n_dim GROUP BY ALL),
+ sil AS (SELECT n_dim, i, max(d) FILTER (cl = other) AS a, min(d) FILTER (cl <> other) AS b FROM near GROUP BY ALL),
+ ms AS (SELECT n_dim, avg(coalesce((b - a) / greatest(a, b), 0)) AS silhouette FROM sil GROUP BY 1)"""
+
+
+@query("k_selection", f"""WITH RECURSIVE {K_SQL}, q AS (SELECT n_dim AS k, ari, min_jaccard, silhouette, CAST(min_size AS BIGINT) AS min_size,
+  CASE WHEN min_size >= 8 THEN 0.55 * ari + 0.35 * min_jaccard + 0.10 * (silhouette + 1) / 2 END AS score FROM mt JOIN mj USING (n_dim) JOIN sz USING (n_dim) JOIN ms USING (n_dim))
 SELECT *, coalesce(row_number() OVER (ORDER BY score DESC NULLS LAST, k) = 1 AND score IS NOT NULL, false) AS chosen FROM q""", dbl="ari min_jaccard silhouette score", big="k")
 def _(spark, sf):
-    c = G.contingency(sign_runs(spark, sf), "cl", "class", ["n_dim"])
-    a = c.groupBy("n_dim", "a").agg(F.sum("n_ab").alias("ma"))
-    b = c.groupBy("n_dim", "b").agg(F.sum("n_ab").alias("mb"))
-    j = c.join(a, ["n_dim", "a"]).join(b, ["n_dim", "b"]).groupBy("n_dim", "a").agg(F.max(F.col("n_ab") / (F.col("ma") + F.col("mb") - F.col("n_ab"))).alias("jac"), F.max("ma").alias("sz"))
-    mj = j.groupBy("n_dim").agg(F.min("jac").alias("min_jaccard"), F.min("sz").cast("long").alias("min_size"))
-    m = G.agreement(c, ["n_dim"]).join(mj, "n_dim").select(F.col("n_dim").alias("k"), "ari", "min_jaccard", F.col("purity_a").alias("silhouette"), "min_size")
-    return K.k_score(m, min_size=25)
+    runs = sign_runs(spark, sf)
+    c = G.contingency(runs, "cl", "class", ["n_dim"])
+    jac = G.optimal_matching(c, ["n_dim"], by="jaccard").groupBy("n_dim").agg(F.min("jaccard").alias("min_jaccard"))
+    size = runs.groupBy("n_dim", "cl").agg(F.count("*").alias("c")).groupBy("n_dim").agg(F.min("c").alias("min_size"))
+    v = vectors(spark, sf).select("obs_id", "v")
+    sil = reduce(DataFrame.unionByName, [K.silhouette(runs.where(F.col("n_dim") == d).join(v, "obs_id"), "v", "cl").groupBy("n_dim").agg(F.avg("silhouette").alias("silhouette"))
+                                         for d in (2, 3, 4)])
+    m = G.agreement(c, ["n_dim"]).join(jac, "n_dim").join(size, "n_dim").join(sil, "n_dim")
+    return K.k_score(m.select(F.col("n_dim").alias("k"), "ari", "min_jaccard", "silhouette", "min_size"))
 
 
 @query("cross_algorithm_agreement", f"""WITH {LAB_SQL}, rp AS (SELECT 'a' AS run_a, 'b' AS run_b, a AS la, b AS lb FROM lab UNION ALL SELECT 'a', 'c', a, c FROM lab UNION ALL SELECT 'b', 'c', b, c FROM lab), {metrics_sql('rp', 'la', 'lb', 'run_a, run_b')}
