@@ -19,7 +19,7 @@ from .resample import repeats
 # ---- split plans ------------------------------------------------------------------------------
 
 def group_shuffle_splits(df: DataFrame, stratum: str, label: str, n_splits: int, test_share: float, seed: int, tries: int) -> DataFrame:
-    """First ``n_splits`` seeds whose hash-ordered stratum hold-out has every class on both sides."""
+    """First ``n_splits`` seeds whose hash-ordered stratum hold-out has every class on both sides; an error if ``tries`` seeds hold fewer."""
     table = df.groupBy(stratum, label).agg(F.count("*").alias("n"))
     strata = repeats(table.select(stratum).distinct(), range(tries))
     pos = order.hash_rank(strata, ["rep"], draw(seed, F.col("rep"), F.col(stratum)), stratum)
@@ -27,6 +27,9 @@ def group_shuffle_splits(df: DataFrame, stratum: str, label: str, n_splits: int,
     cover = side.join(table, stratum).groupBy("rep", label).agg(F.max("is_test").alias("t"), F.min("is_test").alias("f"))
     k = table.agg(F.countDistinct(label).alias("k")).withColumn("one", F.lit(1))
     ok = cover.groupBy("rep").agg(F.count_if(F.col("t") & ~F.col("f")).alias("covered")).withColumn("one", F.lit(1)).join(k, "one").where("covered = k")
+    found = ok.count()
+    if found < n_splits:
+        raise ValueError(f"{found} of {tries} seeds give a split with every class on both sides, {n_splits} are needed")
     chosen = ok.select("rep", (F.row_number().over(Window.orderBy("rep")) - 1).cast("long").alias("split")).where(F.col("split") < n_splits)
     return side.join(chosen, "rep").select("split", F.col("rep").alias("seed"), stratum, "is_test")
 

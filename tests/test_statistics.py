@@ -217,4 +217,5 @@ def test_splits_keep_strata_whole(spark):
 
 def test_missing_class_in_every_split_rejects_all(spark):
     df = spark.createDataFrame([(i, i % 4, "rare" if i == 0 else "common") for i in range(40)], "id int, stratum int, class string")
-    assert validate.group_shuffle_splits(df, "stratum", "class", 2, 0.25, 1, 8).count() == 0
+    with pytest.raises(ValueError, match="0 of 8 seeds"):
+        validate.group_shuffle_splits(df, "stratum", "class", 2, 0.25, 1, 8)
