@@ -195,6 +195,33 @@ def fit_lda(parts: list, shrink: float, columns=None) -> LDA:
     return LDA(classes, full, -0.5 * (coef * means).sum(1))
 
 
+def project_parts(parts: list, pca: linalg.PCA, k: int) -> list:
+    """The same class moments on the first k components."""
+    w = pca.loadings[:, :k] / pca.scale[:, None]
+    return [(c, n, (np.asarray(mu) - pca.mean) @ w, w.T @ m2 @ w) for c, n, mu, m2 in parts]
+
+
+def parts_pca(parts: list) -> linalg.PCA:
+    """Scaling and components of the training rows that the class moments cover."""
+    return linalg.decompose(*linalg._merge([p[1:] for p in parts]))
+
+
+def fit_pca_lda(parts: list, shrink: float, k: int, columns=None) -> LDA:
+    """Scaling, components and discriminant from the same training moments, as one linear map of the unscaled vector."""
+    pca = parts_pca(parts)
+    m = fit_lda(project_parts(parts, pca, k), shrink, columns)
+    coef = m.coef @ (pca.loadings[:, :k] / pca.scale[:, None]).T
+    return LDA(m.classes, coef, m.bias - coef @ pca.mean)
+
+
+def parts_from_means(total: np.ndarray, means: list) -> list:
+    """Class moments from (class, n, mean) and the centred cross-products of all rows, which no relabelling changes."""
+    n, mu = sum(c[1] for c in means), sum(c[1] * c[2] for c in means) / sum(c[1] for c in means)
+    within = total - sum(c * np.outer(m - mu, m - mu) for _, c, m in means)
+    # a discriminant only uses the sum over the classes, so each takes its share of the rows
+    return [(c, k, m, within * (k / n)) for c, k, m in means]
+
+
 def fold_class_moments(df: DataFrame, vec: str, label: str, fold: str) -> list:
     """[(fold, class, n, mean, m2)] from one job; folds x classes matrices of p x p."""
     rows = linalg.moments(df.withColumn("_k", F.concat_ws("\t", fold, label)), vec, "_k").collect()
@@ -206,58 +233,123 @@ def fold_class_moments(df: DataFrame, vec: str, label: str, fold: str) -> list:
     return out
 
 
+def require_classes(moments: list, folds) -> None:
+    """Error unless every fold has every class among its held-out rows and among the others."""
+    every = {m[1] for m in moments}
+    for f in map(str, folds):
+        for side, have in (("held-out", {m[1] for m in moments if m[0] == f}), ("training", {m[1] for m in moments if m[0] != f})):
+            if have != every:
+                raise ValueError(f"fold {f}: no {side} row of class {', '.join(sorted(every - have))}")
+
+
 def training_parts(moments: list, held_out) -> list:
     held = set(map(str, held_out))
     return [(c, n, mu, m2) for f, c, n, mu, m2 in moments if f not in held]
 
 
+def held_out_components(df: DataFrame, vec: str, pcas: dict, where: dict, k: int, out: str = "pc") -> DataFrame:
+    """One row per row and split that holds it out, with the components fitted without the held-out folds.
+
+    ``pcas``: split -> PCA; ``where``: split -> set of held-out folds; adds ``split`` and ``out``."""
+    maps = {s: (p.loadings[:, :k] / p.scale[:, None], p.mean) for s, p in pcas.items()}
+    by_fold = {}
+    for s in sorted(where):
+        for f in where[s]:
+            by_fold.setdefault(f, []).append(s)
+
+    @F.pandas_udf("array<struct<split:string,x:array<double>>>")
+    def run(v: pd.Series, fold: pd.Series) -> pd.Series:
+        res = [[] for _ in range(len(v))]
+        for f in fold.unique():
+            at = np.flatnonzero((fold == f).to_numpy())
+            x = np.stack(v.iloc[at].to_numpy())
+            for s in by_fold.get(f, []):
+                w, c = maps[s]
+                for i, row in zip(at, ((x - c) @ w).tolist()):
+                    res[i].append({"split": s, "x": row})
+        return pd.Series(res, dtype=object)
+
+    keep = [c for c in df.columns if c != vec]
+    return (df.select(*keep, F.explode(run(F.col(vec), F.col("fold").cast("string"))).alias("_s"))
+            .select(*keep, F.col("_s.split").alias("split"), F.col("_s.x").alias(out)))
+
+
+def permutation_drops(held: DataFrame, id_col: str, vec: str, label: str, models: dict, p: int, reps, seed: int) -> DataFrame:
+    """(split, feature, baseline, drop): fall of the balanced accuracy when a feature's values are re-dealt inside the held-out rows.
+
+    ``held`` has one row per (split, id) with ``vec`` of length p; ``models``: split -> model on ``vec``.
+    Every (feature, repeat) variant is a key, so one job scores them all: rows x p x repeats."""
+    base = held.select("split", F.col(id_col).alias("id"), F.col(label).alias("class"), F.col(vec).alias("x"))
+    where = {s: {s} for s in models}
+
+    def score(df, keys):
+        s = score_models(df.withColumn("fold", F.col("split")), "x", models, "class", where)
+        return overall(confusion(s, ["split", *keys]), ["split", *keys]).select("split", *keys, "balanced_accuracy")
+
+    place = order.cumulative_counts(base.select("split", "id", "x").withColumn("c", F.lit(1).cast("long")), ["split"], "id")
+    many = repeats(base, reps).withColumn("feature", F.explode(F.sequence(F.lit(0), F.lit(p - 1))))
+    pos = order.hash_rank(many, ["split", "rep", "feature"], draw(seed, F.col("split"), F.col("rep"), F.col("feature"), F.col("id")), "id")
+    dealt = pos.join(place.select("split", F.col("cum").alias("pos"), F.col("x").alias("other")), ["split", "pos"])
+    swapped = dealt.withColumn("x", F.transform("x", lambda v, i: F.when(i == F.col("feature"), F.element_at("other", F.col("feature") + 1)).otherwise(v)))
+    shuffled = score(swapped.select("split", "rep", "feature", "class", "x"), ["rep", "feature"])
+    g = shuffled.groupBy("split", "feature").agg(F.avg("balanced_accuracy").alias("_shuffled"))
+    b = score(base.select("split", "class", "x"), []).withColumnRenamed("balanced_accuracy", "baseline")
+    return g.join(b, "split").select("split", "feature", "baseline", (F.col("baseline") - F.col("_shuffled")).alias("drop"))
+
+
 def score_models(df: DataFrame, vec: str, models: dict, label: str, where=None) -> DataFrame:
     """Adds rows (model, pred, confidence, probabilities) for every model in one Arrow pass.
 
     ``where``: model -> set of folds it may score (its held-out folds); all folds when absent.
     """
     names = sorted(models)
+    by_fold = {}
+    for name in names if where else []:
+        for f in where[name]:
+            by_fold.setdefault(f, []).append(name)
     fields = "array<struct<model:string,pred:string,confidence:double,p:array<double>>>"
 
     @F.pandas_udf(fields)
     def run(v: pd.Series, fold: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=object)
-        x = np.stack(v.to_numpy())
-        out = [[] for _ in range(len(x))]
-        for name in names:
-            m, ok = models[name], None if where is None else where[name]
-            hit = np.arange(len(x)) if ok is None else np.flatnonzero([str(f) in ok for f in fold])
-            if len(hit):
-                p = m.probabilities(x[hit])
+        out = [[] for _ in range(len(v))]
+        for f in fold.unique():
+            at = np.flatnonzero((fold == f).to_numpy())
+            x = np.stack(v.iloc[at].to_numpy())
+            for name in names if where is None else by_fold.get(f, []):
+                m = models[name]
+                p = m.probabilities(x)
                 top = p.argmax(1)
-                for i, r in enumerate(hit):
-                    out[r].append({"model": name, "pred": m.classes[top[i]], "confidence": float(p[i, top[i]]), "p": p[i].tolist()})
-        return pd.Series(out)
+                for i, t, row in zip(at, top, p.tolist()):
+                    out[i].append({"model": name, "pred": m.classes[t], "confidence": row[t], "p": row})
+        return pd.Series(out, dtype=object)
 
     keep = [c for c in df.columns if c != vec]
-    return (df.select(*keep, F.explode(run(F.col(vec), F.col("fold").cast("string"))).alias("s"))
+    return (df.select(*keep, F.explode(run(F.col(vec), F.coalesce(F.col("fold").cast("string"), F.lit("")))).alias("s"))
             .select(*keep, F.col(label).cast("string").alias("truth"), "s.model", "s.pred", "s.confidence", "s.p"))
 
 
-def nested_cv(df: DataFrame, vec: str, label: str, outer: int, grid) -> tuple[DataFrame, list]:
+def nested_cv(df: DataFrame, vec: str, label: str, outer: int, grid, k: int | None = None) -> tuple[DataFrame, list]:
     """Nested selection with three jobs: fold moments, inner scores, outer scores.
 
+    With ``k`` every model scales and projects on k components of its own training rows.
+
     ``df`` has a ``fold`` column 0..outer-1. For outer fold o every other fold takes a turn as the
     inner hold-out. Returns the out-of-fold table and the chosen setting per outer fold.
     """
     folds = [str(i) for i in range(outer)]
     mom = fold_class_moments(df, vec, label, "fold")
+    require_classes(mom, folds)
+    fit = (lambda parts, g: fit_pca_lda(parts, g, k)) if k else fit_lda
     models, where = {}, {}
     for o in folds:
         for i in folds:
             if i != o:
                 for g in grid:
-                    models[f"{o}|{i}|{g}"] = fit_lda(training_parts(mom, [o, i]), g)
+                    models[f"{o}|{i}|{g}"] = fit(training_parts(mom, [o, i]), g)
                     where[f"{o}|{i}|{g}"] = {i}
     inner = score_models(df, vec, models, label, where)
     parts = F.split("model", r"\|")
     ba = overall(confusion(inner.withColumn("outer", parts[0]).withColumn("config", parts[2]), ["outer", "config"]), ["outer", "config"])
     best = {r["outer"]: r["config"] for r in ba.groupBy("outer").agg(F.min_by("config", F.struct(-F.round("balanced_accuracy", 9), F.col("config"))).alias("config")).collect()}
-    final = {o: fit_lda(training_parts(mom, [o]), float(best[o])) for o in folds}
+    final = {o: fit(training_parts(mom, [o]), float(best[o])) for o in folds}
     return score_models(df, vec, final, label, {o: {o} for o in folds}), sorted(best.items())

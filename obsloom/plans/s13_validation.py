@@ -5,12 +5,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..functions.scalar import draw
-from ..operators import aggs as A, agreement as G, contingency as C, neighbours as N, order, resample as R, transforms as T, validate as V
-from .bindings import STATUSES, table
+from ..operators import aggs as A, agreement as G, contingency as C, linalg, neighbours as N, order, resample as R, transforms as T, validate as V
+from ..operators.linalg import project
+from ..runtime import stage
+from .bindings import STATUSES, table, vectors
 from .registry import query
 from .s04_aggregations import resample_summary
 from .s08_transforms import SPLIT_SQL, folded_long
-from .s12_clustering import metrics_sql, pcs
+from .s12_clustering import metrics_sql
 
 # out-of-fold probabilities from integer arithmetic, the same on both engines
 _S = {"F": "(id * 31 + rep * 17) % 97 / 97", "O": "(id * 7 + rep * 29) % 89 / 89", "P": "(id * 13 + rep * 11) % 83 / 83"}
@@ -197,11 +199,21 @@ def _(spark, sf):
 # ---- fitted models ----------------------------------------------------------------------------------
 
 K_FOLDS = 4
+FOLDS = [str(f) for f in range(K_FOLDS)]
+N_PC = 5
 
 
-def folded(spark, sf, k=5):
-    x = pcs(spark, sf, k).withColumn("stratum", F.col("obs_id") % 20)
-    return V.stratified_kfold(x.withColumn("class", F.col("class").cast("string")), "obs_id", "class", K_FOLDS, 29)
+def folded(spark, sf):
+    """Unscaled vectors; whole strata are dealt to folds, so no stratum is in training and test at once."""
+    x = vectors(spark, sf).select("obs_id", F.col("class").cast("string").alias("class"), "v", (F.col("obs_id") % 20).alias("stratum"))
+    deal = V.stratified_group_kfold(x, "stratum", "class", K_FOLDS).select("stratum", "fold")
+    return stage(x.join(deal, "stratum"))
+
+
+def fold_moments(x, vec="v"):
+    mom = V.fold_class_moments(x, vec, "class", "fold")
+    V.require_classes(mom, FOLDS)
+    return mom
 
 
 def ba(scored, keys=("model",)):
@@ -210,146 +222,163 @@ def ba(scored, keys=("model",)):
 
 @query("model_families", dbl="accuracy balanced_accuracy macro_f1", d=4)
 def _(spark, sf):
-    """Fold 0 held out; linear, kernel (random Fourier features), tree, neighbour and discriminant scorers."""
-    x = folded(spark, sf).withColumn("y", F.col("class").cast("double")).persist()
+    """Every fold held out once; scaling and components from its training rows. Linear, kernel (random Fourier
+    features), tree, neighbour and discriminant scorers, all with balanced class weights."""
+    x = folded(spark, sf)
+    mom = fold_moments(x)
     rng = np.random.default_rng(5)
-    w, b = rng.normal(0, 2.0, (5, 40)), rng.uniform(0, 2 * np.pi, 40)
-    from ..operators.linalg import project
-    lifted = project(x, "pc", w, np.zeros(5), "lift").withColumn(
-        "lift", F.zip_with("lift", F.array(*[F.lit(float(v)) for v in b]), lambda a, c: F.cos(a + c)))
-    n = x.groupBy("class").agg(F.count("*").alias("c"))
-    lifted = lifted.join(n, "class").withColumn("weight", 1.0 / F.col("c")).withColumn("f", array_to_vector("pc")).withColumn("r", array_to_vector("lift")).persist()
-    train, test = lifted.where("fold <> 0"), lifted.where("fold = 0")
+    w, b = rng.normal(0, 0.5, (N_PC, 40)), rng.uniform(0, 2 * np.pi, 40)
     kw = {"labelCol": "y", "weightCol": "weight", "predictionCol": "yhat"}
     fits = {"logistic": LogisticRegression(maxIter=15, regParam=0.01, featuresCol="f", **kw),
             "rbf_fourier": LogisticRegression(maxIter=15, regParam=0.01, featuresCol="r", **kw),
-            "linear_svm": OneVsRest(classifier=LinearSVC(maxIter=5, featuresCol="f", labelCol="y"), featuresCol="f", labelCol="y", predictionCol="yhat", parallelism=4),
+            "linear_svm": OneVsRest(classifier=LinearSVC(maxIter=5), featuresCol="f", parallelism=4, **kw),
             "random_forest": RandomForestClassifier(numTrees=15, maxDepth=5, seed=3, featuresCol="f", **kw)}
-    out = None
-    for name, est in fits.items():
-        s = est.fit(train).transform(test).select(F.lit(name).alias("model"), F.col("class").alias("truth"), F.col("yhat").cast("int").cast("string").alias("pred"))
-        out = s if out is None else out.unionByName(s)
-    lda = V.fit_lda(V.training_parts(V.fold_class_moments(x, "pc", "class", "fold"), [0]), 0.1)
-    out = out.unionByName(V.score_models(x, "pc", {"lda": lda}, "class", {"lda": {"0"}}).select("model", "truth", "pred"))
-    near = N.knn(x, "obs_id", "pc", 15).join(x.select(F.col("obs_id").alias("nbr"), F.col("class").alias("nc"), F.col("fold").alias("nf")), "nbr").where("nf <> 0")
-    vote = near.join(x.where("fold = 0").select("obs_id", "class"), "obs_id").groupBy("obs_id", "class", "nc").agg(F.sum(1 / (F.col("dist") + 1e-9)).alias("w"))
-    knn = vote.groupBy("obs_id", "class").agg(F.min_by("nc", F.struct(-F.col("w"), F.col("nc"))).alias("pred")).select(F.lit("knn").alias("model"), F.col("class").alias("truth"), "pred")
-    return ba(out.unionByName(knn))
+    lda = {f: V.fit_pca_lda(V.training_parts(mom, [f]), 0.1, N_PC) for f in FOLDS}
+    out = V.score_models(x, "v", lda, "class", {f: {f} for f in FOLDS}).select(F.lit("lda").alias("model"), "truth", "pred")
+    for f in FOLDS:
+        parts = V.training_parts(mom, [f])
+        weight = {c: 1.0 / sum(p[1] for p in parts if p[0] == c) for c in {p[0] for p in parts}}
+        z = V.parts_pca(parts).scores(x, "v", N_PC).drop("v").withColumn("held", F.col("fold") == int(f))
+        z = stage(project(z, "pc", w, np.zeros(N_PC), "lift").select(
+            "obs_id", "class", "held", "pc", F.col("class").cast("double").alias("y"),
+            F.create_map(*[t for c, v in weight.items() for t in (F.lit(c), F.lit(v))])[F.col("class")].alias("weight"),
+            F.zip_with("lift", F.array(*[F.lit(float(v)) for v in b]), lambda a, c: F.cos(a + c)).alias("lift")))
+        ready = z.withColumn("f", array_to_vector("pc")).withColumn("r", array_to_vector("lift"))
+        train, test = ready.where("NOT held").persist(), ready.where("held")
+        for name, est in fits.items():
+            s = est.fit(train).transform(test)
+            out = out.unionByName(s.select(F.lit(name).alias("model"), F.col("class").alias("truth"), F.col("yhat").cast("int").cast("string").alias("pred")))
+        train.unpersist()
+        near = N.knn(z, "obs_id", "pc", 15, side="held").join(z.select(F.col("obs_id").alias("nbr"), F.col("class").alias("nc")), "nbr")
+        vote = near.join(z.where("held").select("obs_id", "class"), "obs_id").groupBy("obs_id", "class", "nc").agg(F.sum(1 / (F.col("dist") + 1e-9)).alias("w"))
+        knn = vote.groupBy("obs_id", "class").agg(F.min_by("nc", F.struct(-F.col("w"), F.col("nc"))).alias("pred"))
+        out = out.unionByName(knn.select(F.lit("knn").alias("model"), F.col("class").alias("truth"), "pred"))
+    return ba(out)
 
 
 @query("nested_cv", dbl="accuracy balanced_accuracy macro_f1", d=5)
 def _(spark, sf):
-    x = folded(spark, sf).persist()
-    scored, _ = V.nested_cv(x, "pc", "class", K_FOLDS, [0.01, 0.1, 0.5])
+    scored, _ = V.nested_cv(folded(spark, sf), "v", "class", K_FOLDS, [0.01, 0.1, 0.5], N_PC)
     return ba(scored, ["fold"])
 
 
 @query("oof_table", dbl="confidence p_sum", d=5)
 def _(spark, sf):
-    x = folded(spark, sf).persist()
-    scored, _ = V.nested_cv(x, "pc", "class", K_FOLDS, [0.01, 0.1, 0.5])
+    scored, _ = V.nested_cv(folded(spark, sf), "v", "class", K_FOLDS, [0.01, 0.1, 0.5], N_PC)
     return scored.select("obs_id", "fold", "truth", "pred", "confidence", F.aggregate("p", F.lit(0.0), lambda a, v: a + v).alias("p_sum"))
 
 
+def component_drops(x, mom, splits, k, reps, seed):
+    """Permutation drops of components; ``splits``: name -> (scored fold, folds left out of the fit)."""
+    parts = {s: V.training_parts(mom, out) for s, (_, out) in splits.items()}
+    pcas = {s: V.parts_pca(p) for s, p in parts.items()}
+    held = V.held_out_components(x, "v", pcas, {s: {f} for s, (f, _) in splits.items()}, k)
+    models = {s: V.fit_lda(V.project_parts(parts[s], pcas[s], k), 0.1) for s in splits}
+    return V.permutation_drops(stage(held.select("split", "obs_id", "class", "pc")), "obs_id", "pc", "class", models, k, reps, seed)
+
+
 @query("permutation_importance", dbl="baseline drop", d=5)
 def _(spark, sf):
-    """Column values re-dealt inside the held-out fold by hash position; all (feature, repeat) variants scored at once."""
-    x = folded(spark, sf).persist()
-    mom = V.fold_class_moments(x, "pc", "class", "fold")
-    model = {"m": V.fit_lda(V.training_parts(mom, [0]), 0.1)}
-    test = x.where("fold = 0").select("obs_id", "class", "pc", "fold")
-    reps, p = range(3), 5
-    place = order.cumulative_counts(test.select("fold", "obs_id", "pc").withColumn("c", F.lit(1).cast("long")), ["fold"], "obs_id")
-    many = R.repeats(test, reps).withColumn("feature", F.explode(F.sequence(F.lit(0), F.lit(p - 1))))
-    pos = order.hash_rank(many, ["rep", "feature"], draw(41, F.col("rep"), F.col("feature"), F.col("obs_id")), "obs_id")
-    dealt = pos.join(place.select(F.col("cum").alias("pos"), F.col("pc").alias("other")), "pos")
-    swapped = dealt.withColumn("pc", F.transform("pc", lambda v, i: F.when(i == F.col("feature"), F.element_at("other", F.col("feature") + 1)).otherwise(v)))
-    s = ba(V.score_models(swapped.select("rep", "feature", "class", "pc", "fold"), "pc", model, "class"), ["rep", "feature"])
-    b = ba(V.score_models(test, "pc", model, "class"), ["model"]).select(F.col("balanced_accuracy").alias("baseline"), F.lit(1).alias("k"))
-    g = s.groupBy("feature").agg(F.avg("balanced_accuracy").alias("shuffled")).withColumn("k", F.lit(1)).join(b, "k")
-    return g.select("feature", "baseline", (F.col("baseline") - F.col("shuffled")).alias("drop"))
+    """Every fold held out once, ten deals of each component inside it; means over the folds."""
+    x = folded(spark, sf)
+    d = component_drops(x, fold_moments(x), {f: (f, [f]) for f in FOLDS}, N_PC, range(10), 41)
+    return d.groupBy("feature").agg(F.avg("baseline").alias("baseline"), F.avg("drop").alias("drop"))
 
 
 @query("model_importance_stability", dbl="median q025 q975", d=4)
 def _(spark, sf):
-    x = folded(spark, sf).withColumn("y", F.col("class").cast("double")).withColumn("f", array_to_vector("pc")).persist()
-    rows = []
-    for f in range(3):
-        train = x.where(F.col("fold") != f)
-        rf = RandomForestClassifier(numTrees=10, maxDepth=4, seed=f, featuresCol="f", labelCol="y").fit(train)
+    x = folded(spark, sf)
+    mom, rows = fold_moments(x), []
+    for f in FOLDS:
+        z = V.parts_pca(V.training_parts(mom, [f])).scores(x.where(F.col("fold") != int(f)), "v", N_PC)
+        train = z.select(F.col("class").cast("double").alias("y"), array_to_vector("pc").alias("f")).persist()
+        rf = RandomForestClassifier(numTrees=10, maxDepth=4, seed=int(f), featuresCol="f", labelCol="y").fit(train)
         lr = LogisticRegression(maxIter=10, regParam=0.01, featuresCol="f", labelCol="y").fit(train)
+        train.unpersist()
         imp, coef = rf.featureImportances.toArray(), np.abs(lr.coefficientMatrix.toArray()).mean(0)
-        rows += [(f, "impurity", i, float(v)) for i, v in enumerate(imp)] + [(f, "mean_abs_coef", i, float(v)) for i, v in enumerate(coef)]
+        rows += [(int(f), "impurity", i, float(v)) for i, v in enumerate(imp)] + [(int(f), "mean_abs_coef", i, float(v)) for i, v in enumerate(coef)]
     return resample_summary(spark.createDataFrame(rows, "split long, kind string, feature long, value double"), ["kind", "feature"])
 
 
 @query("coef_stability", dbl="mean sd", d=5)
 def _(spark, sf):
-    mom = V.fold_class_moments(folded(spark, sf), "pc", "class", "fold")
-    rows = []
-    for f in range(K_FOLDS):
-        m = V.fit_lda(V.training_parts(mom, [f]), 0.1)
+    """Coefficients on the unscaled features, where the components of different splits can be compared."""
+    mom, rows = fold_moments(folded(spark, sf)), []
+    for f in FOLDS:
+        m = V.fit_pca_lda(V.training_parts(mom, [f]), 0.1, N_PC)
         c = m.coef - m.coef.mean(0)
-        rows += [(f, k, j, float(c[i, j])) for i, k in enumerate(m.classes) for j in range(c.shape[1])]
+        rows += [(int(f), k, j, float(c[i, j])) for i, k in enumerate(m.classes) for j in range(c.shape[1])]
     d = spark.createDataFrame(rows, "split long, cls string, feature long, value double")
     return d.groupBy("cls", "feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
 
 
 @query("ablation", dbl="accuracy balanced_accuracy macro_f1", d=5)
 def _(spark, sf):
-    """Feature subsets are sub-blocks of the fold moments, so no subset needs another scan to fit."""
-    x = folded(spark, sf).persist()
-    mom = V.fold_class_moments(x, "pc", "class", "fold")
-    p = 5
-    sets = {"all": range(p), "drop_top2": range(2, p), "bottom3": range(p - 3, p)}
-    sets |= {f"without_{j}": [i for i in range(p) if i != j] for j in range(p)} | {f"only_{j}": [j] for j in range(p)}
-    models = {f"{n}|{f}": V.fit_lda(V.training_parts(mom, [f]), 0.1, list(c)) for n, c in sets.items() for f in range(K_FOLDS)}
-    s = V.score_models(x, "pc", models, "class", {m: {m.split("|")[1]} for m in models})
+    """Subsets of components by importance, ranked inside the training folds of each split; sub-blocks of the
+    fold moments, so no subset needs another scan to fit."""
+    p, x = 8, folded(spark, sf)
+    mom = fold_moments(x)
+    inner = {f"{o}|{i}": (i, [o, i]) for o in FOLDS for i in FOLDS if i != o}
+    d = component_drops(x, mom, inner, p, range(10), 53).groupBy(F.split("split", r"\|")[0].alias("o"), "feature").agg(F.avg("drop").alias("drop"))
+    # folds x components rows
+    drops = {(r["o"], r["feature"]): r["drop"] for r in d.collect()}
+    models = {}
+    for o in FOLDS:
+        rank = sorted(range(p), key=lambda j: (-round(drops[o, j], 9), j))
+        sets = {"all": range(p), "drop_top2": sorted(rank[2:]), "drop_top5": sorted(rank[5:]), "bottom3": sorted(rank[-3:])}
+        sets |= {f"without_{j}": [i for i in range(p) if i != j] for j in range(p)} | {f"only_{j}": [j] for j in range(p)}
+        models |= {f"{n}|{o}": V.fit_pca_lda(V.training_parts(mom, [o]), 0.1, p, list(c)) for n, c in sets.items()}
+    s = V.score_models(x, "v", models, "class", {m: {m.split("|")[1]} for m in models})
     return ba(s.withColumn("subset", F.split("model", r"\|")[0]), ["subset"])
 
 
 @query("learning_curve", dbl="accuracy balanced_accuracy macro_f1", d=5)
 def _(spark, sf):
-    """Growing hash prefixes of the training strata against fixed test strata; moments per stratum, one job."""
-    x = folded(spark, sf).withColumn("fold", F.col("stratum")).persist()
-    picked = order.hash_rank(x.select("stratum").distinct().withColumn("g", F.lit(1)), ["g"], draw(43, F.col("stratum")), "stratum")
-    pos = {r["stratum"]: r["pos"] for r in picked.collect()}
-    test = {str(s) for s, p in pos.items() if p <= 5}
-    train = [str(s) for s, p in sorted(pos.items(), key=lambda t: t[1]) if p > 5]
-    mom = V.fold_class_moments(x, "pc", "class", "fold")
-    models = {}
-    for share in (0.25, 0.5, 0.75, 1.0):
-        keep = set(train[: max(1, round(share * len(train)))])
-        models[str(share)] = V.fit_lda([(c, n, mu, m2) for f, c, n, mu, m2 in mom if f in keep], 0.1)
-    return ba(V.score_models(x, "pc", models, "class", {m: test for m in models}))
+    """Growing hash prefixes of the training strata against a fixed quarter of the strata; moments of five blocks, one job."""
+    x = folded(spark, sf).drop("fold")
+    at = order.hash_rank(x.select("stratum").distinct().withColumn("g", F.lit(1)), ["g"], draw(43, F.col("stratum")), "stratum")
+    n_test = F.ceil(F.col("n") / 4)
+    block = F.when(F.col("pos") <= n_test, 0).otherwise(F.ceil(4 * (F.col("pos") - n_test) / (F.col("n") - n_test)))
+    x = stage(x.join(at.select("stratum", block.cast("long").alias("fold")), "stratum"))
+    mom = V.fold_class_moments(x, "v", "class", "fold")
+    models = {str(b / 4): V.fit_pca_lda([m[1:] for m in mom if 1 <= int(m[0]) <= b], 0.1, N_PC) for b in range(1, 5)}
+    return ba(V.score_models(x, "v", models, "class", {m: {"0"} for m in models}))
 
 
 @query("label_permutation_null", dbl="observed p null_median null_q025 null_q975", d=5)
 def _(spark, sf):
-    """Moments keyed by (repeat, fold, dealt label) in one job; every refit is a merge of them."""
-    x = folded(spark, sf).persist()
-    reps = range(9)
+    """A hundred deals inside the strata. Relabelling leaves the cross-products of all rows as they are, so a deal
+    only needs class means per fold, one grouped average; every refit is a merge of them."""
+    x, reps = folded(spark, sf), range(100)
+    mom = fold_moments(x)
+    total = {f: linalg._merge([m[2:] for m in mom if m[0] != f])[2] for f in FOLDS}
     deal = C.permuted_labels(x, "obs_id", "class", "stratum", reps, 47)
     real = x.select(F.lit(-1).alias("rep"), F.col("obs_id").alias("id"), F.col("class").alias("permuted"))
-    y = deal.unionByName(real).join(x.select(F.col("obs_id").alias("id"), "pc", "fold"), "id").persist()
-    mom = V.fold_class_moments(y.withColumn("rf", F.concat_ws("/", "rep", "fold")), "pc", "permuted", "rf")
-    models, where = {}, {}
-    for r in [-1, *reps]:
-        for f in range(K_FOLDS):
-            models[f"{r}/{f}"] = V.fit_lda([(c, n, mu, m2) for k, c, n, mu, m2 in mom if k.split("/")[0] == str(r) and k.split("/")[1] != str(f)], 0.1)
-            where[f"{r}/{f}"] = {f"{r}/{f}"}
-    z = y.select("rep", F.concat_ws("/", "rep", "fold").alias("fold"), F.col("permuted").alias("class"), "pc")
-    s = ba(V.score_models(z, "pc", models, "class", where), ["rep"]).withColumnRenamed("balanced_accuracy", "v")
+    y = stage(deal.unionByName(real).join(x.select(F.col("obs_id").alias("id"), "v", "fold"), "id"))
+    dim = len(mom[0][3])
+    means = {}
+    for r in y.groupBy("rep", "fold", "permuted").agg(F.count("*").alias("n"), F.array(*[F.avg(F.col("v")[j]) for j in range(dim)]).alias("m")).collect():
+        means.setdefault(r["rep"], []).append((str(r["fold"]), r["permuted"], float(r["n"]), np.array(r["m"])))
+    models = {}
+    for r, cells in means.items():
+        for f in FOLDS:
+            by = {}
+            for fold, c, n, m in cells:
+                if fold != f:
+                    by.setdefault(c, []).append((n, m))
+            merged = [(c, sum(n for n, _ in g), sum(n * m for n, m in g) / sum(n for n, _ in g)) for c, g in sorted(by.items())]
+            models[f"{r}/{f}"] = V.fit_pca_lda(V.parts_from_means(total[f], merged), 0.1, N_PC)
+    z = y.select("rep", F.concat_ws("/", "rep", "fold").alias("fold"), F.col("permuted").alias("class"), "v")
+    s = ba(V.score_models(z, "v", models, "class", {m: {m} for m in models}), ["rep"]).withColumnRenamed("balanced_accuracy", "v")
     return C.summarise_null(s.where("rep >= 0"), s.where("rep = -1"))
 
 
 @query("nonconsensus_scoring", dbl="agree_a agree_b", d=5)
 def _(spark, sf):
-    """Model fitted where two labelings agree, applied where they differ."""
+    """Scaling, components and model fitted where two labelings agree, applied where they differ."""
     x = folded(spark, sf).withColumn("other", F.when(F.col("obs_id") % 7 == 0, (F.col("class").cast("int") + 1) % 10).otherwise(F.col("class").cast("int")).cast("string"))
-    x = x.persist()
     agree = x.where(F.col("class") == F.col("other"))
-    m = V.fit_lda(V.training_parts(V.fold_class_moments(agree, "pc", "class", "fold"), []), 0.1)
-    s = V.score_models(x.where(F.col("class") != F.col("other")), "pc", {"final": m}, "class")
+    m = V.fit_pca_lda(V.training_parts(V.fold_class_moments(agree, "v", "class", "fold"), []), 0.1, N_PC)
+    s = V.score_models(x.where(F.col("class") != F.col("other")), "v", {"final": m}, "class")
     return s.groupBy("model").agg(F.count("*").alias("n"), F.avg((F.col("pred") == F.col("truth")).cast("double")).alias("agree_a"),
                                   F.avg((F.col("pred") == F.col("other")).cast("double")).alias("agree_b"))

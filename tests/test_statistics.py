@@ -219,3 +219,79 @@ def test_missing_class_in_every_split_rejects_all(spark):
     df = spark.createDataFrame([(i, i % 4, "rare" if i == 0 else "common") for i in range(40)], "id int, stratum int, class string")
     with pytest.raises(ValueError, match="0 of 8 seeds"):
         validate.group_shuffle_splits(df, "stratum", "class", 2, 0.25, 1, 8)
+
+
+def _labelled(n=400, p=6, seed=3):
+    rng = np.random.default_rng(seed)
+    y = rng.integers(0, 4, n)
+    return rng.normal(size=(n, p)), y, np.arange(n) % 40
+
+
+def _leaky(spark, x, y, stratum, leak):
+    """Four folds of whole strata; the last column of fold 0 gets ``leak`` times the label."""
+    rows = [(int(i), [float(t) for t in x[i]], str(y[i]), int(stratum[i])) for i in range(len(y))]
+    df = spark.createDataFrame(rows, "id long, v array<double>, class string, stratum long")
+    deal = {r["stratum"]: r["fold"] for r in validate.stratified_group_kfold(df, "stratum", "class", 4).collect()}
+    rows = [(i, v[:-1] + [v[-1] + (leak * float(c) if deal[s] == 0 else 0.0)], c, s, deal[s]) for i, v, c, s in rows]
+    return spark.createDataFrame(rows, "id long, v array<double>, class string, stratum long, fold long")
+
+
+def test_planted_leak_gives_chance_accuracy(spark):
+    x, y, s = _labelled()
+    df = _leaky(spark, x, y, s, 50.0)
+    mom = validate.fold_class_moments(df, "v", "class", "fold")
+    validate.require_classes(mom, range(4))
+    m = {"0": validate.fit_pca_lda(validate.training_parts(mom, [0]), 0.1, 3)}
+    scored = validate.score_models(df, "v", m, "class", {"0": {"0"}}).toPandas()
+    assert (scored["pred"] == scored["truth"]).mean() < 0.4 and set(scored["fold"]) == {0}
+    assert df.groupBy("stratum").agg({"fold": "min"}).count() == df.select("stratum", "fold").distinct().count()
+
+
+def test_missing_class_in_a_fold_raises(spark):
+    x, y, s = _labelled()
+    df = _leaky(spark, x, y, s, 0.0).where("NOT (fold = 2 AND class = '1')")
+    with pytest.raises(ValueError, match="fold 2: no held-out row of class 1"):
+        validate.require_classes(validate.fold_class_moments(df, "v", "class", "fold"), range(4))
+
+
+def test_split_pipeline_equals_numpy(spark):
+    x, y, s = _labelled()
+    x[:, 0] += y
+    df = _leaky(spark, x, y, s, 0.0)
+    pdf = df.toPandas()
+    v, c, f = np.stack(pdf["v"]), pdf["class"].to_numpy(), pdf["fold"].to_numpy()
+    mom = validate.fold_class_moments(df, "v", "class", "fold")
+    got = validate.fit_pca_lda(validate.training_parts(mom, [1]), 0.0, 3)
+    t = v[f != 1]
+    z = (t - t.mean(0)) / t.std(0, ddof=1)
+    w = np.linalg.eigh(np.cov(z.T))[1][:, ::-1][:, :3]
+    sc, held = z @ w, ((v[f == 1] - t.mean(0)) / t.std(0, ddof=1)) @ w
+    mu = np.stack([sc[c[f != 1] == k].mean(0) for k in got.classes])
+    within = sum(((sc[c[f != 1] == k] - m).T @ (sc[c[f != 1] == k] - m)) for k, m in zip(got.classes, mu)) / (len(t) - 4)
+    inv = np.linalg.inv(within)
+    want = held @ inv @ mu.T - 0.5 * ((mu @ inv) * mu).sum(1)
+    have = got.log_scores(v[f == 1])
+    assert np.allclose(want - want[:, :1], have - have[:, :1])
+    # class means and the cross-products of all training rows are enough
+    total = linalg._merge([m[2:] for m in mom if m[0] != "1"])[2]
+    means = [(k, float((c[f != 1] == k).sum()), t[c[f != 1] == k].mean(0)) for k in got.classes]
+    again = validate.fit_pca_lda(validate.parts_from_means(total, means), 0.0, 3).log_scores(v[f == 1])
+    assert np.allclose(again - again[:, :1], have - have[:, :1])
+
+
+def test_permutation_drop_finds_the_informative_component(spark):
+    x, y, s = _labelled()
+    x[:, 0] += 2 * y
+    df = _leaky(spark, x, y, s, 0.0)
+    mom = validate.fold_class_moments(df, "v", "class", "fold")
+    parts = {str(f): validate.training_parts(mom, [f]) for f in range(4)}
+    pcas = {k: validate.parts_pca(p) for k, p in parts.items()}
+    held = validate.held_out_components(df, "v", pcas, {k: {k} for k in pcas}, 6)
+    assert held.count() == 400
+    models = {k: validate.fit_lda(validate.project_parts(parts[k], pcas[k], 6), 0.0) for k in parts}
+    d = validate.permutation_drops(held, "id", "pc", "class", models, 6, range(2), 1).toPandas()
+    assert len(d) == 24 and d["baseline"].nunique() <= 4
+    for k, pca in pcas.items():
+        g = d[d["split"] == k].sort_values("feature")
+        weight = [np.abs(models[k].coef[:, j] - models[k].coef[:, j].mean()).mean() * np.sqrt(pca.variance[j]) for j in range(6)]
+        assert g["drop"].to_numpy()[int(np.argmax(weight))] > 0.05
