@@ -1,6 +1,6 @@
 """Exact k-nearest neighbours by space partitioning, and graph operators built on the edges.
 
-Identical vectors are collapsed first. A median-split tree, planned from a bounded hash
+Identical vectors are collapsed first. A median-split tree, planned from a hash
 sample, assigns every distinct vector to a leaf. Each leaf is searched on its own, which
 bounds the k-th distance of its points; a point is sent on only to leaves whose box is
 nearer than that bound. Leaves asked by very many points are split by salt. The result
@@ -22,24 +22,57 @@ QUERIES_PER_TASK = 200_000
 
 
 def _plan_tree(points: DataFrame, n: int, leaf_rows: int):
-    """(dimension, split) per inner node in heap order, from at most leaves x 24 sampled vectors."""
+    """(dimension, split, tie share) per inner node in heap order, from a hash sample of about leaves x 24 vectors.
+
+    Vectors that tie at a split go right by their own draw in the share that halves the node."""
     levels = 0
     while (1 << levels) * leaf_rows < n and (1 << levels) < MAX_LEAVES:
         levels += 1
     if levels == 0:
-        return 0, np.zeros(1, int), np.zeros(1)
+        return 0, np.zeros(1, int), np.zeros(1), np.zeros(1)
     want = (1 << levels) * PLAN_POINTS_PER_LEAF
     rows = points if n <= want else points.where(draw_unit(draw("tree", F.col("pid"))) < want / n)
-    x = np.array([r["v"] for r in rows.select("v").limit(2 * want).collect()])
-    dims, cuts = np.zeros(1 << levels, int), np.zeros(1 << levels)
-    groups = {1: x}
+    drawn = rows.select("v", "pid").collect()
+    x = np.array([r["v"] for r in drawn])
+    ids = np.array([r["pid"] for r in drawn], "int64")
+    dims, cuts, ties = np.zeros(1 << levels, int), np.zeros(1 << levels), np.zeros(1 << levels)
+    groups = {1: np.arange(len(x))}
     for node in range(1, 1 << levels):
-        g = groups.pop(node)
-        dims[node] = int(np.argmax(g.max(0) - g.min(0))) if len(g) else 0
-        cuts[node] = float(np.median(g[:, dims[node]])) if len(g) else 0.0
-        right = g[:, dims[node]] > cuts[node] if len(g) else np.zeros(0, bool)
-        groups[2 * node], groups[2 * node + 1] = g[~right], g[right]
-    return levels, dims, cuts
+        at = groups.pop(node)
+        g = x[at]
+        if len(g):
+            dims[node] = int(np.argmax(g.max(0) - g.min(0)))
+            v = g[:, dims[node]]
+            cuts[node] = np.sort(v)[(len(v) - 1) // 2]
+            ties[node] = np.clip((len(v) / 2 - (v > cuts[node]).sum()) / (v == cuts[node]).sum(), 0, 1)
+            right = _goes_right(v, ids[at], node, cuts[node], ties[node])
+        else:
+            right = np.zeros(0, bool)
+        groups[2 * node], groups[2 * node + 1] = at[~right], at[right]
+    return levels, dims, cuts, ties
+
+
+def _goes_right(v, ids, node, cut, tie):
+    """Side of a split; ties draw a number of (id, node), fresh at every node."""
+    z = ids.astype("uint64") + np.broadcast_to(node, ids.shape).astype("uint64") * np.uint64(0x9E3779B97F4A7C15)
+    for mul in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        z = (z ^ (z >> np.uint64(29))) * np.uint64(mul)
+    unit = (z >> np.uint64(11)).astype(float) / float(1 << 53)
+    return (v > cut) | ((v == cut) & (unit < tie))
+
+
+def placed_in_leaves(points: DataFrame, n: int, leaf_rows: int) -> tuple[int, DataFrame]:
+    """Depth of the plan and (pid, v, sd, leaf) for every distinct vector."""
+    levels, dims, cuts, ties = _plan_tree(points, n, leaf_rows)
+
+    @F.pandas_udf("int")
+    def leaf_of(v: pd.Series, pid: pd.Series) -> pd.Series:
+        m, ids, node = _matrix(v), pid.to_numpy(), np.ones(len(v), int)
+        for _ in range(levels):
+            node = 2 * node + _goes_right(m[np.arange(len(m)), dims[node]], ids, node, cuts[node], ties[node])
+        return pd.Series(node.astype("int32"))
+
+    return levels, points.select("pid", "v", "sd", leaf_of("v", "pid").alias("leaf"))
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
@@ -87,16 +120,7 @@ def knn(df: DataFrame, id_col: str, vec: str, k: int, leaf_rows: int = 2048,
     points = heads.groupBy("v", "sd").agg(F.min("id").alias("pid"), F.sort_array(F.collect_list("id")).alias("ids"))
     points = stage(points)
     n = points.count()
-    levels, dims, cuts = _plan_tree(points, n, leaf_rows)
-
-    @F.pandas_udf("int")
-    def leaf_of(v: pd.Series) -> pd.Series:
-        m, node = _matrix(v), np.ones(len(v), int)
-        for _ in range(levels):
-            node = 2 * node + (m[np.arange(len(m)), dims[node]] > cuts[node])
-        return pd.Series(node.astype("int32"))
-
-    placed = points.select("pid", "v", "sd", leaf_of("v").alias("leaf"))
+    levels, placed = placed_in_leaves(points, n, leaf_rows)
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         x, ids = _matrix(pdf["v"]), pdf["pid"].to_numpy()
@@ -119,13 +143,16 @@ def knn(df: DataFrame, id_col: str, vec: str, k: int, leaf_rows: int = 2048,
 
         @F.pandas_udf("array<int>")
         def reach(v: pd.Series, r: pd.Series, own_leaf: pd.Series) -> pd.Series:
-            out = []
-            for x, rad, own_id in zip(v, r, own_leaf):
-                x = np.asarray(x)
-                gap = np.maximum(lo - x, 0) + np.maximum(x - hi, 0)
-                near = ((gap * gap).sum(1) <= rad * rad * (1 + 1e-9)) & (leaf_ids != own_id)
-                out.append(leaf_ids[near].tolist())
-            return pd.Series(out)
+            x, rad, at, out = _matrix(v), r.to_numpy(), own_leaf.to_numpy(), []
+            # blocks of points against all boxes, dimension by dimension
+            for s in range(0, len(x), 256):
+                q, d = x[s:s + 256], np.zeros((len(x[s:s + 256]), len(leaf_ids)))
+                for j in range(dim):
+                    gap = np.maximum(lo[None, :, j] - q[:, j, None], 0) + np.maximum(q[:, j, None] - hi[None, :, j], 0)
+                    d += gap * gap
+                near = (d <= (rad[s:s + 256] ** 2 * (1 + 1e-9))[:, None]) & (leaf_ids[None, :] != at[s:s + 256, None])
+                out += [leaf_ids[row] for row in near]
+            return pd.Series(out, dtype=object)
 
         radius = found.groupBy("pid").agg(F.count("*").alias("m"), F.max("dist").alias("d"))
         radius = radius.select("pid", F.when(F.col("m") >= k, F.col("d")).otherwise(F.lit(float("inf"))).alias("r"))

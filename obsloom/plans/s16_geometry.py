@@ -70,7 +70,7 @@ def _(spark, sf):
 
 
 FLAG_SQL = f"""{SEG_SQL}, {CENTRE_SQL}, md AS (SELECT neuron_id, quantile_cont(len, .5) AS med FROM seg WHERE len > 1e-9 GROUP BY 1),
- sf AS (SELECT neuron_id, count(*) FILTER (len <= 1e-9) AS n_zero_length, count(*) FILTER (len > coalesce(greatest(30, 2 * med), 30)) AS n_jumps FROM seg LEFT JOIN md USING (neuron_id) GROUP BY 1),
+ sf AS (SELECT neuron_id, count(*) FILTER (len <= 1e-9) AS n_zero_length, count(*) FILTER (len > coalesce(greatest(30, 10 * med), 30)) AS n_jumps FROM seg LEFT JOIN md USING (neuron_id) GROUP BY 1),
  rt AS (SELECT neuron_id, max(soma_radius) AS soma_radius, max(greatest(0, sqrt(pow(x - cx, 2) + pow(y - cy, 2) + pow(z - cz, 2)) - soma_radius)) AS root_gap FROM pv JOIN ctr USING (neuron_id) WHERE px IS NULL GROUP BY 1),
  pf AS (SELECT neuron_id, CAST(0 AS BIGINT) AS n_non_finite, count(*) FILTER (r <= 1.01) AS n_bad_radius FROM points GROUP BY 1),
  fl AS (SELECT neuron_id, n_non_finite, n_bad_radius, coalesce(n_zero_length, 0) AS n_zero_length, coalesce(n_jumps, 0) AS n_jumps, soma_radius, root_gap FROM pf LEFT JOIN sf USING (neuron_id) LEFT JOIN rt USING (neuron_id))"""
@@ -83,7 +83,7 @@ def flags(spark, sf):
     d = F.sqrt(F.pow(F.col("x") - F.col("cx"), F.lit(2.0)) + F.pow(F.col("y") - F.col("cy"), F.lit(2.0)) + F.pow(F.col("z") - F.col("cz"), F.lit(2.0)))
     roots = first.groupBy("neuron_id").agg(F.max("soma_radius").alias("soma_radius"), F.max(F.greatest(F.lit(0.0), d - F.col("soma_radius"))).alias("root_gap"))
     # radii start at 1 here, so the smallest step above 1 plays the part of a non-positive radius
-    return G.trace_flags(p.withColumn("r", F.col("r") - 1.01), s, "neuron_id", roots, factor=2.0)
+    return G.trace_flags(p.withColumn("r", F.col("r") - 1.01), s, "neuron_id", roots)
 
 
 @query("trace_qc_flags", f"WITH {FLAG_SQL} SELECT * FROM fl", dbl="soma_radius root_gap", d=5)

@@ -39,6 +39,17 @@ def test_knn_two_sides(spark):
     assert {i: list(g["nbr"]) for i, g in got.groupby("id")} == brute(x, list(range(150)), 5, side)
 
 
+def test_leaves_stay_small_with_many_ties(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 4, size=(12000, 20)) * (rng.random((12000, 20)) < 0.1)
+    x = np.unique(x, axis=0).astype(float)
+    rows = [(i, [float(t) for t in r], False) for i, r in enumerate(x)]
+    points = spark.createDataFrame(rows, "pid long, v array<double>, sd boolean")
+    levels, placed = neighbours.placed_in_leaves(points, len(x), 512)
+    sizes = [r["count"] for r in placed.groupBy("leaf").count().collect()]
+    assert levels >= 3 and sum(sizes) == len(x) and max(sizes) <= 1024
+
+
 def test_components_of_a_long_path(spark):
     n = 60
     nodes = spark.createDataFrame([(i,) for i in range(n + 2)], "node long")

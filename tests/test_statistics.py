@@ -295,3 +295,21 @@ def test_permutation_drop_finds_the_informative_component(spark):
         g = d[d["split"] == k].sort_values("feature")
         weight = [np.abs(models[k].coef[:, j] - models[k].coef[:, j].mean()).mean() * np.sqrt(pca.variance[j]) for j in range(6)]
         assert g["drop"].to_numpy()[int(np.argmax(weight))] > 0.05
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 7])
+def test_adjustments_in_buckets(spark, rows):
+    rng = np.random.default_rng(8)
+    p = np.round(rng.random(60) ** 3, 2)
+    data = [(i, i % 2, float(v), 1, 2) for i, v in enumerate(p)] + [(60, 0, None, 1, 2), (61, 1, None, 1, 2)]
+    df = spark.createDataFrame(data, "id long, fam long, p double, n long, cum long")
+    for family in ((), ("fam",)):
+        got = multiplicity.bh(multiplicity.holm(df, "p", ["id"], family, rows_per_bucket=rows), "p", ["id"], family, rows_per_bucket=rows).toPandas()
+        assert len(got) == 62 and (got["n"] == 1).all() and (got["cum"] == 2).all()
+        assert got.loc[got["p"].isna(), ["p_holm", "p_bh"]].isna().all().all()
+        got = got.dropna()
+        for _, g in got.groupby("fam") if family else [(0, got)]:
+            g = g.sort_values(["p", "id"])
+            m, i = len(g), np.arange(1, len(g) + 1)
+            assert np.allclose(g["p_holm"], np.maximum.accumulate(np.minimum(1, (m - i + 1) * g["p"])))
+            assert np.allclose(g["p_bh"], np.minimum.accumulate(np.minimum(1, g["p"] * m / i)[::-1])[::-1])
