@@ -13,6 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import draw
+from ..runtime import stage
 
 ROWS_PER_BUCKET = 1_000_000
 # Cut points the driver holds; beyond ROWS_PER_BUCKET times as many rows buckets grow and their sort spills.
@@ -95,6 +96,22 @@ def cumulative_counts(counts: DataFrame, keys, value: str, weight="c", rows_per_
     return _running(_bucketed(counts, value, rows_per_bucket), list(keys), [value], weight)
 
 
+def positions(df: DataFrame, value: Column, ties, out: str = "position", total: str | None = None, run: str | None = None,
+              rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Adds the 1-based place of every row of the whole table in the order (``value``, ties); no window holds the table.
+
+    ``value`` is a number (NULL first). ``total``: also the number of rows; ``run``: also ``run_<c>`` and ``all_<c>``,
+    the sum of that column up to the row and over all rows."""
+    columns = df.columns
+    # own names, as running sums add columns of theirs; staged, as the buckets need a count of their own
+    d = df.withColumns({"_value": value, "_one": F.lit(1).cast("long")}).withColumnsRenamed({c: "_in_" + c for c in columns})
+    weights = ["_one"] + (["_in_" + run] if run else [])
+    d = _running(_bucketed(stage(d), "_value", rows_per_bucket), [], ["_value", *["_in_" + t for t in ties]], weights)
+    more = [F.col("cum").alias(out)] + ([F.col("n").alias(total)] if total else [])
+    more += [F.col(f"cum__in_{run}").alias(f"run_{run}"), F.col(f"n__in_{run}").alias(f"all_{run}")] if run else []
+    return d.select(*[F.col("_in_" + c).alias(c) for c in columns], *more)
+
+
 def value_counts(df: DataFrame, keys, value: str) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
 

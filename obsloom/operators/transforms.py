@@ -6,7 +6,7 @@ instead of shuffling the rows on a handful of feature names.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalar import MAD_Z, yeo_johnson
 from ..runtime import stage
@@ -198,7 +198,11 @@ def hvg_select(moments: DataFrame, n: int, variance: str) -> DataFrame:
 def dispersion_rank(moments: DataFrame, bins: int = 20) -> DataFrame:
     """variance / mean, standardised inside mean-quantile bins of the gene table, then ranked."""
     m = moments.where("mean > 0").withColumn("dispersion", F.col("var_samp") / F.col("mean"))
-    m = m.withColumn("bin", F.ntile(bins).over(Window.orderBy("mean", "gene")))
+    m = order.positions(m, F.col("mean"), ["gene"], "_i", "_n")
+    i, base, extra = F.col("_i"), F.floor(F.col("_n") / bins), F.col("_n") % bins
+    # the first bins are one row longer when the rows do not divide evenly
+    long_rows = extra * (base + 1)
+    m = m.withColumn("bin", F.when(i <= long_rows, F.ceil(i / (base + 1))).otherwise(extra + F.ceil(F.try_divide(i - long_rows, base)))).drop("_i", "_n")
     s = m.groupBy("bin").agg(F.avg("dispersion").alias("_m"), F.stddev_samp("dispersion").alias("_s"))
     z = F.when(F.col("_s") > 0, (F.col("dispersion") - F.col("_m")) / F.col("_s")).otherwise(F.lit(0.0))
     return m.join(s, "bin").withColumn("dispersion_z", z).drop("_m", "_s")

@@ -152,3 +152,11 @@ KNN_SQL = """pairs AS (SELECT a.vec_id AS obs_id, b.vec_id AS nbr,
 @query("knn_join", f"""WITH {KNN_SQL.format(k=10)} SELECT obs_id, nbr, rn, dist FROM knn""", dbl="dist", big="rn")
 def _(spark, sf):
     return N.knn(vectors(spark, sf), "obs_id", "v", 10)
+
+
+@query("knn_leaves", """WITH q AS (SELECT vec_id AS obs_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings),
+ pairs AS (SELECT a.obs_id, b.obs_id AS nbr, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS dist FROM q a JOIN q b ON a.obs_id <> b.obs_id)
+SELECT obs_id, nbr, dist, row_number() OVER (PARTITION BY obs_id ORDER BY dist, nbr) AS rn FROM pairs QUALIFY rn <= 10""", dbl="dist", big="rn")
+def _(spark, sf):
+    """The search over many leaves at every size: three coordinates, 32 vectors a leaf."""
+    return N.knn(vectors(spark, sf).withColumn("v", F.slice("v", 1, 3)), "obs_id", "v", 10, leaf_rows=32)

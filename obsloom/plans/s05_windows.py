@@ -1,5 +1,5 @@
 """Ranks, running frames, adjustments, and sort / top-k / set operations."""
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from ..functions.scalar import draw
 from ..operators import aggs as A, joins as J, multiplicity as M, order, rank_tests as R
@@ -48,12 +48,11 @@ def _(spark, sf):
     return li.join(tot, "l_returnflag").withColumn("share", F.col("l_extendedprice") / F.col("group_total")).drop("l_returnflag")
 
 
-def cumulative_share(df, weight, order_by, thresholds=(0.7, 0.8, 0.9)):
-    """Cumulative share over a small ordered table, with the first position reaching each threshold."""
-    w = Window.orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-    out = (df.withColumn("position", F.row_number().over(Window.orderBy(*order_by)).cast("long"))
-           .withColumn("share", F.col(weight) / F.sum(weight).over(Window.partitionBy())))
-    out = out.withColumn("cumulative", F.sum("share").over(w))
+def cumulative_share(df, weight, ties, thresholds=(0.7, 0.8, 0.9), **kw):
+    """Cumulative share from the largest weight down, with the first position reaching each threshold."""
+    total = F.col(f"all_{weight}")
+    out = order.positions(df, -F.col(weight), ties, run=weight, **kw).withColumns(
+        {"share": F.col(weight) / total, "cumulative": F.col(f"run_{weight}") / total}).drop(f"run_{weight}", f"all_{weight}")
     for t in thresholds:
         out = out.withColumn(f"first_{int(t * 100)}", (F.col("cumulative") >= t) & (F.col("cumulative") - F.col("share") < t))
     return out
@@ -67,7 +66,7 @@ SELECT *, cumulative >= 0.7 AND cumulative - share < 0.7 AS first_70, cumulative
 def _(spark, sf):
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     v = table(spark, sf, "lineitem").join(p, "l_partkey").groupBy("p_brand").agg(F.sum("l_extendedprice").alias("w"))
-    return cumulative_share(v, "w", [F.desc("w"), "p_brand"]).drop("w")
+    return cumulative_share(v, "w", ["p_brand"]).drop("w")
 
 
 # p-values: Kruskal-Wallis of each feature over the five priorities, inside each nation
@@ -151,8 +150,12 @@ def _(spark, sf):
 SELECT p_brand, a, b, score, row_number() OVER (ORDER BY score DESC, p_brand) = 1 AS chosen FROM r""", dbl="a b", big="score")
 def _(spark, sf):
     m = table(spark, sf, "part").groupBy("p_brand").agg(F.avg("p_retailprice").alias("a"), F.avg("p_size").alias("b"))
-    r = m.withColumn("score", F.rank().over(Window.orderBy("a")) + F.rank().over(Window.orderBy("b")))
-    return A.window_rank(r, [F.desc("score"), "p_brand"]).withColumn("chosen", F.col("position") == 1).drop("position")
+    low = F.col("rank") - (F.col("c") - 1) / 2  # the lowest place among ties
+    m = stage(m)
+    ra, rb = (order.rank_cells(m, [], x, ["p_brand"]).select("p_brand", x, low.cast("long").alias("r" + x)) for x in "ab")
+    r = ra.join(rb, "p_brand").withColumn("score", F.col("ra") + F.col("rb")).drop("ra", "rb")
+    best = r.agg(F.min_by("p_brand", F.struct(-F.col("score"), F.col("p_brand"))).alias("_best"))
+    return r.join(F.broadcast(best), F.lit(True)).withColumn("chosen", F.col("p_brand") == F.col("_best")).drop("_best")
 
 
 # ---- sort, top-k, sets ---------------------------------------------------------------------

@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.scalar import draw, yeo_johnson
-from ..operators import transforms as T
+from ..operators import order, transforms as T
 from ..runtime import stage
 from .bindings import (FEATURES, SQL_COUNTS, SQL_LONG, SQL_LONG_MISSING, SQL_OBS, counts, long, long_of, obs, obs_missing, table)
 from .registry import query
@@ -156,9 +156,8 @@ def _(spark, sf):
  z AS (SELECT gene, bin, dispersion, coalesce((dispersion - avg(dispersion) OVER w) / nullif(stddev_samp(dispersion) OVER w, 0), 0) AS dispersion_z FROM b WINDOW w AS (PARTITION BY bin))
 SELECT *, row_number() OVER (ORDER BY round(dispersion_z, 6) DESC, gene) AS position FROM z""", dbl="dispersion dispersion_z", big="bin position")
 def _(spark, sf):
-    from ..operators.aggs import window_rank
     d = T.dispersion_rank(moments(spark, sf)).select("gene", "bin", "dispersion", "dispersion_z")
-    return window_rank(d, [F.round("dispersion_z", 6).desc(), "gene"])
+    return order.positions(d, -F.round("dispersion_z", 6), ["gene"])
 
 
 @query("transform_audit", f"""WITH {SQL_LONG}, {SHIFT}, z AS (SELECT feature, value, t, (t - avg(t) OVER w) / stddev_samp(t) OVER w AS z FROM sh WINDOW w AS (PARTITION BY feature)),

@@ -89,3 +89,16 @@ def test_null_keys_nan_and_dates(spark):
     days = spark.sql("SELECT 'k' AS k, date_add(DATE'2024-01-01', CAST(id AS INT)) AS d, 1L AS c FROM range(50)")
     got = order.cumulative_counts(days, ["k"], "d", rows_per_bucket=5).orderBy("d").collect()
     assert [r["cum"] for r in got] == list(range(1, 51))
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 9])
+def test_positions_of_a_whole_table(spark, rows):
+    data = [(i, None if i % 13 == 0 else float(i * 7 % 5), 1.0 + i, 4) for i in range(80)]
+    df = spark.createDataFrame(data, "id long, x double, w double, n long")
+    got = {r["id"]: r for r in order.positions(df, F.col("x"), ["id"], "at", "total", "w", rows_per_bucket=rows).collect()}
+    want = sorted(data, key=lambda r: (r[1] is not None, r[1] or 0.0, r[0]))
+    run = 0.0
+    for place, (i, _, w, _) in enumerate(want, 1):
+        run += w
+        assert (got[i]["at"], got[i]["total"], got[i]["n"]) == (place, 80, 4)
+        assert abs(got[i]["run_w"] - run) < 1e-9 and abs(got[i]["all_w"] - sum(r[2] for r in data)) < 1e-9
