@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from obsloom.llm import byte_bpe, extendible, mixing, neighbour_vote, simhash_ball
+from obsloom.llm import byte_bpe, extendible, mixing, near_copies, neighbour_vote
 from obsloom.runtime import fresh_path
 
 
@@ -26,8 +26,8 @@ def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each set of near copies."""
-    return _kept(docs, simhash_ball.near_groups(docs).where("doc_id <=> component_id"))
+    """The document with the smallest doc_id of each set of near copies: shingles of five words, Jaccard 0.8 or more."""
+    return _kept(docs, near_copies.near_groups(docs, words=5, least=0.8).where("doc_id <=> component_id"))
 
 
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
