@@ -31,7 +31,7 @@ def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled with raked probabilities, nine tenths of the tokens."""
+    """Documents sampled with raked probabilities: nine tenths of the tokens, or as many as the targets allow."""
     return mixing.sample(docs, share=0.9)
 
 

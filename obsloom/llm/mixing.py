@@ -1,10 +1,11 @@
 """Source mixing: token weights raked to marginals by iterative proportional fitting, then calibrated sampling."""
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Topics are rules over the text, first match wins; a caller may pass other rules or a topic column.
 TOPICS: tuple[tuple[str, str], ...] = (
@@ -50,16 +51,53 @@ def rake(cells: np.ndarray, axes: list[np.ndarray], targets: list[np.ndarray], r
     return weight
 
 
-def inclusion(cells: np.ndarray, weight: np.ndarray, share: float) -> np.ndarray:
-    """Probability per cell in proportion to weight / tokens, at most one, so that the expected tokens are ``share`` of all."""
+def bounded(cells: np.ndarray, axes: list[np.ndarray], goals: list[np.ndarray], rounds: int = 400, tol: float = 1e-5) -> tuple[np.ndarray, bool]:
+    """Tokens per cell, nowhere above ``cells``, raked to the marginals ``goals``; and whether they were met within ``tol`` of the total."""
+    scale = [np.ones(len(g)) for g in goals]
+    total = max(goals[0].sum(), 1e-300)
+    product = np.ones(len(cells))
+    for _ in range(rounds):
+        for level, goal, factor in zip(axes, goals, scale):
+            for _ in range(2):  # the second step counts cells that the first one filled
+                free = product < 1
+                full = np.bincount(level, np.where(free, 0.0, cells), len(goal))
+                part = np.bincount(level, np.where(free, cells * product, 0.0), len(goal))
+                grow = np.divide(goal - full, part, out=np.ones_like(goal), where=(part > 0) & (goal > full))
+                shrink = np.divide(goal, full + part, out=np.ones_like(goal), where=full + part > 0)
+                step = np.where(goal > full, grow, shrink)
+                factor *= step
+                product = np.minimum(product * step[level], 1e100)
+        kept = np.minimum(1, product) * cells
+        worst = max(np.abs(np.bincount(level, kept, len(goal)) - goal).max() for level, goal in zip(axes, goals))
+        if worst <= tol * 1e-3 * total:
+            break
+    return kept, bool(worst <= tol * total)
+
+
+def inclusion(cells: np.ndarray, weight: np.ndarray, share: float, axes: list[np.ndarray]) -> tuple[np.ndarray, float]:
+    """Probability per cell, at most one, whose expected tokens have the marginals of ``weight``; and the share of all tokens that gives.
+
+    The share is ``share``, or the largest one (within 0.001) at which no cell must give more tokens than it has."""
+    total = cells.sum()
     ratio = np.divide(weight, cells, out=np.zeros_like(weight), where=cells > 0)
-    want, low, high = share * cells.sum(), 0.0, 1.0
-    while (np.minimum(1, high * ratio) * cells).sum() < want * (1 - 1e-12) and high < 1e12:
-        high *= 2
-    for _ in range(100):
-        mid = (low + high) / 2
-        low, high = (mid, high) if (np.minimum(1, mid * ratio) * cells).sum() < want else (low, mid)
-    return np.minimum(1, high * ratio)
+    if not total or not weight.sum():
+        return np.zeros_like(cells), 0.0
+    mass = weight / weight.sum() * total
+    ratio = ratio / weight.sum() * total
+
+    def at(part):
+        return bounded(cells, axes, [part * np.bincount(level, mass, level.max() + 1) for level in axes])
+
+    low = min(share, 1 / ratio.max())  # here the raked weights themselves stay below the bound
+    kept, met = at(share)
+    if met:
+        return np.where(weight > 0, kept / np.maximum(cells, 1e-300), 0.0), share
+    best, high = low * mass, share
+    while high - low > 1e-3:
+        middle = (low + high) / 2
+        kept, met = at(middle)
+        low, high, best = (middle, high, kept) if met else (low, middle, best)
+    return np.minimum(1, best / np.maximum(cells, 1e-300)), low
 
 
 def tempered(power: float):
@@ -91,7 +129,9 @@ def calibrate(marked: DataFrame, targets: Mapping | None, share: float, most_cel
         seen = np.bincount(levels[-1], cells, len(names))
         goals.append(want(seen) if callable(want) else np.array([float(want.get(x, 0.0)) for x in names]))
     weight = rake(cells, levels, goals) if table else cells
-    chance = inclusion(cells, weight, share) if table else cells
+    chance, reached = inclusion(cells, weight, share, levels) if table else (cells, share)
+    if reached < share:
+        warnings.warn(f"the targets allow a share of {reached:.3f} of the tokens, not {share}", stacklevel=2)
     found = [(r["source"], r["lang"], r["topic"], float(w / c), float(p)) for r, c, w, p in zip(table, cells, weight, chance)]
     return marked.sparkSession.createDataFrame(found, "_s string, _l string, _t string, _weight double, _probability double")
 
@@ -107,7 +147,9 @@ def mix(docs: DataFrame, targets: Mapping | None = None, share: float = 0.8, see
 
     ``targets`` maps "source", "lang" and "topic" to {level: share} or to a function of the observed tokens; absent axes are tempered by 0.7.
     Levels without a target get none of the weight. Tokens are summed per cell in one aggregate over all rows; raking works on that table
-    (checked to have ``most_cells`` rows at most, an error beyond). ``weight`` is raked tokens per token. A row is sampled when a hash of (seed,
+    (checked to have ``most_cells`` rows at most, an error beyond). ``weight`` is raked tokens per token. Probabilities are raked under the bound
+    of one, so that the expected sample has the marginals of the weights; where the targets ask a cell for more than it has, the total is the
+    largest share they allow instead of ``share``, with a warning (``balance`` lists what was reached). A row is sampled when a hash of (seed,
     doc_id, text) falls below its probability, so repeats of the query agree and repeated rows share their fate. Null source or lang is a
     level of its own (""); a null text is empty and counts one token; a null doc_id is hashed like a value; an empty table gives an empty one."""
     return _joined(docs, targets, share, seed, topics, most_cells).select(
@@ -119,3 +161,15 @@ def sample(docs: DataFrame, targets: Mapping | None = None, share: float = 0.8,
     """The sampled rows of ``docs`` with all their columns."""
     joined = _joined(docs, targets, share, seed, topics, most_cells)
     return joined.where(F.col("_mix.u") < F.col("_probability")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def balance(mixed: DataFrame) -> DataFrame:
+    """(axis, level, observed, target, expected, sampled) of a result of ``mix``: shares of the tokens before, as raked, as expected and as drawn."""
+    n = F.col("n_tokens")
+    sums = mixed.groupBy("source", "lang", "topic").agg(F.sum(n).alias("observed"), F.sum(n * F.col("weight")).alias("target"),
+                                                         F.sum(n * F.col("probability")).alias("expected"), F.sum(F.when(F.col("sampled"), n).otherwise(0)).alias("sampled"))
+    parts = ["observed", "target", "expected", "sampled"]
+    axis = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("level")) for a in ("source", "lang", "topic")]))
+    long = sums.select(axis.alias("_a"), *parts).groupBy("_a.axis", "_a.level").agg(*[F.sum(p).alias(p) for p in parts])
+    whole = Window.partitionBy("axis")
+    return long.select("axis", "level", *[F.try_divide(F.col(p), F.sum(p).over(whole)).alias(p) for p in parts])

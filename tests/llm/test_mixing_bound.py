@@ -1,0 +1,27 @@
+"""The sample's own marginals at the shares of production."""
+import numpy as np
+import pytest
+
+from obsloom.llm import mixing
+
+
+@pytest.mark.parametrize("share", [0.8, 0.9])
+def test_sample_meets_the_targets(spark, share):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").coalesce(8)
+    with pytest.warns(UserWarning, match="the targets allow"):
+        mixed = mixing.mix(docs, share=share).cache()
+    got = mixing.balance(mixed).toPandas()
+    assert np.abs(got.expected - got.target).max() < 2e-4 and np.abs(got.sampled - got.target).max() < 0.03
+    assert np.abs(got.observed - got.target).max() > 0.1  # the targets are not what is there
+    row = mixed.selectExpr("max(probability)", "sum(probability * n_tokens) / sum(n_tokens)").first()
+    assert row[0] <= 1 and 0.25 < row[1] < share
+
+
+def test_hot_source_is_held_to_its_target():
+    cells, axes = np.array([60.0, 30, 5, 5]), [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])]
+    weight = mixing.rake(cells, axes, [np.array([0.5, 0.5]), np.array([0.5, 0.5])])
+    chance, share = mixing.inclusion(cells, weight, 0.9, axes)
+    kept = chance * cells
+    assert share == pytest.approx(0.2, abs=0.002) and (chance <= 1).all()  # twice the ten tokens of the small source
+    for axis in axes:
+        assert np.allclose(np.bincount(axis, kept) / kept.sum(), 0.5, atol=1e-3)
