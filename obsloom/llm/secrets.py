@@ -18,9 +18,12 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 # Character classes for entropy: candidate pattern, window length, bits a character in a window must carry.
 CLASSES = (("hex", re.compile(r"[0-9a-fA-F]{32,}"), 32, 3.0), ("base64", re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 24, 4.0))
-# Candidates that are no secrets: UUIDs, runs of the alphabet or of digits, checksums named as such, paths and rulers.
-ALLOW = (re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"), re.compile(r"abcdefghijklm|ABCDEFGHIJKLM|0123456789"),
-         re.compile(r"^(sha(1|256|384|512)|md5)[-_=]"), re.compile(r"^[a-z0-9_-]*(/[a-z0-9_-]+){3,}/?$"), re.compile(r"EXAMPLE"))
+# Spans that are no secrets: UUIDs, runs of the alphabet or of digits, whole checksums named as such, example words and the key of AWS's manuals.
+ALLOW = (re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-fA-F])"), re.compile(r"abcdefghijklm|ABCDEFGHIJKLM|0123456789"),
+         re.compile(r"(?<![A-Za-z0-9])(md5[-_=]([0-9a-f]{32}|[A-Za-z0-9+/]{22}={0,2})|sha1[-_=]([0-9a-f]{40}|[A-Za-z0-9+/]{27}=?)|sha256[-_=]([0-9a-f]{64}|[A-Za-z0-9+/]{43}=?)"
+                    r"|sha384[-_=]([0-9a-f]{96}|[A-Za-z0-9+/]{64})|sha512[-_=]([0-9a-f]{128}|[A-Za-z0-9+/]{86}={0,2}))(?![A-Za-z0-9+/=])"),
+         re.compile(r"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY|EXAMPLE"))
+PATH = re.compile(r"[a-z0-9_-]*(/[a-z0-9_-]+){3,}/?")  # a candidate that is one is judged segment by segment
 
 
 def hot_windows(value: str, window: int, bits: float) -> list[tuple[int, int]]:
@@ -50,6 +53,20 @@ def hot_windows(value: str, window: int, bits: float) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def suspect(value: str, window: int, bits: float, allow=ALLOW) -> list[tuple[int, int]]:
+    """Hot windows of a candidate that lie outside every allowed span, and inside one segment if the candidate is a path."""
+    if not hot_windows(value, window, bits):
+        return []
+    parts, at = [], 0
+    for a, b in sorted(m.span() for p in allow for m in p.finditer(value)):
+        parts.append((at, a))
+        at = max(at, b)
+    parts.append((at, len(value)))
+    if PATH.fullmatch(value):
+        parts = [(a + m.start(), a + m.end()) for a, b in parts for m in re.finditer("[^/]+", value[a:b])]
+    return [(a + x, a + y) for a, b in parts for x, y in hot_windows(value[a:b], window, bits)]
+
+
 def scan(text: str, classes=CLASSES, allow=ALLOW) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the base kinds, each leftmost and non-overlapping, then of the entropy kind."""
     found = []
@@ -62,8 +79,7 @@ def scan(text: str, classes=CLASSES, allow=ALLOW) -> list[tuple[str, int, int]]:
     spans = []
     for _, pattern, window, bits in classes:
         for m in pattern.finditer(text):
-            if not any(a.search(m[0]) for a in allow):
-                spans += [(m.start() + a, m.start() + b) for a, b in hot_windows(m[0], window, bits)]
+            spans += [(m.start() + a, m.start() + b) for a, b in suspect(m[0], window, bits, allow)]
     merged: list[list[int]] = []
     for a, b in sorted(spans):
         if merged and a <= merged[-1][1]:
