@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 import corpus_pipeline
 
-from . import bwt_dedup, byte_bpe, extendible, mixing, neighbour_vote, order_minhash, secrets, sharding, simhash_ball, token_files
+from . import bwt_dedup, byte_bpe, extendible, mixing, neighbour_vote, order_minhash, prefix_tokens, secrets, sharding, simhash_ball, token_files
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +59,13 @@ def op10_extendible_dedup(spark, sf_dir):
     return extendible.dedup(documents(spark, sf_dir))
 
 
+def op11_prefix_tokens(spark, sf_dir):
+    return prefix_tokens.digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
-    own = [op1_byte_bpe, op2_order_minhash, op3_secret_scan, op4_simhash_ball, op5_mixing, op6_suffix_dedup, op7_token_files, op8_neighbour_vote, op9_sharding, op10_extendible_dedup]
+    own = [op1_byte_bpe, op2_order_minhash, op3_secret_scan, op4_simhash_ball, op5_mixing, op6_suffix_dedup, op7_token_files, op8_neighbour_vote, op9_sharding,
+           op10_extendible_dedup, op11_prefix_tokens]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
