@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 import corpus_pipeline
 
-from . import bwt_dedup, byte_bpe, extendible, mixing, neighbour_vote, order_minhash, prefix_tokens, secrets, sharding, simhash_ball, token_files
+from . import bwt_dedup, byte_bpe, extendible, max_sketch, mixing, neighbour_vote, order_minhash, prefix_tokens, secrets, sharding, simhash_ball, token_files
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +63,13 @@ def op11_prefix_tokens(spark, sf_dir):
     return prefix_tokens.digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_max_sketch(spark, sf_dir):
+    return max_sketch.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     own = [op1_byte_bpe, op2_order_minhash, op3_secret_scan, op4_simhash_ball, op5_mixing, op6_suffix_dedup, op7_token_files, op8_neighbour_vote, op9_sharding,
-           op10_extendible_dedup, op11_prefix_tokens]
+           op10_extendible_dedup, op11_prefix_tokens, op13_max_sketch]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -74,4 +78,15 @@ def oracle_sql() -> dict:
         "op10_extendible_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+        "op13_max_sketch": r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+docs AS (SELECT doc_id, len(terms) AS n, terms FROM words WHERE len(terms) > 0),
+corpus AS (SELECT count(*) AS total, sum(n)::BIGINT AS length FROM docs),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM docs) GROUP BY ALL),
+weighted AS (SELECT term, floor(1000 * ln((2 * total + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, corpus GROUP BY term, total),
+scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * total) // length))))::BIGINT AS score
+           FROM asked JOIN tf USING (term) JOIN weighted USING (term), corpus GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 50""",
     }
