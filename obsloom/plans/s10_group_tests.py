@@ -4,7 +4,8 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as X, special
-from ..operators import aggs as A, contingency as C, multiplicity as M, order, qc, rank_tests as R, transforms as T
+from ..operators import aggs as A, contingency as C, multiplicity as M, order, permute as P, qc, rank_tests as R, transforms as T
+from ..runtime import stage
 from .bindings import (FEATURES, SQL_LONG, SQL_LONG_MISSING, SQL_OBS, SQL_PARTS_LONG, SQL_RANKED, long, long_of, obs, obs_missing, parts_long, table)
 from .registry import query
 from .sqltails import f_sf, norm_two_sided
@@ -141,24 +142,58 @@ def _(spark, sf):
     return C.chi_square(C.cell_counts(table(spark, sf, "lineitem"), "l_returnflag", "l_linenumber"))
 
 
-PERM_REPS = 19
-PERM_SQL = f"""base AS (SELECT o_orderkey AS id, o_orderpriority AS label, o_orderstatus AS stratum, CAST(c_nationkey % 3 AS VARCHAR) AS a FROM orders JOIN customer ON c_custkey = o_custkey),
- dealt AS (SELECT label, stratum, row_number() OVER (PARTITION BY stratum ORDER BY id) AS pos FROM base),
- many AS (SELECT rep, id, a, stratum, row_number() OVER (PARTITION BY rep, stratum ORDER BY md5(concat_ws('|', 5, rep, id)), id) AS pos FROM base, (SELECT unnest(range(0, {PERM_REPS})) AS rep)),
- pm AS (SELECT rep, a, dealt.label AS b FROM many JOIN dealt USING (stratum, pos)),
- ct AS (SELECT rep, a, b, count(*) AS o FROM pm GROUP BY 1, 2, 3 UNION ALL SELECT -1, a, label, count(*) FROM base GROUP BY 2, 3),
- mg AS (SELECT rep, a, b, o, sum(o) OVER (PARTITION BY rep, a) AS na, sum(o) OVER (PARTITION BY rep, b) AS nb, CAST(sum(o) OVER (PARTITION BY rep) AS DOUBLE) AS n FROM ct),
- vv AS (SELECT rep, sqrt(sum(pow(o - na * nb / n, 2) / (na * nb / n)) / max(n) / 2) AS v FROM mg GROUP BY 1)"""
+PERM_REPS, KEYED_REPS = 99, 5000
+
+
+def deal_sql(seed: int, rows: str, strata: str, out: str) -> str:
+    """CTEs that give ``out`` (rep, all columns of ``rows``, permuted): ``rows`` has (id, label, stratum), ``strata`` its rows in ``rep`` x stratum."""
+    keys = ", ".join(f"CAST('0x' || substr(h, {1 + i * P.KEY_STEP}, {P.KEY_DIGITS}) AS BIGINT) * {P.KEYED} AS k{i}" for i in range(P.ROUNDS))
+
+    def network(source: str) -> str:
+        sql = f"SELECT *, x // wide AS l, x % wide AS r FROM {source}"
+        for i in range(P.ROUNDS):
+            at, by, top = ("l", "r", "high") if i % 2 == 0 else ("r", "l", "wide")
+            sql = f"SELECT *, ({by} * {P.SPREAD} + k{i}) & {P.MASK} AS t FROM ({sql})"
+            sql = f"SELECT * EXCLUDE (t), (xor(t, t >> 15) * {P.FINISH}) & {P.MASK} AS u FROM ({sql})"
+            sql = f"SELECT * EXCLUDE (u) REPLACE (({at} + ((xor(u, u >> 16) * {top}) >> 31)) % {top} AS {at}) FROM ({sql})"
+        return f"SELECT rep, sid, place, l * wide + r AS x FROM ({sql})"
+
+    return f"""sized AS (SELECT stratum, dense_rank() OVER (ORDER BY stratum) AS sid, count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS high FROM {rows} GROUP BY stratum),
+ keyed AS (SELECT *, {keys} FROM (SELECT rep, sid, n, high, (n + high - 1) // high AS wide, md5(concat_ws('|', {seed}, rep, stratum)) AS h FROM sized, {strata})),
+ placed AS (SELECT q.*, sid, row_number() OVER (PARTITION BY stratum ORDER BY id) - 1 AS place, row_number() OVER (PARTITION BY stratum ORDER BY label) - 1 AS slot FROM {rows} q JOIN sized USING (stratum)),
+ walk AS (({network("(SELECT rep, sid, place, place AS x, high, wide, " + ", ".join(f"k{i}" for i in range(P.ROUNDS)) + " FROM placed JOIN keyed USING (sid))")})
+  UNION ALL ({network("(SELECT w.rep, w.sid, w.place, w.x, high, wide, " + ", ".join(f"k{i}" for i in range(P.ROUNDS)) + " FROM walk w JOIN keyed USING (rep, sid) WHERE w.x >= n)")})),
+ {out} AS (SELECT w.rep, p.*, s.label AS permuted FROM walk w JOIN placed p USING (sid, place) JOIN placed s ON s.sid = w.sid AND s.slot = w.x)"""
 
 
-@query("strat_permutation_test", f"""WITH {PERM_SQL}, ob AS (SELECT v AS observed FROM vv WHERE rep = -1)
+PERM_BASE_SQL = "base AS (SELECT o_orderkey AS id, o_orderpriority AS label, o_orderstatus AS stratum, CAST(c_nationkey % 3 AS VARCHAR) AS a FROM orders JOIN customer ON c_custkey = o_custkey)"
+
+
+def permutation_sql(reps: int) -> str:
+    deals = deal_sql(5, "base", f"(SELECT unnest(range(0, {reps})) AS rep)", "pm")
+    return f"""WITH RECURSIVE {PERM_BASE_SQL}, {deals},
+ ct AS (SELECT rep, a, permuted AS b, count(*) AS o FROM pm GROUP BY 1, 2, 3 UNION ALL SELECT -1, a, label, count(*) FROM base GROUP BY 2, 3),
+ mg AS (SELECT rep, a, b, o, sum(o) OVER (PARTITION BY rep, a) AS na, sum(o) OVER (PARTITION BY rep, b) AS nb, CAST(sum(o) OVER (PARTITION BY rep) AS DOUBLE) AS n FROM ct),
+ vv AS (SELECT rep, sqrt(sum(pow(o - na * nb / n, 2) / (na * nb / n)) / max(n) / 2) AS v FROM mg GROUP BY 1), ob AS (SELECT v AS observed FROM vv WHERE rep = -1)
 SELECT observed, count(*) AS n_rep, (1 + count(*) FILTER (v >= observed - 1e-12)) / (count(*) + 1) AS p, quantile_cont(v, .5) AS null_median,
- quantile_cont(v, .025) AS null_q025, quantile_cont(v, .975) AS null_q975 FROM vv, ob WHERE rep >= 0 GROUP BY observed""", dbl="observed p null_median null_q025 null_q975", d=7)
-def _(spark, sf):
+ quantile_cont(v, .025) AS null_q025, quantile_cont(v, .975) AS null_q975 FROM vv, ob WHERE rep >= 0 GROUP BY observed"""
+
+
+def permutation_test(spark, sf, reps):
     base = permutation_base(spark, sf)
-    perm = C.permuted_labels(base, "id", "label", "stratum", range(PERM_REPS), 5).join(base.select("id", "a"), "id")
-    null = C.chi_square(C.cell_counts(perm, "a", "permuted", ["rep"]), ["rep"])
-    return C.summarise_null(null, C.chi_square(C.cell_counts(base, "a", "label")))
+    placed = stage(P.with_places(base, "id", "label", "stratum"))
+    null = C.chi_square(P.null_cells(placed, "a", range(reps), 5), ["rep"])
+    return C.summarise_null(null, C.chi_square(C.cell_counts(placed, "a", "label")))
+
+
+@query("strat_permutation_test", permutation_sql(PERM_REPS), dbl="observed p null_median null_q025 null_q975", d=7)
+def _(spark, sf):
+    return permutation_test(spark, sf, PERM_REPS)
+
+
+@query("strat_permutation_keyed", permutation_sql(KEYED_REPS), dbl="observed p null_median null_q025 null_q975", d=7)
+def _(spark, sf):
+    return permutation_test(spark, sf, KEYED_REPS)
 
 
 def permutation_base(spark, sf):

@@ -5,7 +5,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..functions.scalar import draw
-from ..operators import aggs as A, agreement as G, contingency as C, linalg, neighbours as N, order, resample as R, transforms as T, validate as V
+from ..operators import aggs as A, agreement as G, contingency as C, linalg, neighbours as N, order, permute as P, resample as R, transforms as T, validate as V
 from ..operators.linalg import project
 from ..runtime import stage
 from .bindings import STATUSES, table, vectors
@@ -345,31 +345,38 @@ def _(spark, sf):
     return ba(V.score_models(x, "v", models, "class", {m: {"0"} for m in models}))
 
 
+DEALS = 999
+
+
 @query("label_permutation_null", dbl="observed p null_median null_q025 null_q975", d=5)
 def _(spark, sf):
-    """A hundred deals inside the strata. Relabelling leaves the cross-products of all rows as they are, so a deal
-    only needs class means per fold, one grouped average; every refit is a merge of them."""
-    x, reps = folded(spark, sf), range(100)
-    mom = fold_moments(x)
-    total = {f: linalg._merge([m[2:] for m in mom if m[0] != f])[2] for f in FOLDS}
-    deal = C.permuted_labels(x, "obs_id", "class", "stratum", reps, 47)
-    real = x.select(F.lit(-1).alias("rep"), F.col("obs_id").alias("id"), F.col("class").alias("permuted"))
-    y = stage(deal.unionByName(real).join(x.select(F.col("obs_id").alias("id"), "v", "fold"), "id"))
-    dim = len(mom[0][3])
-    means = {}
-    for r in y.groupBy("rep", "fold", "permuted").agg(F.count("*").alias("n"), F.array(*[F.avg(F.col("v")[j]) for j in range(dim)]).alias("m")).collect():
-        means.setdefault(r["rep"], []).append((str(r["fold"]), r["permuted"], float(r["n"]), np.array(r["m"])))
+    """999 deals inside the strata; rows are placed once and never shuffled again. Relabelling leaves the cross-products of all rows as
+    they are, so a deal only needs class sums on the components of each fold's training rows."""
+    x = folded(spark, sf)
+    mom, reps = fold_moments(x), range(-1, DEALS)
+    pcas = {f: V.parts_pca(V.training_parts(mom, [f])) for f in FOLDS}
+    maps = [pcas[f].loadings[:, :N_PC] / pcas[f].scale[:, None] for f in FOLDS]
+    scored = project(x, "v", np.hstack(maps), np.zeros(len(maps[0])), "z").withColumn("z", F.transform("z", lambda v, i: v - F.array(
+        *[F.lit(float(c)) for f, w in zip(FOLDS, maps) for c in pcas[f].mean @ w])[i]))
+    placed = stage(P.with_places(scored.drop("v"), "obs_id", "class", "stratum"))
+    sums: dict = {}
+    for r in P.null_sums(placed, "fold", "z", N_PC * K_FOLDS, reps, 47).collect():  # repeats x folds x classes
+        sums.setdefault(r["rep"], []).append((r["by"], r["label"], r["n"], np.array(r["s"])))
     models = {}
-    for r, cells in means.items():
-        for f in FOLDS:
-            by = {}
-            for fold, c, n, m in cells:
+    for at, f in enumerate(FOLDS):
+        total = maps[at].T @ linalg._merge([m[2:] for m in mom if m[0] != f])[2] @ maps[at]
+        own = slice(at * N_PC, (at + 1) * N_PC)
+        for rep, cells in sums.items():
+            by: dict = {}
+            for fold, c, n, s in cells:
                 if fold != f:
-                    by.setdefault(c, []).append((n, m))
-            merged = [(c, sum(n for n, _ in g), sum(n * m for n, m in g) / sum(n for n, _ in g)) for c, g in sorted(by.items())]
-            models[f"{r}/{f}"] = V.fit_pca_lda(V.parts_from_means(total[f], merged), 0.1, N_PC)
-    z = y.select("rep", F.concat_ws("/", "rep", "fold").alias("fold"), F.col("permuted").alias("class"), "v")
-    s = ba(V.score_models(z, "v", models, "class", {m: {m} for m in models}), ["rep"]).withColumnRenamed("balanced_accuracy", "v")
+                    k, t = by.get(c, (0, 0.0))
+                    by[c] = (k + n, t + s[own])
+            m = V.fit_lda(V.parts_from_means(total, [(c, n, s / n) for c, (n, s) in sorted(by.items())]), 0.1)
+            coef = np.zeros((len(m.classes), N_PC * K_FOLDS))
+            coef[:, own] = m.coef
+            models[rep, f] = V.LDA(m.classes, coef, m.bias)
+    s = V.overall(P.null_confusion(placed, "fold", "z", models, reps, 47), ["rep"]).select("rep", F.col("balanced_accuracy").alias("v"))
     return C.summarise_null(s.where("rep >= 0"), s.where("rep = -1"))
 
 
