@@ -5,7 +5,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..functions.scalar import draw
-from ..operators import aggs as A, agreement as G, contingency as C, linalg, neighbours as N, order, permute as P, resample as R, transforms as T, validate as V
+from ..operators import aggs as A, agreement as G, contingency as C, linalg, neighbours as N, order, permute as P, resample as R, transforms as T, trees as E, validate as V
 from ..operators.linalg import project
 from ..runtime import stage
 from .bindings import STATUSES, table, vectors
@@ -220,12 +220,40 @@ def ba(scored, keys=("model",)):
     return V.overall(V.confusion(scored, list(keys)), list(keys)).select(*keys, "accuracy", "balanced_accuracy", "macro_f1")
 
 
+def fold_components(x, mom):
+    """Rows with ``z``: the leading components of every fold's training rows side by side; and each fold's block with the fold it holds out."""
+    pcas = {f: V.parts_pca(V.training_parts(mom, [f])) for f in FOLDS}
+    maps = [pcas[f].loadings[:, :N_PC] / pcas[f].scale[:, None] for f in FOLDS]
+    centre = np.concatenate([pcas[f].mean @ w for f, w in zip(FOLDS, maps)])
+    z = project(x, "v", np.hstack(maps), np.zeros(len(maps[0])), "z").withColumn("z", F.zip_with("z", F.array(*[F.lit(float(c)) for c in centre]), lambda a, c: a - c))
+    return z.select("obs_id", "class", "stratum", "fold", "z"), {f: ({f}, slice(i * N_PC, (i + 1) * N_PC)) for i, f in enumerate(FOLDS)}, maps
+
+
+def tree_ensembles(z, splits):
+    """Held-out scores of both ensembles of trees, all folds in one growth."""
+    rows, classes, counts = E.prepare(z, "z", "class", "fold")
+    held = {f: h for f, (h, _) in splits.items()}
+    extra = E.extra_trees(rows, classes, counts, splits, 150, 8, 53)
+    boosted = E.boosting(rows, classes, counts, splits, E.bin_edges(rows, splits, 32), 20, 3, rate=0.2)
+    return {name: V.score_models(z, "z", m, "class", held) for name, m in (("extra_trees", extra), ("boosted_trees", boosted))}
+
+
+@query("tree_ensembles", dbl="accuracy balanced_accuracy macro_f1", d=4)
+def _(spark, sf):
+    """150 extremely randomised trees and 20 rounds of boosted trees on the components of each fold's training rows; metrics by fold."""
+    x = folded(spark, sf)
+    z, splits, _ = fold_components(x, fold_moments(x))
+    out = [ba(s.withColumnRenamed("model", "fold_out").withColumn("model", F.lit(n)), ["model", "fold_out"]) for n, s in tree_ensembles(stage(z), splits).items()]
+    return out[0].unionByName(out[1])
+
+
 @query("model_families", dbl="accuracy balanced_accuracy macro_f1", d=4)
 def _(spark, sf):
     """Every fold held out once; scaling and components from its training rows. Linear, kernel (random Fourier
-    features), tree, neighbour and discriminant scorers, all with balanced class weights."""
+    features), tree, neighbour and discriminant scorers with balanced class weights; boosted trees without, as is usual."""
     x = folded(spark, sf)
     mom = fold_moments(x)
+    grown = tree_ensembles(*(lambda z, splits, _: (stage(z), splits))(*fold_components(x, mom)))
     rng = np.random.default_rng(5)
     w, b = rng.normal(0, 0.5, (N_PC, 40)), rng.uniform(0, 2 * np.pi, 40)
     kw = {"labelCol": "y", "weightCol": "weight", "predictionCol": "yhat"}
@@ -235,6 +263,8 @@ def _(spark, sf):
             "random_forest": RandomForestClassifier(numTrees=15, maxDepth=5, seed=3, featuresCol="f", **kw)}
     lda = {f: V.fit_pca_lda(V.training_parts(mom, [f]), 0.1, N_PC) for f in FOLDS}
     out = V.score_models(x, "v", lda, "class", {f: {f} for f in FOLDS}).select(F.lit("lda").alias("model"), "truth", "pred")
+    for name, scored in grown.items():
+        out = out.unionByName(scored.select(F.lit(name).alias("model"), "truth", "pred"))
     for f in FOLDS:
         parts = V.training_parts(mom, [f])
         weight = {c: 1.0 / sum(p[1] for p in parts if p[0] == c) for c in {p[0] for p in parts}}
@@ -354,11 +384,8 @@ def _(spark, sf):
     they are, so a deal only needs class sums on the components of each fold's training rows."""
     x = folded(spark, sf)
     mom, reps = fold_moments(x), range(-1, DEALS)
-    pcas = {f: V.parts_pca(V.training_parts(mom, [f])) for f in FOLDS}
-    maps = [pcas[f].loadings[:, :N_PC] / pcas[f].scale[:, None] for f in FOLDS]
-    scored = project(x, "v", np.hstack(maps), np.zeros(len(maps[0])), "z").withColumn("z", F.transform("z", lambda v, i: v - F.array(
-        *[F.lit(float(c)) for f, w in zip(FOLDS, maps) for c in pcas[f].mean @ w])[i]))
-    placed = stage(P.with_places(scored.drop("v"), "obs_id", "class", "stratum"))
+    z, _, maps = fold_components(x, mom)
+    placed = stage(P.with_places(z, "obs_id", "class", "stratum"))
     sums: dict = {}
     for r in P.null_sums(placed, "fold", "z", N_PC * K_FOLDS, reps, 47).collect():  # repeats x folds x classes
         sums.setdefault(r["rep"], []).append((r["by"], r["label"], r["n"], np.array(r["s"])))
