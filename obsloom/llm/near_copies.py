@@ -12,10 +12,12 @@ from ..runtime import stage
 from .layout import slices, texts
 from .simhash_ball import SEED
 
-CHECK = 64  # leading bits of a signature, compared inside a cell; the blocks follow
-SMALL = 32  # members of a variant up to which all its pairs are candidates
+CHECK = 128  # leading bits of a signature, compared inside a cell; the blocks follow
+SMALL = 128  # members of a variant up to which all its pairs are compared at once; larger ones go through leaders and ``regrouped``
 SPREAD = 5.0  # standard deviations by which a pair at the bound may exceed its expected Hamming distance
-FALSE = 512  # unlike candidates a text may meet in all blocks before its check bits are compared
+FALSE = 4096  # unlike candidates a text may meet in all blocks before its check bits are compared
+COUNTERS = 1 << 20  # shingle counts by hash, which order the shingles of a crowd from rare to common
+PAIR, STAR, CHAIN = range(3)  # two of a small variant, leader and follower, one leader and the next
 
 
 def shingles(text: str, words: int = 5) -> np.ndarray:
@@ -79,75 +81,68 @@ def _runs(value: np.ndarray, left: np.ndarray, low_bits: int):
     return owner, start[size > 1], size[size > 1]
 
 
-def _first(check: np.ndarray, runs, most: int):
-    """(a, b) candidates of a cell: all pairs of small variants, leader and followers in large ones; (a, a) marks members of large ones."""
+def _found(check: np.ndarray, runs, most: int):
+    """(a, b, kind) of a cell: near pairs of small variants, leaders with their followers and the next leader in large ones."""
     owner, start, size = runs
+
+    def differ(a, b):
+        return np.bitwise_count(check[a] ^ check[b]).sum(axis=-1)
+
     small = size <= SMALL
     for d in range(1, int(size[small].max(initial=1))):
         has = start[small][size[small] > d]
         reps = size[small][size[small] > d] - d
         at = np.repeat(has, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
         a, b = owner[at], owner[at + d]
-        near = np.bitwise_count(check[a] ^ check[b]) <= most
-        yield a[near], b[near]
+        near = differ(a, b) <= most
+        yield a[near], b[near], np.full(int(near.sum()), PAIR)
     for s, m in zip(start[~small].tolist(), size[~small].tolist()):
-        members = owner[s:s + m]
-        yield members, members
-        while len(members) > 1:
-            near = np.bitwise_count(check[members[1:]] ^ check[members[0]]) <= most
-            yield np.full(int(near.sum()), members[0]), members[1:][near]
-            members = members[1:][~near]
-
-
-def _second(check: np.ndarray, group: np.ndarray, runs, most: int):
-    """(a, b) candidates of large variants whose members are not in one component yet: each outside the largest one against all others."""
-    owner, start, size = runs
-    for s, m in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
-        members = owner[s:s + m]
-        names, place, count = np.unique(group[members], return_inverse=True, return_counts=True)
-        if len(names) > 1:
-            for x in members[place != count.argmax()]:
-                hits = members[(group[members] != group[x]) & (np.bitwise_count(check[members] ^ check[x]) <= most)]
-                yield np.minimum(hits, x), np.maximum(hits, x)
+        members, last = owner[s:s + m], None
+        while len(members):
+            lead, rest = members[0], members[1:]
+            near = differ(rest, lead) <= most
+            yield np.full(int(near.sum()), lead), rest[near], np.full(int(near.sum()), STAR)
+            if last is not None:
+                yield np.array([last]), np.array([lead]), np.array([CHAIN])
+            last, members = lead, rest[~near]
 
 
 def candidates(signs: DataFrame, n: int, bits: int, blocks: int, most: int, cell_variants: int = 1 << 20) -> DataFrame:
-    """(src, dst), src <= dst: nodes of ``signs`` (node, sign[, grp]) that share a block up to two flips and agree in the check bits.
+    """(src, dst, kind), src < dst: nodes of ``signs`` (node, sign) that share a block up to two flips and agree in the check bits.
 
     A block's value and its one-flip variants are shuffled by block and first ``p`` bits, where 1 + p rows stand for the 1 + ``bits``
-    variants. With ``grp`` only pairs of different groups in large variants are given, without it what ``_first`` says."""
+    variants. Large variants give a pair for each member and leader only, see ``regrouped``."""
     p = min(bits - 8, max(2, math.ceil(math.log2(max(1, n * (1 + bits) / cell_variants)))))
-    again = "grp" in signs.columns
     power = np.int64(1) << np.arange(bits, dtype=np.int64)
     masks = np.array([0, *(1 << i for i in range(p))], np.int64)
+    names = ["cell", "value", "check0", "check1", "node"]
 
     def spread(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
                 sign = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(batch.num_rows, -1)
-                cols = [batch.column(i).to_numpy() for i in ([0, 2] if again else [0])]
+                check = sign[:, :CHECK // 64].astype(np.uint64).view(np.int64)
                 flat = np.unpackbits(sign.view(np.uint8), axis=1, bitorder="little")
                 for k in range(blocks):
                     value = flat[:, CHECK + k * bits:CHECK + (k + 1) * bits].astype(np.int64) @ power
                     cell = (np.int64(k << p) | (value >> (bits - p))[:, None] ^ masks).ravel()
-                    each = [np.repeat(x, len(masks)) for x in (value, sign[:, 0].astype(np.uint64).view(np.int64), *cols)]
+                    each = [np.repeat(x, len(masks)) for x in (value, check[:, 0], check[:, 1], batch.column(0).to_numpy())]
                     yield pa.RecordBatch.from_arrays([pa.array(cell), *map(pa.array, each)], names)
 
     def work(batches):
         def close(cell, held):
-            value, check, node, *group = (np.concatenate(x) for x in zip(*held))
+            value, check0, check1, node = (np.concatenate(x) for x in zip(*held))
             if len(node) < 2:
                 return
             order = np.argsort(node)
-            value, check, node, group = value[order], check[order].view(np.uint64), node[order], [g[order] for g in group]
+            value, node, check = value[order], node[order], np.column_stack([check0, check1])[order].view(np.uint64)
             left = 1 - np.bitwise_count(value >> (bits - p) ^ (cell & (1 << p) - 1)).astype(np.int64)
-            runs = _runs(value, left, bits - p)
-            found = list(_second(check, group[0], runs, most) if again else _first(check, runs, most))
+            found = list(_found(check, _runs(value, left, bits - p), most))
             if found:
-                a, b = (np.concatenate(x).astype(np.int64) for x in zip(*found))
-                pair = np.unique(a << 32 | b)
-                yield pa.RecordBatch.from_arrays([pa.array(node[pair >> 32]), pa.array(node[pair & 0xFFFFFFFF])], ["src", "dst"])
+                a, b, kind = (np.concatenate(x).astype(np.int64) for x in zip(*found))
+                first = np.unique(np.stack([a, b, kind]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(node[first[0]]), pa.array(node[first[1]]), pa.array(first[2])], ["src", "dst", "kind"])
 
         now, held = None, []
         for batch in batches:
@@ -162,10 +157,86 @@ def candidates(signs: DataFrame, n: int, bits: int, blocks: int, most: int, cell
         if held:
             yield from close(now, held)
 
-    names = ["cell", "value", "checked", "node"] + ["grp"] * again
     rows = signs.mapInArrow(spread, ", ".join(f"{c} long" for c in names))
     parts = max(8, min(blocks << p, n * blocks * (1 + p) // 200_000 + 8))
-    return rows.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(work, "src long, dst long").distinct()
+    found = rows.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(work, "src long, dst long, kind long")
+    return found.groupBy("src", "dst").agg(F.max("kind").alias("kind"))
+
+
+def regrouped(open_nodes: DataFrame, plain: DataFrame, words: int, least: float) -> DataFrame:
+    """(src, dst): pairs of different groups among ``open_nodes`` (node, grp) whose shingle sets may have Jaccard ``least``.
+
+    Two such sets share a shingle among their first ones in any order of all shingles, as many as a set can lose plus one. Common
+    shingles come last (by counters shared by hash, so the order is the same everywhere): what a crowd has in common, a licence or
+    a template, is not among the first, and its members meet only through what is rare. Sizes and places bound the overlap further;
+    the members of one group never meet."""
+    held = plain.join(open_nodes, "node").select("node", "text", "grp").dropDuplicates(["node"])
+
+    def sets(batches):
+        for batch, values in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([shingles(v, words).tobytes() for v in values], pa.binary())], ["node", "grp", "hashes"])
+
+    hashed = stage(held.mapInArrow(sets, "node long, grp long, hashes binary"))
+
+    def tally(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for raw in batch.column(0):
+                np.add.at(total, np.frombuffer(raw.as_py(), np.uint64).astype(np.int64) & (COUNTERS - 1), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
+
+    common = np.zeros(COUNTERS, np.int64)
+    for r in hashed.select("hashes").mapInArrow(tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toLocalIterator():
+        common[r["slot"]] = r["n"]
+
+    def first_ones(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part, out = batch.slice(at, 512), []
+                for node, grp, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
+                    h = np.frombuffer(raw.as_py(), np.uint64).view(np.int64)
+                    n = len(h)
+                    h = h[np.lexsort((h, common[h & (COUNTERS - 1)]))][:n - math.ceil(least * n - 1e-9) + 1]
+                    out.append((h, np.full(len(h), node), np.full(len(h), grp), np.full(len(h), n), np.arange(len(h))))
+                cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["shingle", "node", "grp", "n", "place"])
+
+    rows = hashed.mapInArrow(first_ones, "shingle long, node long, grp long, n long, place long")
+    # a shingle that one group alone has is left before anything is compared
+    shared = rows.groupBy("shingle").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("shingle")
+    rows = rows.join(shared, "shingle", "left_semi").repartition("shingle").sortWithinPartitions("shingle", "grp", "node")
+
+    def meet(batches):
+        def close(node, grp, n, place):
+            for i in range(len(node) - 1):
+                top = np.minimum(n[i] - place[i], n[i + 1:] - place[i + 1:])
+                may = (grp[i + 1:] != grp[i]) & (top * (1 + least) >= least * (n[i] + n[i + 1:]) - 1e-6)
+                other = node[i + 1:][may]
+                yield np.minimum(other, node[i]), np.maximum(other, node[i])
+
+        def flush(held):
+            own = [np.concatenate(x) for x in zip(*held)]
+            if len(own[0]) > 1:
+                found = list(close(*own))
+                a, b = (np.concatenate(x) for x in zip(*found))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["src", "dst"])
+
+        now, held = None, []
+        for batch in batches:
+            key, *rest = (c.to_numpy() for c in batch.columns)
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b and key[a] != now:
+                    if held:
+                        yield from flush(held)
+                    now, held = int(key[a]), []
+                held.append([x[a:b] for x in rest])
+        if held:
+            yield from flush(held)
+
+    return rows.mapInArrow(meet, "src long, dst long").distinct()
 
 
 def alike(pairs: DataFrame, signs: DataFrame, plain: DataFrame, words: int, least: float, most: int) -> DataFrame:
@@ -191,7 +262,7 @@ def alike(pairs: DataFrame, signs: DataFrame, plain: DataFrame, words: int, leas
     def of(table, key, value, name):
         return table.select(F.col("node").alias(key), F.col(value).alias(name))
 
-    close = pairs.where("src <> dst").join(of(signs, "src", "sign", "a"), "src").join(of(signs, "dst", "sign", "b"), "dst").select("src", "dst", "a", "b")
+    close = pairs.select("src", "dst").join(of(signs, "src", "sign", "a"), "src").join(of(signs, "dst", "sign", "b"), "dst").select("src", "dst", "a", "b")
     close = stage(close.mapInArrow(near, "src long, dst long"))
     used = close.select(F.col("src").alias("node")).union(close.select("dst")).distinct()
     table = stage(plain.join(used, "node", "left_semi").dropDuplicates(["node"]).select("node", "text").mapInArrow(sets, "node long, hashes binary"))
@@ -207,10 +278,12 @@ def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8, recall: flo
     """(doc_id, component_id): the smallest doc_id reachable over pairs whose shingle sets have Jaccard ``least`` or more.
 
     Every link is judged on the sets (64-bit hashes of shingles), so texts below ``least`` are never linked themselves. A pair just at ``least``
-    is met with probability ``recall``, likelier ones more often. Large variants (a crowd of near copies) first give each member's pair
-    with a leader; a second pass then compares those members that are not in one component, so no pair is left out for its crowd.
+    is met with probability ``recall``, likelier ones more often. Large variants (a crowd of near copies or of one template) first give
+    each member's pair with a leader; where that leaves more than one group, the members of these groups are compared through their
+    rarest shingles, so no pair is left out for its crowd and a crowd that only shares a template is not compared pair by pair.
     Equal texts (64-bit hash) are one node. Texts without words are like each other only. Repeated rows stay; a null doc_id is in a
-    component but never names one, unless it is alone (null then). An empty table gives an empty one."""
+    component but never names one, unless it is alone (null then). An empty table gives an empty one. A very long text costs memory in
+    proportion to its distinct shingles; columns other than doc_id and text, whatever their names, are not read."""
     plain = texts(docs).select("doc_id", F.xxhash64("text").alias("node"), "text")
     n = plain.count()
     bits, blocks, q = plan(n, least, recall)
@@ -224,13 +297,20 @@ def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8, recall: flo
     marked = stage(plain.mapInArrow(sign, "doc_id long, node long, sign binary"))
     signs = stage(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("sign").alias("sign")))
     pairs = stage(candidates(signs.select("node", "sign"), n, bits, blocks, _most(CHECK, q)))
-    edges = alike(pairs, signs, plain, words, least, _most(64 * wide, q))
+    edges = alike(pairs.where(F.col("kind") < CHAIN), signs, plain, words, least, _most(64 * wide, q))
     label = _labels(edges)
-    crowd = pairs.where("src = dst").select(F.col("src").alias("node"))
+    crowd = pairs.where(F.col("kind") > PAIR)
     if not crowd.isEmpty():
-        named = signs.join(crowd, "node", "left_semi").join(label, "node", "left").select("node", "sign", F.coalesce("component", "node").alias("grp"))
-        more = alike(stage(candidates(named, n, bits, blocks, _most(CHECK, q))), signs, plain, words, least, _most(64 * wide, q))
-        label = _labels(edges.union(more))
+        def named(side):
+            return label.select(F.col("node").alias(side), F.col("component").alias(f"grp_{side}"))
+
+        ends = crowd.join(named("src"), "src", "left").join(named("dst"), "dst", "left").select(
+            "src", "dst", F.coalesce("grp_src", "src").alias("a"), F.coalesce("grp_dst", "dst").alias("b")).where("a <> b")
+        apart = stage(ends.select(F.col("a").alias("grp")).union(ends.select("b")).distinct())
+        if not apart.isEmpty():
+            every = signs.select("node").join(label, "node", "left").select("node", F.coalesce("component", "node").alias("grp"))
+            more = alike(stage(regrouped(every.join(apart, "grp", "left_semi").select("node", "grp"), plain, words, least)), signs, plain, words, least, 64 * wide)
+            label = _labels(edges.union(more))
     joined = signs.select("node", "first").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = joined.groupBy("component").agg(F.min("first").alias("component_id"))
     return marked.select("doc_id", "node").join(joined.join(lowest, "component").select("node", "component_id"), "node").select("doc_id", "component_id")

@@ -77,3 +77,46 @@ def test_signature_distance_follows_the_plan():
         x, y = (near_copies.signature(np.concatenate([common, own]), wide) for own in (a, b))
         far.append(np.bitwise_count(x ^ y).sum() / (64 * wide))
     assert abs(np.mean(far) - q) < 0.02 and near_copies.plan(10 ** 9, 0.8, 0.9995)[0] > bits
+
+
+def test_a_crowd_of_one_template_is_not_compared_pair_by_pair(spark):
+    """160 of 200 words are shared: nothing links but the planted copies, and candidates grow with the crowd, not with its square."""
+    rnd = random.Random(3)
+    template = [f"t{i}" for i in range(160)]
+    made = []
+    for size in (300, 900):
+        texts = [template[:80] + [f"u{rnd.randrange(10 ** 9)}" for _ in range(40)] + template[80:] for _ in range(size)]
+        texts += [edited(rnd, texts[7], 3), edited(rnd, texts[7], 3), edited(rnd, texts[8], 2)]
+        docs = make(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
+        groups = {}
+        for r in near_copies.near_groups(docs).collect():
+            groups.setdefault(r.component_id, set()).add(r.doc_id)
+        assert {k: v for k, v in groups.items() if len(v) > 1} == {7: {7, size, size + 1}, 8: {8, size + 2}}
+        plain = near_copies.texts(docs).select("doc_id", near_copies.F.xxhash64("text").alias("node"), "text")
+        alone = plain.select("node", near_copies.F.col("node").alias("grp")).distinct()
+        made.append(near_copies.regrouped(alone, plain, 5, 0.8).count())
+    assert made[0] >= 4 and made[1] < 4 * made[0] + 20
+
+
+def test_rarest_shingles_meet_every_near_pair(spark):
+    rnd = random.Random(6)
+    texts = []
+    for _ in range(40):
+        base = [f"w{rnd.randrange(60)}" for _ in range(rnd.randrange(6, 90))]
+        texts += [base, edited(rnd, base, 1), edited(rnd, base, max(1, len(base) // 30)), base[:-max(1, len(base) // 10)]]
+    plain = near_copies.texts(make(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).select("doc_id", near_copies.F.xxhash64("text").alias("node"), "text").cache()
+    node = {r.doc_id: r.node for r in plain.collect()}
+    alone = plain.select("node", near_copies.F.col("node").alias("grp")).distinct()
+    got = {(r.src, r.dst) for r in near_copies.regrouped(alone, plain, 5, 0.8).collect()}
+    sets = [grams(" ".join(t)) for t in texts]
+    want = {tuple(sorted((node[i], node[j]))) for i in range(len(texts)) for j in range(i) if node[i] != node[j] and jaccard(sets[i], sets[j]) >= 0.8}
+    assert len(want) > 40 and want <= got
+
+
+def test_odd_rows(spark, docs, none, rows):
+    got = near_copies.near_groups(docs).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(d) for d, _ in rows)
+    assert near_copies.near_groups(none).collect() == []
+    of = {r.doc_id: r.component_id for r in got}
+    empty = {d for d, t in rows if d is not None and not (t or "").split()}
+    assert {of[d] for d in empty} == {min(empty)}
