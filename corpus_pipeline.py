@@ -5,13 +5,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
 from obsloom.llm import byte_bpe, extendible, mixing, near_copies, neighbour_vote
-from obsloom.runtime import fresh_path
+from obsloom.runtime import fresh_path, stage
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as make it no column of ``docs``."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = "_" + name
+    return name
 
 
 def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id (a key of documents) is in ``decided``."""
-    ids = decided.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    own = _free(docs, "_kept_id")
+    ids = decided.select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
 
 
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +29,11 @@ def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the largest doc_id of each set of equal texts."""
-    return _kept(docs, extendible.dedup(docs).where("kept"))
+    """The row with the largest doc_id of each set of equal texts; one row of those that share that doc_id and text."""
+    kept = stage(extendible.dedup(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("n")))
+    same = _free(docs, "_text")
+    again = _kept(docs, kept.where("n > 1")).withColumn(same, F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", same]).drop(same)
+    return _kept(docs, kept.where("n = 1")).unionByName(again)
 
 
 def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
