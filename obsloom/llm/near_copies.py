@@ -13,11 +13,11 @@ from .layout import slices, texts
 from .simhash_ball import SEED
 
 CHECK = 128  # leading bits of a signature, compared inside a cell; the blocks follow
-SMALL = 128  # members of a variant up to which all its pairs are compared at once; larger ones go through leaders and ``regrouped``
+SMALL = 128  # members of a variant up to which all its pairs are compared at once; larger ones have leaders
 SPREAD = 5.0  # standard deviations by which a pair at the bound may exceed its expected Hamming distance
 FALSE = 4096  # unlike candidates a text may meet in all blocks before its check bits are compared
 COUNTERS = 1 << 20  # shingle counts by hash, which order the shingles of a crowd from rare to common
-PAIR, STAR, CHAIN = range(3)  # two of a small variant, leader and follower, one leader and the next
+NEAR, CHAIN = range(2)  # two texts that may be alike; two leaders of a large variant, which are not
 
 
 def shingles(text: str, words: int = 5) -> np.ndarray:
@@ -81,27 +81,53 @@ def _runs(value: np.ndarray, left: np.ndarray, low_bits: int):
     return owner, start[size > 1], size[size > 1]
 
 
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Places of edges (a < b) that connect what all of them connect, a small number of the nodes each: first every node's edge to its
+    smallest neighbour, then edges between the trees so far, until none is left."""
+    order = np.lexsort((b, a))
+    label, chosen, left = np.arange(n), [], order
+    while len(left):
+        x, y = label[a[left]], label[b[left]]
+        apart = x != y
+        left, low, high = left[apart], np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+        if not len(left):
+            break
+        _, first = np.unique(high, return_index=True)  # each tree but the lowest takes one edge to a lower one, so no ring closes
+        chosen.append(left[first])
+        root = np.arange(n)
+        root[high[first]] = low[first]
+        while (root[root] != root).any():
+            root = root[root]
+        label = root[label]
+    return np.concatenate(chosen) if chosen else np.empty(0, np.int64)
+
+
 def _found(check: np.ndarray, runs, most: int):
-    """(a, b, kind) of a cell: near pairs of small variants, leaders with their followers and the next leader in large ones."""
+    """(a, b, kind) of a cell: a forest over the near pairs of small variants; leaders with their followers and the next leader in large ones."""
     owner, start, size = runs
 
     def differ(a, b):
         return np.bitwise_count(check[a] ^ check[b]).sum(axis=-1)
 
-    small = size <= SMALL
+    small, pairs = size <= SMALL, []
     for d in range(1, int(size[small].max(initial=1))):
         has = start[small][size[small] > d]
         reps = size[small][size[small] > d] - d
         at = np.repeat(has, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
         a, b = owner[at], owner[at + d]
         near = differ(a, b) <= most
-        yield a[near], b[near], np.full(int(near.sum()), PAIR)
+        pairs.append(np.unique(a[near].astype(np.int64) << 32 | b[near]))
+    if pairs:
+        pair = np.unique(np.concatenate(pairs))
+        a, b = pair >> 32, pair & 0xFFFFFFFF
+        kept = _forest(a, b, len(check))
+        yield a[kept], b[kept], np.full(len(kept), NEAR)
     for s, m in zip(start[~small].tolist(), size[~small].tolist()):
         members, last = owner[s:s + m], None
         while len(members):
             lead, rest = members[0], members[1:]
             near = differ(rest, lead) <= most
-            yield np.full(int(near.sum()), lead), rest[near], np.full(int(near.sum()), STAR)
+            yield np.full(int(near.sum()), lead), rest[near], np.full(int(near.sum()), NEAR)
             if last is not None:
                 yield np.array([last]), np.array([lead]), np.array([CHAIN])
             last, members = lead, rest[~near]
@@ -111,7 +137,8 @@ def candidates(signs: DataFrame, n: int, bits: int, blocks: int, most: int, cell
     """(src, dst, kind), src < dst: nodes of ``signs`` (node, sign) that share a block up to two flips and agree in the check bits.
 
     A block's value and its one-flip variants are shuffled by block and first ``p`` bits, where 1 + p rows stand for the 1 + ``bits``
-    variants. Large variants give a pair for each member and leader only, see ``regrouped``."""
+    variants. A cell gives a forest over its near pairs, not all of them: where a pair of the forest turns out unlike, ``regrouped``
+    compares the groups on both sides."""
     p = min(bits - 8, max(2, math.ceil(math.log2(max(1, n * (1 + bits) / cell_variants)))))
     power = np.int64(1) << np.arange(bits, dtype=np.int64)
     masks = np.array([0, *(1 << i for i in range(p))], np.int64)
@@ -278,9 +305,9 @@ def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8, recall: flo
     """(doc_id, component_id): the smallest doc_id reachable over pairs whose shingle sets have Jaccard ``least`` or more.
 
     Every link is judged on the sets (64-bit hashes of shingles), so texts below ``least`` are never linked themselves. A pair just at ``least``
-    is met with probability ``recall``, likelier ones more often. Large variants (a crowd of near copies or of one template) first give
-    each member's pair with a leader; where that leaves more than one group, the members of these groups are compared through their
-    rarest shingles, so no pair is left out for its crowd and a crowd that only shares a template is not compared pair by pair.
+    is met with probability ``recall``, likelier ones more often. Texts that meet are first compared along a forest, a pair or a few for
+    each text; where a pair of it turns out unlike, the members of the groups on both sides are compared through their rarest
+    shingles, so no pair is left out for its crowd and a crowd that only shares a template is not compared pair by pair.
     Equal texts (64-bit hash) are one node. Texts without words are like each other only. Repeated rows stay; a null doc_id is in a
     component but never names one, unless it is alone (null then). An empty table gives an empty one. A very long text costs memory in
     proportion to its distinct shingles; columns other than doc_id and text, whatever their names, are not read."""
@@ -299,18 +326,16 @@ def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8, recall: flo
     pairs = stage(candidates(signs.select("node", "sign"), n, bits, blocks, _most(CHECK, q)))
     edges = alike(pairs.where(F.col("kind") < CHAIN), signs, plain, words, least, _most(64 * wide, q))
     label = _labels(edges)
-    crowd = pairs.where(F.col("kind") > PAIR)
-    if not crowd.isEmpty():
-        def named(side):
-            return label.select(F.col("node").alias(side), F.col("component").alias(f"grp_{side}"))
-
-        ends = crowd.join(named("src"), "src", "left").join(named("dst"), "dst", "left").select(
-            "src", "dst", F.coalesce("grp_src", "src").alias("a"), F.coalesce("grp_dst", "dst").alias("b")).where("a <> b")
-        apart = stage(ends.select(F.col("a").alias("grp")).union(ends.select("b")).distinct())
-        if not apart.isEmpty():
-            every = signs.select("node").join(label, "node", "left").select("node", F.coalesce("component", "node").alias("grp"))
-            more = alike(stage(regrouped(every.join(apart, "grp", "left_semi").select("node", "grp"), plain, words, least)), signs, plain, words, least, 64 * wide)
-            label = _labels(edges.union(more))
+    def named(side):
+        return label.select(F.col("node").alias(side), F.col("component").alias(f"grp_{side}"))
+
+    ends = pairs.join(named("src"), "src", "left").join(named("dst"), "dst", "left").select(
+        F.coalesce("grp_src", "src").alias("a"), F.coalesce("grp_dst", "dst").alias("b")).where("a <> b")
+    apart = stage(ends.select(F.col("a").alias("grp")).union(ends.select("b")).distinct())
+    if not apart.isEmpty():
+        every = signs.select("node").join(label, "node", "left").select("node", F.coalesce("component", "node").alias("grp"))
+        more = alike(stage(regrouped(every.join(apart, "grp", "left_semi").select("node", "grp"), plain, words, least)), signs, plain, words, least, 64 * wide)
+        label = _labels(edges.union(more))
     joined = signs.select("node", "first").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = joined.groupBy("component").agg(F.min("first").alias("component_id"))
     return marked.select("doc_id", "node").join(joined.join(lowest, "component").select("node", "component_id"), "node").select("doc_id", "component_id")

@@ -120,3 +120,26 @@ def test_odd_rows(spark, docs, none, rows):
     of = {r.doc_id: r.component_id for r in got}
     empty = {d for d, t in rows if d is not None and not (t or "").split()}
     assert {of[d] for d in empty} == {min(empty)}
+
+
+def test_forest_connects_what_its_edges_connect():
+    rng = np.random.default_rng(4)
+    for n, m in ((2, 1), (10, 12), (60, 40), (200, 3000)):
+        pair = np.unique(np.sort(rng.integers(0, n, (m, 2)), axis=1), axis=0)
+        a, b = pair[pair[:, 0] < pair[:, 1]].T
+        kept = near_copies._forest(a, b, n)
+
+        def classes(edges):
+            parent = list(range(n))
+
+            def find(x):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            for i in edges:
+                x, y = sorted((find(a[i]), find(b[i])))
+                parent[y] = x
+            return [find(i) for i in range(n)]
+
+        assert classes(kept) == classes(range(len(a))) and len(kept) == n - len(set(classes(kept)))
