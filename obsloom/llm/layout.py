@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 NO_KEY = -(1 << 63)
+BROADCAST_ROWS = 4_000_000  # rows of one or two 64-bit numbers that go to every executor, about 100 MB there; more are joined by a shuffle
 
 
 def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -60,3 +61,8 @@ def running(df: DataFrame, by: list[str], order: list[str], weight: Column, cell
     on = [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by] + [F.col("_cell") == F.col("_c")]
     joined = inside.join(totals, on, "left")
     return joined.select(*df.columns, (F.col("_start") + F.col("_inside")).alias(name))
+
+
+def small_side(numbers: DataFrame) -> DataFrame:
+    """A staged table of one or two numbers a row as a side of a join: broadcast while its counted rows allow it."""
+    return F.broadcast(numbers) if numbers.count() <= BROADCAST_ROWS else numbers

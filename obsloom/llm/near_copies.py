@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graph import components
 from ..runtime import stage
-from .layout import slices, texts
+from .layout import slices, small_side, texts
 from .simhash_ball import SEED
 
 CHECK = 128  # leading bits of a signature, compared inside a cell; the blocks follow
@@ -197,7 +197,7 @@ def regrouped(open_nodes: DataFrame, plain: DataFrame, words: int, least: float)
     shingles come last (by counters shared by hash, so the order is the same everywhere): what a crowd has in common, a licence or
     a template, is not among the first, and its members meet only through what is rare. Sizes and places bound the overlap further;
     the members of one group never meet."""
-    held = plain.join(open_nodes, "node").select("node", "text", "grp").dropDuplicates(["node"])
+    held = plain.join(small_side(open_nodes), "node").select("node", "text", "grp").dropDuplicates(["node"])
 
     def sets(batches):
         for batch, values in slices(batches):
@@ -291,7 +291,7 @@ def alike(pairs: DataFrame, signs: DataFrame, plain: DataFrame, words: int, leas
 
     close = pairs.select("src", "dst").join(of(signs, "src", "sign", "a"), "src").join(of(signs, "dst", "sign", "b"), "dst").select("src", "dst", "a", "b")
     close = stage(close.mapInArrow(near, "src long, dst long"))
-    used = close.select(F.col("src").alias("node")).union(close.select("dst")).distinct()
+    used = small_side(stage(close.select(F.col("src").alias("node")).union(close.select("dst")).distinct()))
     table = stage(plain.join(used, "node", "left_semi").dropDuplicates(["node"]).select("node", "text").mapInArrow(sets, "node long, hashes binary"))
     joined = close.join(of(table, "src", "hashes", "a"), "src").join(of(table, "dst", "hashes", "b"), "dst").select("src", "dst", "a", "b")
     return stage(joined.mapInArrow(judge, "src long, dst long"))
@@ -334,7 +334,7 @@ def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8, recall: flo
     apart = stage(ends.select(F.col("a").alias("grp")).union(ends.select("b")).distinct())
     if not apart.isEmpty():
         every = signs.select("node").join(label, "node", "left").select("node", F.coalesce("component", "node").alias("grp"))
-        more = alike(stage(regrouped(every.join(apart, "grp", "left_semi").select("node", "grp"), plain, words, least)), signs, plain, words, least, 64 * wide)
+        more = alike(stage(regrouped(stage(every.join(apart, "grp", "left_semi").select("node", "grp")), plain, words, least)), signs, plain, words, least, 64 * wide)
         label = _labels(edges.union(more))
     joined = signs.select("node", "first").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = joined.groupBy("component").agg(F.min("first").alias("component_id"))
