@@ -5,6 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
 from obsloom.llm import byte_bpe, extendible, mixing, near_copies, neighbour_vote
+from obsloom.llm.layout import small_side
 from obsloom.runtime import fresh_path, stage
 
 
@@ -18,7 +19,7 @@ def _free(docs: DataFrame, name: str) -> str:
 def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id (a key of documents) is in ``decided``."""
     own = _free(docs, "_kept_id")
-    ids = decided.select(F.col("doc_id").alias(own)).distinct()
+    ids = small_side(stage(decided.select(F.col("doc_id").alias(own)).distinct()))
     return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
 
 
