@@ -4,7 +4,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalar import sq_dist
-from ..operators import agreement as G, cluster as K, joins as J, linalg as L, neighbours as N, order, resample as R, transforms as T
+from ..operators import agreement as G, batched as B, cluster as K, joins as J, linalg as L, neighbours as N, order, resample as R, transforms as T
 from .bindings import SQL_OBS, SQL_VECTORS, table, vectors
 from .registry import query
 from .s03_joins import KNN_SQL
@@ -285,7 +285,14 @@ def _(spark, sf):
     return picked.join(n, "stratum")
 
 
-@query("resample_stability", dbl="ari mapped_accuracy", d=5)
+@query("resample_stability", dbl="ari nmi_mean mapped_accuracy min_jaccard mean_jaccard", d=5)
+def _(spark, sf):
+    x = vectors(spark, sf).withColumn("stratum", F.col("obs_id") % 20)
+    picked = R.group_resample(x.select("stratum"), "stratum", range(500), 0.8, 3).withColumn("w", F.lit(1))
+    return B.stability(x, "obs_id", "v", "stratum", picked, 500, range(2, 9), n_pc=3, starts=2)
+
+
+@query("ward_resample_stability", dbl="ari mapped_accuracy", d=5)
 def _(spark, sf):
     x = pcs(spark, sf).withColumn("stratum", F.col("obs_id") % 20)
     mapped, _, _ = K.micro_clusters(x, "obs_id", "pc", budget=200)
