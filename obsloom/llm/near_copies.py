@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ SMALL = 128  # members of a variant up to which all its pairs are compared at on
 SPREAD = 5.0  # standard deviations by which a pair at the bound may exceed its expected Hamming distance
 FALSE = 4096  # unlike candidates a text may meet in all blocks before its check bits are compared
 COUNTERS = 1 << 20  # shingle counts by hash, which order the shingles of a crowd from rare to common
+MEETINGS = 4  # pairs a row of a rare shingle may have before some of its pairs go first
+GAIN = 0.1  # share of its pairs that a round of some must spare to be followed by another one
 NEAR, CHAIN = range(2)  # two texts that may be alike; two leaders of a large variant, which are not
 
 
@@ -190,20 +193,19 @@ def candidates(signs: DataFrame, n: int, bits: int, blocks: int, most: int, cell
     return found.groupBy("src", "dst").agg(F.max("kind").alias("kind"))
 
 
-def regrouped(open_nodes: DataFrame, plain: DataFrame, words: int, least: float) -> DataFrame:
-    """(src, dst): pairs of different groups among ``open_nodes`` (node, grp) whose shingle sets may have Jaccard ``least``.
+def rare_shingles(open_nodes: DataFrame, plain: DataFrame, words: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(node, hashes), the shingle sets of ``open_nodes`` (node, ...), and (shingle, node, n, place), the first shingles of each set.
 
-    Two such sets share a shingle among their first ones in any order of all shingles, as many as a set can lose plus one. Common
-    shingles come last (by counters shared by hash, so the order is the same everywhere): what a crowd has in common, a licence or
-    a template, is not among the first, and its members meet only through what is rare. Sizes and places bound the overlap further;
-    the members of one group never meet."""
-    held = plain.join(small_side(open_nodes), "node").select("node", "text", "grp").dropDuplicates(["node"])
+    Sets with Jaccard ``least`` share a shingle among their first ones in any order of all shingles, as many as a set can lose plus
+    one. Common shingles come last (by counters shared by hash, so the order is the same everywhere): what a crowd has in common, a
+    licence or a template, is not among the first, and its members meet only through what is rare."""
+    held = plain.join(small_side(open_nodes.select("node")), "node", "left_semi").select("node", "text").dropDuplicates(["node"])
 
     def sets(batches):
         for batch, values in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([shingles(v, words).tobytes() for v in values], pa.binary())], ["node", "grp", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(v, words).tobytes() for v in values], pa.binary())], ["node", "hashes"])
 
-    hashed = stage(held.mapInArrow(sets, "node long, grp long, hashes binary"))
+    hashed = stage(held.mapInArrow(sets, "node long, hashes binary"))
 
     def tally(batches):
         total = np.zeros(COUNTERS, np.int64)
@@ -221,32 +223,58 @@ def regrouped(open_nodes: DataFrame, plain: DataFrame, words: int, least: float)
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part, out = batch.slice(at, 512), []
-                for node, grp, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
+                for node, raw in zip(part.column(0).to_pylist(), part.column(1)):
                     h = np.frombuffer(raw.as_py(), np.uint64).view(np.int64)
                     n = len(h)
                     h = h[np.lexsort((h, common[h & (COUNTERS - 1)]))][:n - math.ceil(least * n - 1e-9) + 1]
-                    out.append((h, np.full(len(h), node), np.full(len(h), grp), np.full(len(h), n), np.arange(len(h))))
-                cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["shingle", "node", "grp", "n", "place"])
+                    out.append((h, np.full(len(h), node), np.full(len(h), n), np.arange(len(h))))
+                cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["shingle", "node", "n", "place"])
+
+    return hashed, stage(hashed.mapInArrow(first_ones, "shingle long, node long, n long, place long"))
 
-    rows = hashed.mapInArrow(first_ones, "shingle long, node long, grp long, n long, place long")
-    # a shingle that one group alone has is left before anything is compared
+
+def _across(rare: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of ``rare`` with the group of their node, but for shingles that one group alone has."""
+    rows = rare.join(small_side(groups), "node")
     shared = rows.groupBy("shingle").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("shingle")
-    rows = rows.join(shared, "shingle", "left_semi").repartition("shingle").sortWithinPartitions("shingle", "grp", "node")
+    return rows.join(shared, "shingle", "left_semi")
 
-    def meet(batches):
-        def close(node, grp, n, place):
+
+def _crossing(rows: DataFrame) -> tuple[int, int]:
+    """How many pairs of different groups meet in a shingle, all shingles together, and how many rows they come from."""
+    cells = rows.groupBy("shingle", "grp").agg(F.count("*").alias("m")).groupBy("shingle").agg(F.sum("m").alias("t"), F.sum(F.col("m") * F.col("m")).alias("own"))
+    r = cells.agg(F.sum((F.col("t") * F.col("t") - F.col("own")) / 2).alias("pairs"), F.sum("t").alias("n")).first()
+    return int(r["pairs"] or 0), int(r["n"] or 0)
+
+
+def meetings(rows: DataFrame, least: float, every: bool) -> DataFrame:
+    """(src, dst): pairs of different groups that share a shingle and by sizes and places may have Jaccard ``least``.
+
+    All of them, or in proportion to the rows: each group's first member with the group before it and with a member of the largest
+    group of the shingle, another one from shingle to shingle."""
+    def close(shingle, node, grp, n, place):
+        def may(i, j):
+            top = np.minimum(n[i] - place[i], n[j] - place[j])
+            ok = (grp[i] != grp[j]) & (top * (1 + least) >= least * (n[i] + n[j]) - 1e-6)
+            i, j = np.broadcast_to(i, ok.shape)[ok], j[ok]
+            return np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+
+        if every:
             for i in range(len(node) - 1):
-                top = np.minimum(n[i] - place[i], n[i + 1:] - place[i + 1:])
-                may = (grp[i + 1:] != grp[i]) & (top * (1 + least) >= least * (n[i] + n[i + 1:]) - 1e-6)
-                other = node[i + 1:][may]
-                yield np.minimum(other, node[i]), np.maximum(other, node[i])
+                yield may(i, np.arange(i + 1, len(node)))
+        else:
+            first = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1]]))
+            size = np.diff(np.concatenate([first, [len(grp)]]))
+            yield may(first[1:] - 1, first[1:])
+            big = int(size.argmax())
+            yield may(int(first[big]) + shingle % int(size[big]), first)
 
-        def flush(held):
+    def meet(batches):
+        def flush(shingle, held):
             own = [np.concatenate(x) for x in zip(*held)]
             if len(own[0]) > 1:
-                found = list(close(*own))
-                a, b = (np.concatenate(x) for x in zip(*found))
+                a, b = (np.concatenate(x) for x in zip(*close(shingle, *own)))
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["src", "dst"])
 
@@ -257,26 +285,52 @@ def regrouped(open_nodes: DataFrame, plain: DataFrame, words: int, least: float)
             for a, b in zip(cuts, cuts[1:]):
                 if a < b and key[a] != now:
                     if held:
-                        yield from flush(held)
+                        yield from flush(now, held)
                     now, held = int(key[a]), []
                 held.append([x[a:b] for x in rest])
         if held:
-            yield from flush(held)
+            yield from flush(now, held)
 
-    return rows.mapInArrow(meet, "src long, dst long").distinct()
+    ordered = rows.select("shingle", "node", "grp", "n", "place").repartition("shingle").sortWithinPartitions("shingle", "grp", "node")
+    return ordered.mapInArrow(meet, "src long, dst long").distinct()
 
 
-def alike(pairs: DataFrame, signs: DataFrame, plain: DataFrame, words: int, least: float, most: int) -> DataFrame:
-    """The pairs whose whole signatures differ by ``most`` bits at most and whose shingle sets have Jaccard ``least`` or more."""
-    def near(batches):
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array(np.bitwise_count(a ^ b).sum(axis=1) <= most))
+def regrouped(open_nodes: DataFrame, plain: DataFrame, words: int, least: float) -> DataFrame:
+    """(src, dst): pairs of different groups among ``open_nodes`` (node, grp) whose shingle sets may have Jaccard ``least``."""
+    _, rare = rare_shingles(open_nodes, plain, words, least)
+    return meetings(_across(rare, open_nodes.select("node", "grp")), least, True)
+
+
+def links_across(open_nodes: DataFrame, plain: DataFrame, words: int, least: float) -> DataFrame:
+    """(src, dst): links that connect all groups of ``open_nodes`` (node, grp) which any pair with Jaccard ``least`` connects.
+
+    While far more pairs meet than rows, and a round cuts them by a tenth, some pairs in proportion to the rows are judged and the groups
+    they link are made one, whose members need not meet any more; then all pairs that are left are judged."""
+    sets, rare = rare_shingles(open_nodes, plain, words, least)
+    groups, found, before = open_nodes.select("node", "grp"), [], None
+    while True:
+        rows = stage(_across(rare, groups))
+        pairs, n = _crossing(rows)
+        if not pairs:
+            break
+        every = pairs <= MEETINGS * n or before is not None and pairs > (1 - GAIN) * before
+        links, before = judged(meetings(rows, least, every), sets, least), pairs
+        found.append(links)
+        if every:
+            break
+        joined = links.join(groups.select(F.col("node").alias("src"), F.col("grp").alias("a")), "src").join(groups.select(F.col("node").alias("dst"), F.col("grp").alias("b")), "dst")
+        label = _labels(stage(joined.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()))
+        groups = stage(groups.join(label, F.col("grp") == label["node"], "left").select(groups["node"], F.coalesce("component", "grp").alias("grp")))
+    none = open_nodes.select(F.col("node").alias("src"), F.col("node").alias("dst")).limit(0)
+    return reduce(DataFrame.union, found, none)
+
+
+def _of(table: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    return table.select(F.col("node").alias(key), F.col(value).alias(name))
 
-    def sets(batches):
-        for batch, values in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(v, words).tobytes() for v in values], pa.binary())], ["node", "hashes"])
 
+def judged(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs whose shingle sets in ``sets`` (node, hashes) have Jaccard ``least`` or more."""
     def judge(batches):
         for batch in batches:
             keep = []
@@ -286,15 +340,26 @@ def alike(pairs: DataFrame, signs: DataFrame, plain: DataFrame, words: int, leas
                 keep.append(both >= least * (len(a) + len(b) - both) - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    def of(table, key, value, name):
-        return table.select(F.col("node").alias(key), F.col(value).alias(name))
+    joined = pairs.join(_of(sets, "src", "hashes", "a"), "src").join(_of(sets, "dst", "hashes", "b"), "dst").select("src", "dst", "a", "b")
+    return stage(joined.mapInArrow(judge, "src long, dst long"))
+
 
-    close = pairs.select("src", "dst").join(of(signs, "src", "sign", "a"), "src").join(of(signs, "dst", "sign", "b"), "dst").select("src", "dst", "a", "b")
+def alike(pairs: DataFrame, signs: DataFrame, plain: DataFrame, words: int, least: float, most: int) -> DataFrame:
+    """The pairs whose whole signatures differ by ``most`` bits at most and whose shingle sets have Jaccard ``least`` or more."""
+    def near(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array(np.bitwise_count(a ^ b).sum(axis=1) <= most))
+
+    def sets(batches):
+        for batch, values in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(v, words).tobytes() for v in values], pa.binary())], ["node", "hashes"])
+
+    close = pairs.select("src", "dst").join(_of(signs, "src", "sign", "a"), "src").join(_of(signs, "dst", "sign", "b"), "dst").select("src", "dst", "a", "b")
     close = stage(close.mapInArrow(near, "src long, dst long"))
     used = small_side(stage(close.select(F.col("src").alias("node")).union(close.select("dst")).distinct()))
     table = stage(plain.join(used, "node", "left_semi").dropDuplicates(["node"]).select("node", "text").mapInArrow(sets, "node long, hashes binary"))
-    joined = close.join(of(table, "src", "hashes", "a"), "src").join(of(table, "dst", "hashes", "b"), "dst").select("src", "dst", "a", "b")
-    return stage(joined.mapInArrow(judge, "src long, dst long"))
+    return judged(close, table, least)
 
 
 def _labels(edges: DataFrame) -> DataFrame:
@@ -334,7 +399,7 @@ def near_groups(docs: DataFrame, words: int = 5, least: float = 0.8, recall: flo
     apart = stage(ends.select(F.col("a").alias("grp")).union(ends.select("b")).distinct())
     if not apart.isEmpty():
         every = signs.select("node").join(label, "node", "left").select("node", F.coalesce("component", "node").alias("grp"))
-        more = alike(stage(regrouped(stage(every.join(apart, "grp", "left_semi").select("node", "grp")), plain, words, least)), signs, plain, words, least, 64 * wide)
+        more = links_across(stage(every.join(apart, "grp", "left_semi").select("node", "grp")), plain, words, least)
         label = _labels(edges.union(more))
     joined = signs.select("node", "first").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = joined.groupBy("component").agg(F.min("first").alias("component_id"))

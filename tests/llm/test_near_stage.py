@@ -143,3 +143,34 @@ def test_forest_connects_what_its_edges_connect():
             return [find(i) for i in range(n)]
 
         assert classes(kept) == classes(range(len(a))) and len(kept) == n - len(set(classes(kept)))
+
+
+def test_rounds_of_some_pairs_link_what_all_pairs_link(spark, monkeypatch):
+    """A crowd whose members lie on both sides of the bound, each a group of its own at first."""
+    rnd = random.Random(8)
+    base = [f"w{rnd.randrange(10 ** 9)}" for _ in range(200)]
+    texts = [edited(rnd, base, rnd.choice((1, 2, 3, 6, 9))) for _ in range(120)] + [[f"v{rnd.randrange(10 ** 9)}" for _ in range(50)] for _ in range(20)]
+    plain = near_copies.texts(make(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).select("doc_id", near_copies.F.xxhash64("text").alias("node"), "text").cache()
+    node = {r.doc_id: r.node for r in plain.collect()}
+    alone = plain.select("node", near_copies.F.col("node").alias("grp")).distinct()
+    asked = []
+    whole = near_copies.meetings
+    monkeypatch.setattr(near_copies, "meetings", lambda rows, least, every: asked.append(every) or whole(rows, least, every))
+    links = near_copies.links_across(alone, plain, 5, 0.8)
+    got = {r.node: r.component for r in near_copies._labels(links).collect()}
+    sets = [grams(" ".join(t)) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    classes = lambda of: {frozenset(d for d in range(len(texts)) if of(d) == c) for c in {of(d) for d in range(len(texts))}}
+    assert classes(lambda d: got.get(node[d], node[d])) == classes(find)
+    assert False in asked and len({find(d) for d in range(120)}) > 1
