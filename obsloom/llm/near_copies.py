@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graph import components
 from ..runtime import stage
-from .layout import slices, small_side, texts
+from .layout import batch_rows, slices, small_side, texts
 from .simhash_ball import SEED
 
 CHECK = 128  # leading bits of a signature, compared inside a cell; the blocks follow
@@ -19,6 +19,7 @@ SPREAD = 5.0  # standard deviations by which a pair at the bound may exceed its
 FALSE = 4096  # unlike candidates a text may meet in all blocks before its check bits are compared
 COUNTERS = 1 << 20  # shingle counts by hash, which order the shingles of a crowd from rare to common
 MEETINGS = 4  # pairs a row of a rare shingle may have before some of its pairs go first
+SET_ROWS = 1000  # rows with shingle sets that Python gets at a time
 GAIN = 0.1  # share of its pairs that a round of some must spare to be followed by another one
 NEAR, CHAIN = range(2)  # two texts that may be alike; two leaders of a large variant, which are not
 
@@ -216,8 +217,9 @@ def rare_shingles(open_nodes: DataFrame, plain: DataFrame, words: int, least: fl
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
 
     common = np.zeros(COUNTERS, np.int64)
-    for r in hashed.select("hashes").mapInArrow(tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toLocalIterator():
-        common[r["slot"]] = r["n"]
+    with batch_rows(plain.sparkSession, SET_ROWS):
+        for r in hashed.select("hashes").mapInArrow(tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toLocalIterator():
+            common[r["slot"]] = r["n"]
 
     def first_ones(batches):
         for batch in batches:
@@ -231,7 +233,8 @@ def rare_shingles(open_nodes: DataFrame, plain: DataFrame, words: int, least: fl
                 cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["shingle", "node", "n", "place"])
 
-    return hashed, stage(hashed.mapInArrow(first_ones, "shingle long, node long, n long, place long"))
+    with batch_rows(plain.sparkSession, SET_ROWS):
+        return hashed, stage(hashed.mapInArrow(first_ones, "shingle long, node long, n long, place long"))
 
 
 def _across(rare: DataFrame, groups: DataFrame) -> DataFrame:
@@ -341,7 +344,8 @@ def judged(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(_of(sets, "src", "hashes", "a"), "src").join(_of(sets, "dst", "hashes", "b"), "dst").select("src", "dst", "a", "b")
-    return stage(joined.mapInArrow(judge, "src long, dst long"))
+    with batch_rows(pairs.sparkSession, SET_ROWS):
+        return stage(joined.mapInArrow(judge, "src long, dst long"))
 
 
 def alike(pairs: DataFrame, signs: DataFrame, plain: DataFrame, words: int, least: float, most: int) -> DataFrame:
