@@ -1,14 +1,12 @@
-"""Clustering on Spark: ml estimators, Ward over weighted micro-clusters, modularity on edges."""
+"""Clustering on Spark: ml estimators, Ward over weighted micro-clusters, modularity of a partition."""
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture, KMeans, PowerIterationClustering
+from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..runtime import cut
-
 
 def _features(df: DataFrame, vec: str) -> DataFrame:
     return df.withColumn("_f", array_to_vector(F.col(vec)))
@@ -36,13 +34,6 @@ def gmm(df: DataFrame, vec: str, k: int, seed: int = 1, restarts: int = 5, out:
     return best.transform(_features(df, vec)).drop("_f", "probability").withColumn(out, F.col(out).cast("long")), best
 
 
-def spectral(neigh: DataFrame, id_col: str, k: int, max_iter: int = 30) -> DataFrame:
-    """Power iteration clustering of the symmetric neighbour graph (BIGINT ids)."""
-    e = neigh.select(F.least(id_col, "nbr").alias("src"), F.greatest(id_col, "nbr").alias("dst")).distinct().withColumn("w", F.lit(1.0))
-    pic = PowerIterationClustering(k=k, maxIter=max_iter, initMode="degree", srcCol="src", dstCol="dst", weightCol="w")
-    return pic.assignClusters(e).select(F.col("id").alias(id_col), F.col("cluster").cast("long").alias("cluster"))
-
-
 # ---- Ward ------------------------------------------------------------------------------------
 
 def micro_clusters(df: DataFrame, id_col: str, vec: str, budget: int = 2000, seed: int = 1):
@@ -154,23 +145,6 @@ def tree_topology(merges: pd.DataFrame, sizes: np.ndarray, k: int) -> pd.DataFra
 
 # ---- modularity -------------------------------------------------------------------------------
 
-def _move(edges: DataFrame, labels: DataFrame, degree: DataFrame, two_m: float, gamma: float, parity: int) -> DataFrame:
-    """One synchronous pass over half of the nodes: each goes to the neighbouring community of best gain."""
-    lab = labels.join(degree, "id")
-    total = lab.groupBy("c").agg(F.sum("k").alias("tot"))
-    into = (edges.where(F.col("src") != F.col("dst")).join(labels.select(F.col("id").alias("dst"), "c"), "dst")
-            .groupBy(F.col("src").alias("id"), "c").agg(F.sum("w").alias("w")))
-    stay = lab.select("id", "c").withColumn("w", F.lit(0.0))
-    cand = into.unionByName(stay).groupBy("id", "c").agg(F.sum("w").alias("w")).join(
-        lab.select("id", F.col("c").alias("own"), "k"), "id").join(total, "c")
-    rest = F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(F.lit(0.0))
-    cand = cand.withColumn("gain", F.col("w") - gamma * F.col("k") * rest / two_m)
-    best = cand.groupBy("id").agg(F.max_by("c", F.struct("gain", -F.col("c"))).alias("to"), F.max("gain").alias("g"),
-                                  F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("g0"), F.max("own").alias("own"))
-    turn = F.pmod(F.hash("id", F.lit(parity // 2)), F.lit(2)) == parity % 2
-    return best.select("id", F.when(turn & (F.col("g") > F.col("g0") + 1e-12), F.col("to")).otherwise(F.col("own")).alias("c"))
-
-
 def modularity(edges: DataFrame, labels: DataFrame, gamma: float = 1.0) -> float:
     """Quality of a partition of a symmetric edge table (each edge stored both ways)."""
     l1 = labels.select(F.col("id").alias("src"), F.col("c").alias("cs"))
@@ -181,39 +155,6 @@ def modularity(edges: DataFrame, labels: DataFrame, gamma: float = 1.0) -> float
     return r["i"] / r["m"] - gamma * r["tt"] / r["m"] ** 2
 
 
-def communities(edges: DataFrame, gamma: float = 1.0, rounds: int = 8, levels: int = 3) -> DataFrame:
-    """Local moving by joins, then contraction, until quality stops growing; keeps the best partition seen.
-
-    ``edges``: (src, dst, w) once per pair. Halves of the nodes move in turn so that two
-    neighbours do not swap for ever. Each round is checkpointed.
-    """
-    sym = cut(edges.select("src", "dst", "w").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")))
-    member = cut(sym.select(F.col("src").alias("id")).distinct().withColumn("c", F.col("id")))
-    graph, two_m = sym, float(sym.agg(F.sum("w")).first()[0])
-    best_q, best = modularity(sym, member, gamma), member
-    for _ in range(levels):
-        degree = cut(graph.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")))
-        lab = degree.select("id", F.col("id").alias("c"))
-        q_level, keep = modularity(graph, lab, gamma), lab
-        for r in range(rounds):
-            new = cut(_move(graph, lab, degree, two_m, gamma, r))
-            q = modularity(graph, new, gamma)
-            still = r % 2 == 1 and new.join(lab.withColumnRenamed("c", "c0"), "id").where("c != c0").isEmpty()
-            lab = new
-            if q > q_level:
-                q_level, keep = q, new
-            if still:
-                break
-        member = cut(member.join(keep.select(F.col("id").alias("c"), F.col("c").alias("c2")), "c").select("id", F.col("c2").alias("c")))
-        if q_level <= best_q + 1e-9:
-            break
-        best_q, best = q_level, member
-        graph = cut(graph.join(keep.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src")
-                    .join(keep.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst")
-                    .groupBy(F.col("cs").alias("src"), F.col("cd").alias("dst")).agg(F.sum("w").alias("w")))
-    return best.select("id", F.col("c").alias("community"))
-
-
 # ---- quality of a partition ---------------------------------------------------------------------
 
 def silhouette(df: DataFrame, vec: str, label: str) -> DataFrame:

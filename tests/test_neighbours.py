@@ -2,7 +2,7 @@
 import numpy as np
 import pytest
 
-from obsloom.operators import cluster, graph, neighbours
+from obsloom.operators import cluster, communities, graph, neighbours
 
 
 def brute(x, ids, k, side=None):
@@ -86,6 +86,6 @@ def test_ward_equals_plain_ward(spark):
 
 def test_modularity_finds_two_cliques(spark):
     e = [(a, b, 1.0) for s in (0, 6) for a in range(s, s + 6) for b in range(a + 1, s + 6)] + [(5, 6, 0.1)]
-    lab = cluster.communities(spark.createDataFrame(e, "src long, dst long, w double"), rounds=6, levels=2)
+    lab = communities.communities(spark.createDataFrame(e, "src long, dst long, w double"))
     got = lab.toPandas().groupby("community")["id"].apply(frozenset)
     assert set(got) == {frozenset(range(6)), frozenset(range(6, 12))}
