@@ -89,3 +89,41 @@ def test_modularity_finds_two_cliques(spark):
     lab = cluster.communities(spark.createDataFrame(e, "src long, dst long, w double"), rounds=6, levels=2)
     got = lab.toPandas().groupby("community")["id"].apply(frozenset)
     assert set(got) == {frozenset(range(6)), frozenset(range(6, 12))}
+
+
+def test_many_dimensions_in_blocks(spark):
+    """Blocks meet pairwise whatever their size: equal to all distances, copies and ties included, and no task holds more than a block a side."""
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(400, 24)), 1)
+    x[300:320] = x[:20]
+    points = spark.createDataFrame([(i, v.tolist(), False) for i, v in enumerate(x[:300])], "pid long, v array<double>, sd boolean")
+    blocks = neighbours._all_blocks(points, 300, 6, False, 40)
+    assert blocks.toPandas().groupby("pid").size().between(6, 6 * 8).all()
+    spread, least, rows = neighbours.ROWS_FOR_A_BLOCK, neighbours.LEAST_BLOCKS, neighbours.BLOCK_ROWS
+    neighbours.ROWS_FOR_A_BLOCK, neighbours.LEAST_BLOCKS, neighbours.BLOCK_ROWS = 50, 3, 100
+    try:
+        got = neighbours.knn(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"), "id", "v", 6).toPandas()
+    finally:
+        neighbours.ROWS_FOR_A_BLOCK, neighbours.LEAST_BLOCKS, neighbours.BLOCK_ROWS = spread, least, rows
+    d = np.sqrt(sum((x[:, None, j] - x[None, :, j]) ** 2 for j in range(24)))
+    np.fill_diagonal(d, np.inf)
+    got = got.sort_values(["id", "rn"])
+    for i in range(400):
+        want = np.lexsort((np.arange(400), d[i]))[:6]
+        mine = got[got["id"] == i]
+        assert list(mine["nbr"]) == list(want) and (mine["dist"].to_numpy() == d[i, want]).all()
+
+
+@pytest.mark.parametrize("scale, shift", [(1.0, 0.0), (1e-9, 1e6), (1e-170, 0.0), (1e12, 0.0)])
+def test_products_only_choose_whom_to_measure(scale, shift):
+    """Nearest pairs by matrix products equal those by differences for any scale, infinite and missing numbers included."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(700, 20)) * scale + shift
+    x[3, 1], x[4, 2] = np.inf, np.nan
+    ids = rng.permutation(700)
+    got = neighbours._nearest(x, ids, x, ids, 5).sort_values(["pid", "dist", "nid"])
+    with np.errstate(all="ignore"):
+        d = sum((x[:, None, j] - x[None, :, j]) ** 2 for j in range(20))
+    d[np.arange(700), np.arange(700)] = np.inf
+    want = {int(ids[i]): [int(ids[c]) for c in np.lexsort((ids, d[i]))[:5]] for i in range(700) if np.isfinite(d[i]).any()}
+    assert got.groupby("pid")["nid"].apply(list).to_dict() == want
