@@ -99,3 +99,26 @@ def test_rows_are_shuffled_once_whatever_the_repeats(spark):
     df, _ = table(spark)
     plans = [permute.null_cells(permute.with_places(df, "id", "label", "stratum"), "a", range(n), 1)._jdf.queryExecution().executedPlan().toString().count("Exchange") for n in (2, 900)]
     assert plans[0] == plans[1]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 50, 1003, 40000])
+def test_counts_of_look_up_walk(n):
+    """Counts by look-ups equal those of every place walked by itself, in strata of any size and with an empty code."""
+    rng = np.random.default_rng(n)
+    place, starts = rng.permutation(n).astype(np.int64), np.array([0, n // 3, n // 3, n])
+    ends = np.unique(np.append(rng.integers(1, n + 1, 3), n))
+    for rep in range(3):
+        keys = permute.round_keys(5, rep, "s")
+        label = np.searchsorted(ends, permute.permuted_place(place, np.full(n, n), np.repeat(np.array(keys)[:, None], n, 1)), side="right")
+        want = [np.bincount(label[a:b], minlength=len(ends)) for a, b in zip(starts[:-1], starts[1:])]
+        assert (permute._label_counts(place, n, keys, ends, starts) == np.stack(want)).all()
+
+
+def test_repeats_are_shared_out_over_blocks(spark, monkeypatch):
+    """Many small blocks give the cells of one; the real labels count as repeat -1, nulls as values of their own."""
+    df, _ = table(spark, 200)
+    placed = permute.with_places(df, "id", "label", "stratum")
+    cells = lambda: sorted(map(tuple, permute.null_cells(placed, "a", [-1, *range(5)], 4).collect()), key=str)
+    whole = cells()
+    monkeypatch.setattr(permute, "BLOCK", 16)
+    assert cells() == whole and sum(c[3] for c in whole) == 6 * df.count()
