@@ -96,3 +96,21 @@ def test_equal_rows_and_empty_repeats(spark):
     assert (out.n == 10).all() and (out.ari == 1).all()
     with pytest.raises(ValueError):
         B.resamples(same, "id", "v", "s", picked, 2, 1)
+
+
+def test_few_rows_are_many_parts(case):
+    """A small table is shared out too, as every row meets every repeat."""
+    assert len(case[4].rows.inputFiles()) > 20
+
+
+def test_sums_with_ties_and_mixed_numbers_of_clusters(case):
+    """Fits of several sizes in one pass; a row between equal centres counts once, for the first."""
+    _, _, x, w, data = case
+    c = np.array([[0.5, -1.0], [2.0, 0.0]])
+    fits = {(r, k): B.centre_scores(np.vstack([c] * k)[:k]) for r in range(REPEATS) for k in (1, 2, 4)}
+    got = B._sums(data, fits, True)
+    for (r, k), sums in got.items():
+        y = (x - data.mean[r]) @ data.load[r]
+        lab = ((y[:, None] - np.vstack([c] * k)[:k]) ** 2).sum(2).round(9).argmin(1)
+        assert sums.shape == (k + 1, 6) and np.allclose(sums[:-1, 0], np.bincount(lab, weights=w[r], minlength=k))
+        assert np.allclose(sums[:-1, 1:3], [w[r][lab == i] @ y[lab == i] for i in range(k)])
