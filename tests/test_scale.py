@@ -1,7 +1,7 @@
 """Work per task follows the counted rows; every result is held against a direct computation."""
 import numpy as np
 
-from obsloom.operators import transforms as T
+from obsloom.operators import order, transforms as T, validate as V
 
 
 def test_power_fit_over_many_blocks(spark, monkeypatch):
@@ -18,3 +18,16 @@ def test_power_fit_over_many_blocks(spark, monkeypatch):
             return -len(v) / 2 * np.log(y.var()) + (lam - 1) * (np.sign(v) * np.log1p(np.abs(v))).sum()
         assert abs(got.log_lik[f] - likelihood(got.lam[f])) < 1e-8
         assert got.log_lik[f] >= max(likelihood(v) for v in np.arange(-5, 5, .01)) - 1e-3
+
+
+def test_dealt_places_carry_no_vectors(spark, monkeypatch):
+    seen, plain = [], order.hash_rank
+    monkeypatch.setattr(order, "hash_rank", lambda df, *a, **k: seen.append(df.columns) or plain(df, *a, **k))
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 2, 200)
+    x = rng.normal(size=(200, 3)) + np.outer(y * 4, [1, 0, 0])
+    held = spark.createDataFrame([("s", i, str(c), v.tolist()) for i, (c, v) in enumerate(zip(y, x))], "split string, id long, class string, pc array<double>")
+    model = V.LDA(["0", "1"], np.array([[-4.0, 0, 0], [4.0, 0, 0]]), np.array([8.0, -8.0]))
+    d = V.permutation_drops(held, "id", "pc", "class", {"s": model}, 3, range(4), 1).toPandas().set_index("feature")["drop"]
+    assert seen and all(not {"x", "class"} & set(c) for c in seen)
+    assert d[0] > 0.3 and d[1] == d[2] == 0
