@@ -5,7 +5,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..runtime import fresh_path
+from ..runtime import fresh_path, spread
 from ..sources import files as S
 from .bindings import SQL_COUNTS, counts, table
 from .registry import query
@@ -63,9 +63,12 @@ SELECT 'found' AS part, obs_id, gene, value FROM counts SEMI JOIN ids USING (obs
 UNION ALL SELECT 'missing', obs_id, NULL, NULL FROM ids ANTI JOIN counts USING (obs_id)""", dbl="value", d=2)
 def _(spark, sf):
     c = counts(spark, sf)
-    ids = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("obs_id"))
+    orders = table(spark, sf, "orders")
+    # merged with the triplets where they are: Spark would broadcast the ids, whose table in memory grows with the orders
+    ids = spread(orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("obs_id")), orders.count(), "obs_id").hint("merge")
     found = S.select_counts(c, ids).select(F.lit("found").alias("part"), "obs_id", "gene", "value")
-    lost = S.missing_ids(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("obs_id")), ids)
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("obs_id"))
+    lost = S.missing_ids(spread(lines, lines.count(), "obs_id").hint("merge"), ids)
     return found.unionByName(lost.withColumn("part", F.lit("missing")), allowMissingColumns=True)
 
 

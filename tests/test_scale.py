@@ -1,7 +1,43 @@
 """Work per task follows the counted rows; every result is held against a direct computation."""
 import numpy as np
+import pandas as pd
+import pytest
 
+from obsloom import runtime
 from obsloom.operators import order, transforms as T, validate as V
+from obsloom.plans import bindings, catalog, registry  # noqa: F401  catalog registers the queries
+
+
+@pytest.fixture
+def few_rows(monkeypatch):
+    monkeypatch.setattr(runtime, "ROWS_PER_TASK", 100)
+
+
+@pytest.fixture
+def sparse_tables(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    part = pd.DataFrame({"p_partkey": range(40), "p_brand": [f"B{i % 4}" for i in range(40)], "p_type": [f"T{i % 3}" for i in range(40)]})
+    line = pd.DataFrame({"l_orderkey": rng.integers(0, 500, 2000), "l_partkey": rng.integers(0, 40, 2000), "l_quantity": rng.integers(1, 9, 2000).astype(float)})
+    orders = pd.DataFrame({"o_orderkey": range(520), "o_orderstatus": rng.choice(list("FOP"), 520), "o_orderpriority": rng.choice(bindings.PRIORITIES, 520)})
+    for name, t in (("part", part), ("lineitem", line), ("orders", orders)):
+        spark.createDataFrame(t).write.parquet(str(tmp_path / f"{name}.parquet"))
+    line = line.merge(part, left_on="l_partkey", right_on="p_partkey")
+    c = line.assign(gene=line.p_brand + "_" + line.p_type).groupby(["l_orderkey", "gene"], as_index=False).l_quantity.sum()
+    return str(tmp_path), c, orders
+
+
+def test_sparse_counts_follow_the_rows_and_broadcast_no_ids(spark, few_rows, sparse_tables):
+    path, c, orders = sparse_tables
+    counts = bindings.counts(spark, path)
+    assert counts.rdd.getNumPartitions() >= 20
+    got = counts.toPandas().sort_values(["obs_id", "gene"])
+    assert got.to_numpy().tolist() == c.sort_values(["l_orderkey", "gene"]).to_numpy().tolist()
+    scan = registry.QUERIES["scan_sparse_counts"](spark, path)
+    plan = scan._jdf.queryExecution().sparkPlan().toString()
+    assert "LeftSemi" in plan and "LeftAnti" in plan and not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and ("LeftSemi" in x or "LeftAnti" in x)]
+    got, want = scan.toPandas(), set(orders[orders.o_orderstatus == "F"].o_orderkey)
+    assert len(got[got.part == "found"]) == c.l_orderkey.isin(want).sum()
+    assert set(got[got.part == "missing"].obs_id) == want - set(c.l_orderkey)
 
 
 def test_power_fit_over_many_blocks(spark, monkeypatch):
