@@ -12,8 +12,12 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from ..runtime import spread, stage
 from . import order
 
+# A value of so many rows is frequent, or of more where that makes too many such values.
+FREQUENT, MOST_FREQUENT = 1000, 100_000
+
 _MATS = "k int, bucket int, n array<double>, mean array<double>, cross array<double>, sq array<double>"
 
 
@@ -89,10 +93,23 @@ def full_matrix(pairs: DataFrame, features, r="r") -> DataFrame:
 
 
 def ranked_wide(df: DataFrame, key: str, features) -> DataFrame:
-    """Each feature replaced by its tie-averaged rank (NULL stays NULL)."""
+    """Each feature replaced by its tie-averaged rank (NULL stays NULL); rows that share a key give its highest ranks.
+
+    Values that many rows share get their rank from a broadcast table, the others by a join, so no task holds a frequent value."""
     long = df.select(key, *features).unpivot([key], list(features), "feature", "value")
-    ranked = order.rank_rows(long, ["feature"], "value")
-    return ranked.groupBy(key).pivot("feature", list(features)).agg(F.first("rank"))
+    fold = F.col("value") + F.lit(0.0) if dict(long.dtypes)["value"] in ("double", "float") else F.col("value")
+    # the value as text, as Spark shuffles doubles once more where they are already together; +0.0 folds -0.0
+    long, rows = long.withColumn("_v", fold.cast("string")), df.count() * len(features)
+    on, present = ["feature", "_v"], long.where("value IS NOT NULL")
+    counts = stage(spread(present, rows, *on).groupBy(*on).agg(F.max("value").alias("value"), F.count("*").alias("c")))
+    ranks = order.cumulative_counts(counts, ["feature"], "value")
+    ranks = stage(ranks.select(*on, "c", (F.col("cum") - (F.col("c") - 1) / 2).alias("rank")))
+    often = F.col("c") >= max(FREQUENT, rows // MOST_FREQUENT)
+    heavy, light = F.broadcast(ranks.where(often).drop("c")), ranks.where(~often).drop("c")
+    rare = spread(present.join(heavy.select(*on), on, "left_anti"), rows, *on).join(light, on)
+    lost = long.where("value IS NULL").withColumn("rank", F.lit(None).cast("double"))
+    ranked = present.join(heavy, on).unionByName(rare).unionByName(lost).select(key, "feature", "rank")
+    return spread(ranked, rows, key).groupBy(key).agg(*[F.max(F.when(F.col("feature") == f, F.col("rank"))).alias(f) for f in features])
 
 
 def spearman_pairs(df: DataFrame, key: str, features) -> DataFrame:

@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 
 from obsloom import runtime
-from obsloom.operators import order, transforms as T, validate as V
+from obsloom.operators import assoc, order, transforms as T, validate as V
 from obsloom.plans import bindings, catalog, registry  # noqa: F401  catalog registers the queries
 
 
@@ -13,6 +13,18 @@ def few_rows(monkeypatch):
     monkeypatch.setattr(runtime, "ROWS_PER_TASK", 100)
 
 
+def test_ranks_of_frequent_and_rare_values_are_spread(spark, few_rows):
+    rng = np.random.default_rng(3)
+    p = pd.DataFrame({"id": range(3000), "a": rng.choice([0.0, -0.0, 1.0, 2.5], 3000), "b": rng.normal(size=3000).round(2), "c": rng.normal(size=3000)})
+    p.loc[::7, "b"] = None
+    p.loc[5, ["a", "b", "c"]] = None
+    wide = assoc.ranked_wide(spark.createDataFrame(p).replace(float("nan"), None), "id", ["a", "b", "c"])
+    assert wide.rdd.getNumPartitions() >= 90
+    got = wide.toPandas().sort_values("id").reset_index(drop=True)
+    for f in "abc":
+        assert got[f].astype(float).equals(p[f].rank()), f
+
+
 @pytest.fixture
 def sparse_tables(spark, tmp_path):
     rng = np.random.default_rng(4)
