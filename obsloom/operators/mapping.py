@@ -42,7 +42,7 @@ def centroid_correlation(query: DataFrame, cents: DataFrame, n_genes: int, value
     q = query.groupBy("obs_id").agg(F.sum(value).alias("sx"), F.sum(F.col(value) * F.col(value)).alias("sxx"))
     c = cents.groupBy("class").agg(F.sum("mean").alias("sy"), F.sum(F.col("mean") * F.col("mean")).alias("syy"))
     xy = query.join(cents, "gene").groupBy("obs_id", "class").agg(F.sum(F.col(value) * F.col("mean")).alias("sxy"))
-    j = xy.join(q, "obs_id").join(c, "class")
+    j = xy.join(q.hint("merge"), "obs_id").join(F.broadcast(c), "class")
     r = F.try_divide(g * F.col("sxy") - F.col("sx") * F.col("sy"),
                      F.sqrt((g * F.col("sxx") - F.col("sx") * F.col("sx")) * (g * F.col("syy") - F.col("sy") * F.col("sy"))))
     return j.select("obs_id", "class", F.coalesce(r, F.lit(0.0)).alias("r"))

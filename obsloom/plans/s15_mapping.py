@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins as J, linalg as L, mapping as P, neighbours as N, order
 from ..operators.aggs import shares
-from ..runtime import stage
+from ..runtime import spread, stage
 from .bindings import PRIORITIES, table, vectors
 from .registry import query
 from .s08_transforms import LOGN_SQL, logn
@@ -23,11 +23,16 @@ REF_SQL = f"""{LOGN_SQL}, cls AS (SELECT o_orderkey AS obs_id, o_orderpriority A
 
 def split_sets(spark, sf):
     ln = stage(logn(spark, sf))
+    n = ln.count()
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("obs_id"), F.col("o_orderpriority").alias("class"), F.col("o_orderstatus").alias("st"))
-    o = o.join(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("obs_id")), "obs_id", "left_semi")
+    lines = spread(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("obs_id")), n, "obs_id")
+    # sides that grow with the table are merged; Spark would broadcast them while their files are small
+    o = stage(spread(o, n, "obs_id").join(lines.hint("merge"), "obs_id", "left_semi"))
     ref = o.where("st <> 'P'").select("obs_id", "class")
     queries = o.where("st = 'P'").select("obs_id", "class")
-    return stage(P.centroids(ln, ref)), ln.join(queries.select("obs_id"), "obs_id", "left_semi"), queries
+    # staged, as Spark takes a repartition after a join on the same key away and sizes the join's shuffle itself
+    q = spread(stage(ln.join(queries.select("obs_id").hint("merge"), "obs_id", "left_semi")), n, "obs_id")
+    return stage(P.centroids(spread(ln, n, "obs_id"), ref.hint("merge"))), q, queries.hint("merge")
 
 
 def mapped(spark, sf):

@@ -5,7 +5,7 @@ import pytest
 
 from obsloom import runtime
 from obsloom.operators import assoc, order, transforms as T, validate as V
-from obsloom.plans import bindings, catalog, registry  # noqa: F401  catalog registers the queries
+from obsloom.plans import bindings, catalog, registry, s15_mapping  # noqa: F401  catalog registers the queries
 
 
 @pytest.fixture
@@ -52,6 +52,20 @@ def test_sparse_counts_follow_the_rows_and_broadcast_no_ids(spark, few_rows, spa
     assert set(got[got.part == "missing"].obs_id) == want - set(c.l_orderkey)
 
 
+def test_centroid_correlation_stays_where_the_observations_are(spark, few_rows, sparse_tables):
+    path, c, orders = sparse_tables
+    mapped = s15_mapping.mapped(spark, path)
+    assert mapped.rdd.getNumPartitions() >= 15
+    c = c.assign(logn=np.log1p(c.l_quantity / c.groupby("l_orderkey").l_quantity.transform("sum") * 10000))
+    x = c.pivot(index="l_orderkey", columns="gene", values="logn").fillna(0).join(orders.set_index("o_orderkey"))
+    genes = [g for g in x.columns if not g.startswith("o_")]
+    cen = x[x.o_orderstatus != "P"].groupby("o_orderpriority")[genes].mean()
+    best = {i: max(np.corrcoef(v, m)[0, 1] for m in cen.to_numpy()) for i, v in zip(x[x.o_orderstatus == "P"].index, x.loc[x.o_orderstatus == "P", genes].to_numpy())}
+    got = mapped.toPandas().set_index("obs_id").r_best
+    assert set(got.index) == set(best)
+    assert max(abs(got[i] - r) for i, r in best.items()) < 1e-9
+
+
 def test_power_fit_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(T, "BLOCK", 16)
     rng = np.random.default_rng(8)
