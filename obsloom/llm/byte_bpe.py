@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
 import struct
 
 import numpy as np
@@ -142,19 +143,25 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(work, "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded): ``encode`` and ``decode`` in one pass, so that a task needs one worker with one word table."""
+def round_trip(docs: DataFrame, path: str, pattern: str, keep: bool = True) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded): ``encode`` and ``decode`` in one pass, so that a task needs one worker with one word table.
+
+    ``keep``: the worker holds model and table for its next task. Without it a task builds them anew and leaves nothing behind, for
+    jobs whose workers go on to other work."""
     def work(batches):
-        own = codec(path, pattern)
+        own = codec(path, pattern) if keep else Codec(path, pattern)
         for batch, values in slices(batches):
             ids = own.encode(values)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()),
                                               pa.array([own.decode(x) for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
+        if not keep:
+            del own
+            gc.collect()  # the tables and the codec refer to each other
 
     return texts(docs).mapInArrow(work, "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of the round trip."""
-    return round_trip(docs, path, pattern).select(
+def digests(docs: DataFrame, path: str, pattern: str, keep: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of the round trip; ``keep`` as there."""
+    return round_trip(docs, path, pattern, keep).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

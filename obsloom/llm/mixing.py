@@ -23,8 +23,11 @@ def topic_of(text: Column, rules=TOPICS, other: str = "prose") -> Column:
 
 
 def tokens_of(text: Column) -> Column:
-    """Size of a text in tokens: its words, at least one so that an empty text can be sampled too."""
-    return F.greatest(F.size(F.split(F.trim(text), " ")), F.lit(1)).cast("long")
+    """Size of a text in tokens: its words, at least one so that an empty text can be sampled too.
+
+    Spaces are counted; a split would make an object of every word."""
+    inner = F.trim(text)
+    return F.greatest(F.octet_length(inner) - F.octet_length(F.replace(inner, F.lit(" "), F.lit(""))) + 1, F.lit(1)).cast("long")
 
 
 def rake(cells: np.ndarray, axes: list[np.ndarray], targets: list[np.ndarray], rounds: int = 500, tol: float = 1e-10) -> np.ndarray:
