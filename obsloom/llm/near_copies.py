@@ -18,6 +18,9 @@ SMALL = 128  # members of a variant up to which all its pairs are compared at on
 SPREAD = 5.0  # standard deviations by which a pair at the bound may exceed its expected Hamming distance
 FALSE = 4096  # unlike candidates a text may meet in all blocks before its check bits are compared
 COUNTERS = 1 << 20  # shingle counts by hash, which order the shingles of a crowd from rare to common
+PARITY = 512  # bits of a set's parity map, which bounds from below by how many shingles two sets differ
+PARITY_ROWS = 500_000  # parity maps that go to every executor, about 50 MB there; more are joined by a shuffle
+AT_ONCE = 1 << 16  # pairs, and rows of whole shingles, that a task compares at a time
 MEETINGS = 4  # pairs a row of a rare shingle may have before some of its pairs go first
 GAIN = 0.1  # share of its pairs that a round of some must spare to be followed by another one
 NEAR, CHAIN = range(2)  # two texts that may be alike; two leaders of a large variant, which are not
@@ -193,8 +196,15 @@ def candidates(signs: DataFrame, n: int, bits: int, blocks: int, most: int, cell
     return found.groupBy("src", "dst").agg(F.max("kind").alias("kind"))
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """``PARITY`` bits: whether an odd number of the set's shingles falls on each. Two maps differ in at most as many bits as their sets in shingles."""
+    odd = np.bincount((hashes >> np.uint64(32)).astype(np.int64) & (PARITY - 1), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
 def rare_shingles(open_nodes: DataFrame, plain: DataFrame, words: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """(node, hashes), the shingle sets of ``open_nodes`` (node, ...), and (shingle, node, n, place), the first shingles of each set.
+    """(node, hashes, bits), the shingle sets of ``open_nodes`` (node, ...) and their parity maps, and (shingle, node, n, place), the first
+    shingles of each set.
 
     Sets with Jaccard ``least`` share a shingle among their first ones in any order of all shingles, as many as a set can lose plus
     one. Common shingles come last (by counters shared by hash, so the order is the same everywhere): what a crowd has in common, a
@@ -203,9 +213,11 @@ def rare_shingles(open_nodes: DataFrame, plain: DataFrame, words: int, least: fl
 
     def sets(batches):
         for batch, values in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(v, words).tobytes() for v in values], pa.binary())], ["node", "hashes"])
+            made = [shingles(v, words) for v in values]
+            each = [pa.array([x.tobytes() for x in part], pa.binary()) for part in (made, map(parity, made))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *each], ["node", "hashes", "bits"])
 
-    hashed = stage(held.mapInArrow(sets, "node long, hashes binary"))
+    hashed = stage(held.mapInArrow(sets, "node long, hashes binary, bits binary"))
 
     def tally(batches):
         total = np.zeros(COUNTERS, np.int64)
@@ -231,85 +243,152 @@ def rare_shingles(open_nodes: DataFrame, plain: DataFrame, words: int, least: fl
                 cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["shingle", "node", "n", "place"])
 
-    return hashed, stage(hashed.mapInArrow(first_ones, "shingle long, node long, n long, place long"))
+    return hashed, stage(hashed.select("node", "hashes").mapInArrow(first_ones, "shingle long, node long, n long, place long"))
+
+
+def _whole(batches, key: int = 0):
+    """Lists of columns that hold whole shingles, ``AT_ONCE`` rows or more at a time, of batches sorted by shingle; binary ones as 64-bit words."""
+    def columns(batch):
+        return [np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), -1) if pa.types.is_binary(c.type) else c.to_numpy() for c in batch.columns]
+
+    held, rows = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = columns(batch)
+        held.append(own)
+        rows += batch.num_rows
+        if rows >= AT_ONCE and own[key][0] != own[key][-1]:
+            cut = int(np.searchsorted(own[key], own[key][-1]))
+            yield [np.concatenate([*x[:-1], x[-1][:cut]]) for x in zip(*held)]
+            held, rows = [[c[cut:] for c in own]], len(own[0]) - cut
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _shingle_runs(shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+    return start, np.diff(np.concatenate([start, [len(shingle)]]))
+
+
+def _may(i: np.ndarray, j: np.ndarray, grp, n, place, bits, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs of rows (i, j) of different groups that by sizes, places and parity maps may have Jaccard ``least``; none that has it is lost."""
+    both = n[i] + n[j]
+    top = np.minimum(n[i] - place[i], n[j] - place[j])
+    ok = (grp[i] != grp[j]) & (top * (1 + least) >= least * both - 1e-6)
+    i, j, both = i[ok], j[ok], both[ok]
+    ok = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1) <= both * (1 - least) / (1 + least) + 1e-6
+    return i[ok], j[ok]
+
+
+def _possible(shingle, grp, n, place, bits, least: float):
+    """(i, j), i < j: pairs of rows of one shingle that ``_may`` lets pass, for whole shingles; at most ``AT_ONCE`` pairs are looked at together."""
+    start, size = _shingle_runs(shingle)
+    small = size <= SMALL
+    for d in range(1, int(size[small].max(initial=1))):
+        far = size[small] > d
+        first, reps = start[small][far], size[small][far] - d
+        i = np.repeat(first, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+        for at in range(0, len(i), AT_ONCE):
+            yield _may(i[at:at + AT_ONCE], i[at:at + AT_ONCE] + d, grp, n, place, bits, least)
+    for s, m in zip(start[~small].tolist(), size[~small].tolist()):
+        for i in range(s, s + m - 1):
+            for at in range(i + 1, s + m, AT_ONCE):
+                j = np.arange(at, min(at + AT_ONCE, s + m))
+                yield _may(np.full(len(j), i), j, grp, n, place, bits, least)
+
 
+def _by_shingle(rows: DataFrame, *names: str) -> DataFrame:
+    return rows.select("shingle", "node", "grp", *names).repartition("shingle").sortWithinPartitions("shingle", "grp", "node")
 
-def _across(rare: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows of ``rare`` with the group of their node, but for shingles that one group alone has."""
-    rows = rare.join(small_side(groups), "node")
-    shared = rows.groupBy("shingle").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("shingle")
-    return rows.join(shared, "shingle", "left_semi")
+
+def _across(rare: DataFrame, groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Rows of ``rare`` with the group and the parity map of their node and ``pairs``, how many rows after them in their shingle may be alike and
+    are of another group; rows without such a pair are left out. A shingle is brought together once for it."""
+    def shared(batches):
+        for shingle, *rest in _whole(batches):
+            start, size = _shingle_runs(shingle)
+            grp = rest[1]
+            keep = np.repeat(grp[start] != grp[start + size - 1], size)  # groups ascend within a shingle
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (shingle, *rest)], ["shingle", "node", "grp", "n", "place"])
+
+    def tally(batches):
+        for shingle, node, grp, n, place, bits in _whole(batches):
+            pairs, met = np.zeros(len(node), np.int64), np.zeros(len(node), bool)
+            for i, j in _possible(shingle, grp, n, place, bits, least):
+                np.add.at(pairs, i, 1)
+                met[i] = met[j] = True
+            if met.any():
+                each = [c[met] for c in (shingle, node, grp, n, place, pairs)]
+                raw = pa.array([x.tobytes() for x in bits[met]], pa.binary())
+                yield pa.RecordBatch.from_arrays([*map(pa.array, each), raw], ["shingle", "node", "grp", "n", "place", "pairs", "bits"])
+
+    maps, names = sets.select("node", "bits"), ("n", "place")
+    rows = _by_shingle(rare.join(small_side(groups), "node"), *names).mapInArrow(shared, "shingle long, node long, grp long, n long, place long")
+    if maps.count() <= PARITY_ROWS:  # such a join leaves the rows in their places
+        rows = rows.join(F.broadcast(maps), "node").select("shingle", "node", "grp", *names, "bits")
+    else:
+        rows = _by_shingle(rows.join(maps.hint("shuffle_hash"), "node"), *names, "bits")
+    return rows.mapInArrow(tally, "shingle long, node long, grp long, n long, place long, pairs long, bits binary")
 
 
 def _crossing(rows: DataFrame) -> tuple[int, int]:
-    """How many pairs of different groups meet in a shingle, all shingles together, and how many rows they come from."""
-    cells = rows.groupBy("shingle", "grp").agg(F.count("*").alias("m")).groupBy("shingle").agg(F.sum("m").alias("t"), F.sum(F.col("m") * F.col("m")).alias("own"))
-    r = cells.agg(F.sum((F.col("t") * F.col("t") - F.col("own")) / 2).alias("pairs"), F.sum("t").alias("n")).first()
-    return int(r["pairs"] or 0), int(r["n"] or 0)
+    """How many pairs of different groups may be alike, all shingles together, and how many rows they come from."""
+    r = rows.agg(F.sum("pairs").alias("pairs"), F.count("*").alias("n")).first()
+    return int(r["pairs"] or 0), int(r["n"])
 
 
 def meetings(rows: DataFrame, least: float, every: bool) -> DataFrame:
-    """(src, dst): pairs of different groups that share a shingle and by sizes and places may have Jaccard ``least``.
+    """(src, dst): pairs of different groups that share a shingle and by sizes, places and parity maps may have Jaccard ``least``.
 
     All of them, or in proportion to the rows: each group's first member with the group before it and with a member of the largest
     group of the shingle, another one from shingle to shingle."""
-    def close(shingle, node, grp, n, place):
-        def may(i, j):
-            top = np.minimum(n[i] - place[i], n[j] - place[j])
-            ok = (grp[i] != grp[j]) & (top * (1 + least) >= least * (n[i] + n[j]) - 1e-6)
-            i, j = np.broadcast_to(i, ok.shape)[ok], j[ok]
-            return np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-
-        if every:
-            for i in range(len(node) - 1):
-                yield may(i, np.arange(i + 1, len(node)))
-        else:
+    def some(shingle, *own):
+        for s, m in zip(*(x.tolist() for x in _shingle_runs(shingle))):
+            grp = own[0][s:s + m]
             first = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1]]))
-            size = np.diff(np.concatenate([first, [len(grp)]]))
-            yield may(first[1:] - 1, first[1:])
+            size = np.diff(np.concatenate([first, [m]]))
             big = int(size.argmax())
-            yield may(int(first[big]) + shingle % int(size[big]), first)
+            mid = int(first[big]) + int(shingle[s]) % int(size[big])
+            yield _may(s + np.concatenate([first[1:] - 1, np.full(len(first), mid)]), s + np.concatenate([first[1:], first]), *own, least)
 
-    def meet(batches):
-        def flush(shingle, held):
-            own = [np.concatenate(x) for x in zip(*held)]
-            if len(own[0]) > 1:
-                a, b = (np.concatenate(x) for x in zip(*close(shingle, *own)))
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["src", "dst"])
+    def batch(node, found):
+        i, j = (node[np.concatenate(x)] for x in zip(*found))
+        pair = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["src", "dst"])
 
-        now, held = None, []
-        for batch in batches:
-            key, *rest = (c.to_numpy() for c in batch.columns)
-            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a < b and key[a] != now:
-                    if held:
-                        yield from flush(now, held)
-                    now, held = int(key[a]), []
-                held.append([x[a:b] for x in rest])
-        if held:
-            yield from flush(now, held)
+    def meet(batches):
+        for shingle, node, *own in _whole(batches):
+            found, n = [], 0
+            for pair in _possible(shingle, *own, least) if every else some(shingle, *own):
+                found.append(pair)
+                n += len(pair[0])
+                if n >= 8 * AT_ONCE:
+                    yield batch(node, found)
+                    found, n = [], 0
+            if n:
+                yield batch(node, found)
 
-    ordered = rows.select("shingle", "node", "grp", "n", "place").repartition("shingle").sortWithinPartitions("shingle", "grp", "node")
-    return ordered.mapInArrow(meet, "src long, dst long").distinct()
+    return _by_shingle(rows, "n", "place", "bits").mapInArrow(meet, "src long, dst long").distinct()
 
 
 def regrouped(open_nodes: DataFrame, plain: DataFrame, words: int, least: float) -> DataFrame:
-    """(src, dst): pairs of different groups among ``open_nodes`` (node, grp) whose shingle sets may have Jaccard ``least``."""
-    _, rare = rare_shingles(open_nodes, plain, words, least)
-    return meetings(_across(rare, open_nodes.select("node", "grp")), least, True)
+    """(src, dst): pairs of different groups among ``open_nodes`` (node, grp) whose shingle sets by sizes and places alone may have Jaccard ``least``."""
+    sets, rare = rare_shingles(open_nodes, plain, words, least)
+    blank = sets.select("node", F.lit(bytes(PARITY // 8)).alias("bits"))
+    return meetings(_across(rare, open_nodes.select("node", "grp"), blank, least), least, True)
 
 
 def links_across(open_nodes: DataFrame, plain: DataFrame, words: int, least: float) -> DataFrame:
     """(src, dst): links that connect all groups of ``open_nodes`` (node, grp) which any pair with Jaccard ``least`` connects.
 
-    While far more pairs meet than rows, and a round cuts them by a tenth, some pairs in proportion to the rows are judged and the groups
-    they link are made one, whose members need not meet any more; then all pairs that are left are judged."""
+    While far more pairs may be alike than rows meet, and a round cuts them by a tenth, some pairs in proportion to the rows are judged and the
+    groups they link are made one, whose members need not meet any more; then all pairs that are left are judged."""
     sets, rare = rare_shingles(open_nodes, plain, words, least)
-    groups, found, before = open_nodes.select("node", "grp"), [], None
+    groups, found, before, rows = open_nodes.select("node", "grp"), [], None, rare
     while True:
-        rows = stage(_across(rare, groups))
+        rows = stage(_across(rows.select(*rare.columns), groups, sets, least))
         pairs, n = _crossing(rows)
         if not pairs:
             break

@@ -174,3 +174,40 @@ def test_rounds_of_some_pairs_link_what_all_pairs_link(spark, monkeypatch):
     classes = lambda of: {frozenset(d for d in range(len(texts)) if of(d) == c) for c in {of(d) for d in range(len(texts))}}
     assert classes(lambda d: got.get(node[d], node[d])) == classes(find)
     assert False in asked and len({find(d) for d in range(120)}) > 1
+
+
+def test_crowds_around_the_bound_judge_few_and_lose_none(spark, monkeypatch):
+    """Copies whose Jaccard is about 0.73, some over 0.8: of the pairs that meet few are judged, among them all that connect."""
+    rnd = random.Random(12)
+    base = [f"w{rnd.randrange(10 ** 9)}" for _ in range(150)]
+    texts = [edited(rnd, base, 2 + i % 3 if i % 10 else 1) for i in range(150)] + [[f"v{rnd.randrange(10 ** 9)}" for _ in range(60)] for _ in range(20)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    plain = near_copies.texts(make(spark, rows)).select("doc_id", near_copies.F.xxhash64("text").alias("node"), "text").cache()
+    alone = plain.select("node", near_copies.F.col("node").alias("grp")).distinct()
+    whole, counts = near_copies.judged, []
+    monkeypatch.setattr(near_copies, "judged", lambda pairs, *a: counts.append(pairs.count()) or whole(pairs, *a))
+    label = near_copies._labels(near_copies.links_across(alone, plain, 5, 0.8))
+    lowest = {}
+    own = {r.node: r.component for r in label.collect()}
+    for r in plain.orderBy("doc_id").collect():
+        lowest.setdefault(own.get(r.node, r.node), r.doc_id)
+    assert set(lowest.values()) == kept_by_pairs(rows) and len(lowest) < len(rows)
+    assert sum(counts) < 150 * 149 // 2 // 4
+
+
+def test_parity_maps_never_exceed_the_difference():
+    rng = np.random.default_rng(9)
+    for n, own in ((0, 0), (1, 1), (30, 3), (200, 40), (5000, 900)):
+        common, a, b = (rng.integers(0, 1 << 63, k).astype(np.uint64) for k in (n, own, own // 2))
+        x, y = (near_copies.parity(np.concatenate([common, v])) for v in (a, b))
+        assert len(x) * 8 == near_copies.PARITY and np.bitwise_count(x ^ y).sum() <= own + own // 2
+
+
+def test_shingles_stay_whole_however_batches_cut_them(monkeypatch):
+    monkeypatch.setattr(near_copies, "AT_ONCE", 7)
+    shingle = np.repeat(np.arange(12), [1, 2, 9, 1, 1, 30, 2, 2, 1, 5, 1, 3])
+    batches = [near_copies.pa.RecordBatch.from_arrays([near_copies.pa.array(shingle[a:a + 4]), near_copies.pa.array([bytes(8)] * len(shingle[a:a + 4]))], ["shingle", "bits"])
+               for a in range(0, len(shingle), 4)]
+    got = list(near_copies._whole(iter(batches)))
+    assert np.concatenate([g[0] for g in got]).tolist() == shingle.tolist() and len(got) > 2
+    assert all(a[0][-1] != b[0][0] for a, b in zip(got, got[1:])) and all(g[1].shape == (len(g[0]), 1) for g in got)
