@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import functools
+import operator
 import os
 import struct
 import uuid
@@ -126,9 +127,10 @@ class WordTokenizer:
     def _encode(self, words: list[str]) -> dict[str, bytes]:
         """Plain Latin words go to the library a hundred to a text; each is one pre-token, so the ids that end a word tell them apart."""
         kind, out = f"<u{self.width}", {}
-        plain = [w for w in words if w.isalpha() and (w.isascii() or max(w) < "\u0100")]
+        plain, alone = [], []
+        for w in words:
+            (plain if w.isalpha() and (w.isascii() or max(w) < "\u0100") else alone).append(w)
         some = [plain[i:i + 100] for i in range(0, len(plain), 100)]
-        alone = [w for w in words if not (w.isalpha() and (w.isascii() or max(w) < "\u0100"))]
         for group, e in zip(some, self.model.encode_batch_fast([" ".join(g) for g in some], add_special_tokens=False)):
             ids = np.array(e.ids, kind)
             cuts = (np.flatnonzero(self.final[ids]) + 1).tolist()
@@ -141,14 +143,25 @@ class WordTokenizer:
         return out
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
-        parts = []
+        whole, forms, ended, heads, tails = [], [], [], [], []
         for w in words:
+            if w.isalpha():
+                whole.append(w)
+                forms.append(w.lower() if w.isascii() else w)
+                continue
             core = w.rstrip(".,")
             if core and core != w and core[-1].isalpha():
-                parts.append([core.lower() if core.isascii() else core, w[len(core):]])
+                ended.append(w)
+                heads.append(core.lower() if core.isascii() else core)
+                tails.append(w[len(core):])
             else:
-                parts.append([w.lower() if w.isascii() and w.isalpha() else w])
-        return dict(zip(words, self.cores.join(parts)))
+                whole.append(w)
+                forms.append(w)
+        ids = self.cores.each(forms + heads + tails)
+        first, last = len(forms), len(forms) + len(heads)
+        out = dict(zip(whole, ids))
+        out.update(zip(ended, map(operator.add, ids[first:last], ids[last:])))
+        return out
 
     def encode(self, values: list[str]) -> list[bytes]:
         return self.words.join([v.replace("\n", " ").split(" ") for v in values])

@@ -88,3 +88,20 @@ def test_shard_document():
     ids = np.arange(10, dtype="<u2")
     shard = token_files.Shard(token_files.pack([None, 4, 4, 9], [3, 1, 2, 4], ids.tobytes(), 2))
     assert shard.doc_ids() == [None, 4, 4, 9] and [shard.document(i).tolist() for i in range(4)] == [[0, 1, 2], [3], [4, 5], [6, 7, 8, 9]]
+
+
+def test_the_older_half_of_a_word_table_is_looked_up_not_walked():
+    from obsloom.llm.pieces import LONG, Pieces
+
+    class Old(dict):
+        def __iter__(self):
+            raise AssertionError("walked")
+
+    asked = []
+    made = Pieces(lambda words: asked.extend(words) or {w: w.upper().encode() for w in words}, 8)
+    assert made.each(["a", "b", "c", "d", "e"]) == [b"A", b"B", b"C", b"D", b"E"]
+    long = "x" * (LONG + 1)
+    assert made.join([["f"], ["f", long, "g"]]) == [b"F", b"F" + long.upper().encode() + b"G"] and long not in made.table
+    made.old = Old(made.old)
+    assert made.each(["b", "h", "b", long]) == [b"B", b"H", b"B", long.upper().encode()]
+    assert asked.count("b") == 1 and asked.count(long) == 2 and long not in made.table
