@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from obsloom.functions import special
 from obsloom.operators import agreement, contingency, linalg, multiplicity, rank_tests, resample, rrr, transforms, validate
+from obsloom.plans import s13_validation
 
 
 def test_tails():
@@ -313,3 +314,28 @@ def test_adjustments_in_buckets(spark, rows):
             m, i = len(g), np.arange(1, len(g) + 1)
             assert np.allclose(g["p_holm"], np.maximum.accumulate(np.minimum(1, (m - i + 1) * g["p"])))
             assert np.allclose(g["p_bh"], np.minimum.accumulate(np.minimum(1, g["p"] * m / i)[::-1])[::-1])
+
+
+def test_few_strata_a_class_leave_no_fold_empty(spark, tmp_path):
+    """Majority classes with two strata each: the snake deals them to the first two folds only. Rows without a class or a vector stay out."""
+    rng = np.random.default_rng(17)
+    rows = [(s + 20 * j, rng.normal(size=6).tolist(), c) for s in range(20) for j, c in enumerate([*range(10), s // 2])]
+    odd = [(1000, rng.normal(size=6).tolist(), None), (1001, None, 3)]
+    spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    df = spark.createDataFrame([(i % 20, str(c)) for i, _, c in rows], "stratum long, class string")
+    assert {r["fold"] for r in validate.stratified_group_kfold(df, "stratum", "class", 4).collect()} == {0, 1}
+    x = s13_validation.folded(spark, str(tmp_path))
+    s13_validation.fold_moments(x)
+    assert x.count() == len(rows) and x.groupBy("stratum").agg({"fold": "max"}).count() == x.select("stratum", "fold").distinct().count()
+    assert [r["n"] for r in x.groupBy("fold").agg(F.countDistinct("stratum").alias("n")).orderBy("fold").collect()] == [5] * 4
+
+
+def test_rare_classes_are_dealt_to_every_fold(spark):
+    held = {s: {"a": 50 - s, "b": 50 + s} | ({"rare": 1} if s in (0, 1, 2, 11) else {}) | ({"odd": 1} if s in (0, 3, 4, 5, 6) else {}) for s in range(12)}
+    folds = validate.deal_by_class(held, 4)
+    assert set(folds) == set(held)
+    for c in ("a", "b", "rare", "odd"):
+        assert {folds[s] for s in held if c in held[s]} == set(range(4))
+    even = spark.createDataFrame([(s, "ab"[s % 2]) for s in range(40) for _ in range(s + 1)] + [(s, c) for s in range(40) for c in "ab"], "stratum long, class string")
+    snake = validate.stratified_group_kfold(even, "stratum", "class", 4).select("stratum", "fold")
+    assert sorted(validate.covering_group_folds(even, "stratum", "class", 4).collect()) == sorted(snake.collect())
