@@ -127,3 +127,17 @@ def test_products_only_choose_whom_to_measure(scale, shift):
     d[np.arange(700), np.arange(700)] = np.inf
     want = {int(ids[i]): [int(ids[c]) for c in np.lexsort((ids, d[i]))[:5]] for i in range(700) if np.isfinite(d[i]).any()}
     assert got.groupby("pid")["nid"].apply(list).to_dict() == want
+
+
+def test_shared_neighbours_link_rows_that_are_no_neighbours(spark, monkeypatch):
+    """Every pair whose lists overlap enough is linked, whether or not one is in the other's list; a member in many lists is met in blocks."""
+    monkeypatch.setattr(neighbours, "HOLDERS", 7)
+    rng = np.random.default_rng(21)
+    lists = {i: {int(j) for j in rng.choice(60, 5, replace=False) if j != i} | ({99} if i % 2 else set()) for i in range(60)} | {99: {0, 1}}
+    neigh = spark.createDataFrame([(i, j) for i, js in lists.items() for j in js], "id long, nbr long")
+    got = {(r["src"], r["dst"]): r["w"] for r in neighbours.snn_edges(neigh, "id", 5, 0.15).collect()}
+    own = {i: js | {i} for i, js in lists.items()}
+    want = {(a, b): len(own[a] & own[b]) / len(own[a] | own[b]) for a in own for b in own if a < b}
+    want = {e: w for e, w in want.items() if w >= 0.15}
+    assert got == pytest.approx(want)
+    assert any(b not in lists[a] and a not in lists[b] for a, b in got)
