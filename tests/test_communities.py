@@ -2,7 +2,8 @@
 import numpy as np
 import pytest
 
-from obsloom.operators import cluster, communities as C
+from obsloom.operators import cluster, communities as C, neighbours
+from obsloom.plans import registry, s12_clustering
 
 SCHEMA = "src long, dst long, w double"
 
@@ -105,3 +106,42 @@ def test_odd_edges_and_limit(spark):
     assert empty.columns == ["id", "community"] and empty.isEmpty()
     with pytest.raises(ValueError, match="settle"):
         C.communities(spark.createDataFrame(odd, SCHEMA), rounds=1)
+
+
+def noisy_groups(seed, n, parts):
+    rng = np.random.default_rng(seed)
+    part = rng.integers(0, parts, n)
+    return [(a, b, float(rng.uniform(0.2, 1))) for a in range(n) for b in range(a) if rng.random() < (0.4 if part[a] == part[b] else 0.02)] + [(i, (i + 1) % n, 0.05) for i in range(n)]
+
+
+def test_blocks_settle_as_one_task_does(spark, monkeypatch):
+    edges = noisy_groups(6, 30, 3)
+    w, table = matrix(edges, 30), spark.createDataFrame(edges, SCHEMA)
+    here = C.communities(table).orderBy("id").toPandas()["community"].to_numpy()
+    monkeypatch.setattr(C, "LOCAL", 60)
+    sym = C.symmetric(table)
+    degree = sym.groupBy(sym.src.alias("id")).agg({"w": "sum"}).toDF("id", "k")
+    lab = spark.createDataFrame([(i, i) for i in range(30)], "id long, c long")
+    prop = C.proposals(sym, lab, degree, float(w.sum()), 1.0, 1, False)
+    go = {r["id"]: r["to"] for r in C._blocks(sym, lab, degree, prop, float(w.sum()), 1.0, 1, False).collect()}
+    assert go and quality(w, np.array([go.get(i, i) for i in range(30)]), 1.0) > quality(w, np.arange(30), 1.0)
+    dealt = C.communities(table).orderBy("id").toPandas()["community"].to_numpy()
+    for c in (here, dealt):
+        assert_settled(w, c, 1.0)
+        assert quality(w, c, 1.0) >= greedy(w, 1.0) - 0.01
+
+
+def test_query_goes_on_until_no_node_gains(spark, tmp_path):
+    """The query's communities are those of the settled graph, which six rounds on two levels did not reach."""
+    rng = np.random.default_rng(3)
+    x = np.cumsum(rng.normal(size=(300, 6)), axis=0)
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = registry.QUERIES["modularity_communities"](spark, str(tmp_path)).toPandas()
+    e = [tuple(r) for r in neighbours.snn_edges(neighbours.knn(s12_clustering.pcs(spark, str(tmp_path)), "obs_id", "pc", 20), "obs_id", 20).select("src", "dst", "w").collect()]
+    w, c = matrix(e, 300), C.communities(spark.createDataFrame(e, SCHEMA)).orderBy("id").toPandas()["community"].to_numpy()
+    assert_settled(w, c, 1.0)
+    assert dict(zip(got["community"], got["n"])) == {int(g): int((c == g).sum()) for g in set(c)}
+    assert got["q"].iloc[0] == pytest.approx(quality(w, c, 1.0), abs=1e-4)
+    capped = cluster.communities(spark.createDataFrame(e, SCHEMA), 1.0, rounds=6, levels=2).orderBy("id").toPandas()["community"].to_numpy()
+    with pytest.raises(AssertionError):
+        assert_settled(w, np.unique(capped, return_inverse=True)[1], 1.0)
