@@ -133,6 +133,49 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
     return shard, block
 
 
+def merge_shared(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of ``merge`` that repeats are read from: (row, block) of the suffixes that have ``depth`` codes before their end mark and share
+    these with another, sorted by them. Rows of the second transform are numbered on from those of the first.
+
+    The rounds are those of ``merge``, but each row goes on as the row of the suffix that starts one code earlier. So suffixes with too few
+    codes drop out by themselves, and rows alone in their block can be left out: what is longer is alone too."""
+    n = [len(t) for t in transforms]
+    codes = np.concatenate(transforms)
+    ends = [int((t == 0).sum()) for t in transforms]
+    back, starts = [], []
+    for at, t in zip((0, n[0]), transforms):
+        order = np.argsort(t, kind="stable")
+        to = np.empty(len(t), np.int32)  # the row of the suffix that starts one code earlier: rows by preceding code, as in every round
+        to[order] = np.arange(at, at + len(t), dtype=np.int32)
+        back.append(to)
+        starts.append(t[order])
+    back = np.concatenate(back)
+    # by their first code; rows of end marks stand first in each transform
+    first = np.concatenate([s[e:] for s, e in zip(starts, ends)])
+    row = np.concatenate([np.arange(at + e, at + k, dtype=np.int32) for at, e, k in zip((0, n[0]), ends, n)])
+    order = np.argsort(first, kind="stable")
+    row, first = row[order], first[order]
+    edge = np.concatenate([[True], first[1:] != first[:-1]]) if len(row) else np.zeros(0, bool)
+    for turn in range(1, depth):
+        if not len(row):
+            break
+        if turn % 4 == 0:
+            shared = ~edge
+            shared[:-1] |= ~edge[1:]
+            row, edge = row[shared], edge[shared]
+        block = np.cumsum(edge, dtype=np.int32)
+        code = codes[row]
+        order = np.argsort(code, kind="stable")[np.count_nonzero(code == 0):]
+        row, block, code = back[row[order]], block[order], code[order]
+        edge = np.empty(len(row), bool)
+        edge[:1] = True
+        np.not_equal(code[1:], code[:-1], out=edge[1:])
+        edge[1:] |= block[1:] != block[:-1]
+    shared = ~edge
+    shared[:-1] |= ~edge[1:]
+    return row[shared], np.cumsum(edge, dtype=np.int32)[shared]
+
+
 def repeats(strings: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows that share ``window`` bytes with another: (block, string, offset), by block. ``strings`` are UTF-8 slices, so 255 does not occur."""
     half = (len(strings) + 1) // 2
@@ -145,23 +188,15 @@ def repeats(strings: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray,
         order, bwt = transform(codes, starts, window) if len(codes) else (np.zeros(0, np.int64), codes)
         orders.append(order)
         bwts.append(bwt)
-        where.append((starts, sizes))
-    shard, block = merge(bwts, window)
-    string, offset, left = (np.empty(len(shard), np.int64) for _ in range(3))
-    for k, (starts, sizes) in enumerate(where):
-        mine = shard == k
-        if not len(starts):
-            continue
-        name = np.searchsorted(starts, orders[k], side="right") - 1
-        string[mine], offset[mine] = name + k * half, orders[k] - starts[name]
-        left[mine] = sizes[name] - 1 - offset[mine]
-    whole = left >= window
-    block, string, offset = block[whole], string[whole], offset[whole]
-    if not len(block):
-        return block, string, offset
-    first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-    shared = np.repeat(np.diff(np.append(first, len(block))) > 1, np.diff(np.append(first, len(block))))
-    return block[shared], string[shared], offset[shared]
+        where.append(starts)
+    row, block = merge_shared(bwts, window)
+    string, offset = (np.empty(len(row), np.int64) for _ in range(2))
+    for k, starts in enumerate(where):
+        mine = row >= len(bwts[0]) if k else row < len(bwts[0])
+        place = orders[k][row[mine] - k * len(bwts[0])]
+        name = np.searchsorted(starts, place, side="right") - 1
+        string[mine], offset[mine] = name + k * half, place - starts[name]
+    return block, string, offset
 
 
 def _keep(df: DataFrame, stem: str) -> tuple[DataFrame, str]:

@@ -138,3 +138,29 @@ def test_shards_keep_copies_together_and_spread_a_hot_one(spark):
     for r in got:
         homes[texts[r.doc_id]].add(r.shard)
     assert len(homes["hot"]) <= 8 and sum(len(homes[f"g{i}"]) > 1 for i in range(60)) <= 2
+
+
+def test_only_rows_that_may_repeat_go_on():
+    """The narrowed merge gives the blocks of the whole one, for windows that strings hold and another string shares."""
+    rng = np.random.default_rng(4)
+    strings = [bytes(rng.choice([97, 98], rng.integers(0, 60)).astype(np.uint8)) for _ in range(40)] + [b"a" * 30, b"a" * 25, b""]
+    bwts, whole = [], []
+    for part in (strings[:20], strings[20:]):
+        sizes = np.array([len(s) + 1 for s in part])
+        codes = np.frombuffer(b"\xff".join(part) + b"\xff", np.uint8) + np.uint8(1)
+        starts = np.cumsum(sizes) - sizes
+        order, bwt = bwt_dedup.transform(codes, starts, 9)
+        bwts.append(bwt)
+        name = np.searchsorted(starts, order, side="right") - 1
+        whole.append(sizes[name] - 1 - (order - starts[name]) >= 9)
+    shard, block = bwt_dedup.merge(bwts, 9)
+    row = np.empty(len(shard), int)
+    row[shard == 0], row[shard == 1] = np.arange(len(bwts[0])), len(bwts[0]) + np.arange(len(bwts[1]))
+    want: dict = {}
+    for r, b in zip(row, block):
+        if np.concatenate(whole)[r]:
+            want.setdefault(b, set()).add(int(r))
+    got: dict = {}
+    for r, b in zip(*bwt_dedup.merge_shared(bwts, 9)):
+        got.setdefault(b, set()).add(int(r))
+    assert list(got.values()) == [rows for rows in want.values() if len(rows) > 1] and 0 < sum(map(len, got.values())) < len(shard)
