@@ -114,3 +114,14 @@ def test_sums_with_ties_and_mixed_numbers_of_clusters(case):
         lab = ((y[:, None] - np.vstack([c] * k)[:k]) ** 2).sum(2).round(9).argmin(1)
         assert sums.shape == (k + 1, 6) and np.allclose(sums[:-1, 0], np.bincount(lab, weights=w[r], minlength=k))
         assert np.allclose(sums[:-1, 1:3], [w[r][lab == i] @ y[lab == i] for i in range(k)])
+
+
+def test_first_order_sums_equal_the_full_ones(case):
+    """Without products a pass gives the same counts and sums by cluster, and the squares of all drawn rows; rows that a repeat leaves out and ties included."""
+    data = case[-1]
+    rng = np.random.default_rng(6)
+    fits = {(r, k): B.centre_scores(np.vstack([rng.normal(size=(k, 2)), np.zeros((2, 2))])) for r in range(REPEATS) for k in (1, 3)}
+    full, first = B._sums(data, fits, True), B._sums(data, fits, True, products=False)
+    for f in fits:
+        assert np.allclose(first[f][:-1], full[f][:-1, :3], rtol=1e-12, atol=1e-12) and first[f].shape[1] == 3
+        assert first[f][-1, 0] == pytest.approx(full[f][:-1][:, [3, 5]].sum())
